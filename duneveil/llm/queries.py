@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, mixing
+from . import chat, line_dedup, mixing, near_dedup, substrings
 from .common import table
 
 
@@ -21,3 +21,12 @@ def op4_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.repeated_windows(table(spark, sf_dir, "documents"), size=35)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
