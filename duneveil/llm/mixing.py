@@ -74,31 +74,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sums = placed.groupBy(source_col, "slice").agg(F.sum("size").alias("words"))
     up_to = F.sum("words").over(Window.partitionBy(source_col).orderBy("slice"))
     sums = sums.withColumn("before", up_to - F.col("words")).withColumn("up_to", up_to)
+    # a row for each source and slice says what its documents get, so that documents meet it by both and not by source
     t = targets.withColumnRenamed(source_col, "src")
-    cut = (
-        sums.join(t.select("src", "rest"), F.col(source_col).eqNullSafe(F.col("src")))
-        .filter(F.col("up_to") > F.col("rest"))
-        .groupBy("src")
-        .agg(F.min(F.struct("slice", "before")).alias("cut"))
-        .select(F.col("src").alias("cut_src"), F.col("cut.slice").alias("cut_slice"), F.col("cut.before").alias("before"))
-    )
-    plan = t.join(cut, F.col("src").eqNullSafe(F.col("cut_src")), "left").drop("cut_src")
-    rows = placed.join(plan, F.col(source_col).eqNullSafe(F.col("src"))).drop("src")
+    plan = sums.join(t, F.col(source_col).eqNullSafe(F.col("src"))).select(
+        F.col(source_col).alias("src"), F.col("slice").alias("part"), "source_size", "target", "whole", "rest", "p", "before",
+        (F.col("up_to") <= F.col("rest")).alias("inside"), (F.col("before") >= F.col("rest")).alias("outside"),
+    )
+    rows = placed.join(plan, F.col(source_col).eqNullSafe(F.col("src")) & (F.col("slice") == F.col("part"))).drop("src", "part")
 
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    at_cut = F.col("slice") == F.coalesce(F.col("cut_slice"), F.lit(slices))
-    order = Window.partitionBy(source_col).orderBy("odds", id_col, "size").rowsBetween(Window.unboundedPreceding, 0)
-    inside = (
-        rows.filter(at_cut)
+    clear = F.col("inside") | F.col("outside")
+    order = Window.partitionBy(source_col, "slice").orderBy("odds", id_col, "size").rowsBetween(Window.unboundedPreceding, 0)
+    at_cut = (
+        rows.filter(~clear)
         .withColumn("odds", odds)
         .withColumn("reached", F.col("before") + F.sum("size").over(order))
         .withColumn("more", (F.col("reached") - F.col("size") / 2 <= F.col("rest")).cast("long"))
         .drop("odds", "reached")
     )
-    outside = rows.filter(~at_cut).withColumn("more", (F.col("slice") < F.coalesce(F.col("cut_slice"), F.lit(slices))).cast("long"))
+    rows = at_cut.unionByName(rows.filter(clear).withColumn("more", F.col("inside").cast("long")))
     # where the ceiling is reached nothing is left to sample
     more = F.when((F.col("p") > 0) & (F.col("size") > 0), F.col("more")).otherwise(0)
     copies = F.when(F.col("size") > 0, F.col("whole") + more).otherwise(0).cast("long")
-    return inside.unionByName(outside).withColumn("copies", copies).select(
+    return rows.withColumn("copies", copies).select(
         id_col, source_col, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
