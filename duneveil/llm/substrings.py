@@ -185,12 +185,14 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = long.join(one, same).select("id", "seq1", F.least("copies", F.lit(2)).cast("int").alias("copies"), F.explode(F.arrays_zip("anchors", "places")).alias("x"))
     nodes = nodes.select("id", "seq1", "copies", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
     twice = nodes.groupBy("anchor").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("anchor").alias("twice"))
+    twice = saved(twice, "anchors")  # read back, it meets a common anchor's rows in as many tasks as they need
     doubt = nodes.join(twice, F.col("anchor") == F.col("twice")).groupBy("id", "seq1", "copies").agg(F.array_sort(F.collect_list("place")).alias("places"))
     told = doubt.withColumnRenamed("id", "i").withColumnRenamed("seq1", "s")
     held = saved(texts.join(told, F.col("id").eqNullSafe(F.col("i"))).select("id", F.col("s").alias("seq1"), "copies", "text", "places"), "doubted")
 
     found = held.mapInArrow(_windower(size, anchor), f"hash long, id {id_type}, seq1 long, start int, copies int")
     counts = found.groupBy("hash").agg(F.sum("copies").alias("n")).filter("n > 1").select(F.col("hash").alias("again"))
+    counts = saved(counts, "repeated")
     starts = found.filter("copies = 1").join(counts, F.col("hash") == F.col("again")).groupBy("id", "seq1").agg(F.array_sort(F.collect_list("start")).alias("starts"))
     starts = starts.withColumnRenamed("id", "i").withColumnRenamed("seq1", "s")
     rows = held.filter("copies = 1").join(starts, F.col("id").eqNullSafe(F.col("i")) & (F.col("seq1") == F.col("s"))).select("id", "seq1", "text", "starts")
