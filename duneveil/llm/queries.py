@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, mixing, near_dedup, perplexity, substrings, token_counts
+from . import chat, decontaminate, line_dedup, mixing, near_dedup, perplexity, substrings, token_counts, toxicity
 from .common import table
 
 
@@ -44,3 +44,7 @@ def op2_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality(table(spark, sf_dir, "documents"))
+
+
+def op10_gbt_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
