@@ -9,7 +9,8 @@
    sets of shingles.  What is confirmed is an edge.
 4. Connected components by large-star / small-star steps.  Inside a bucket only pairs of different components
    can still add anything: those, of the small buckets and of all fine ones, go through step 3, and the
-   components are closed again.
+   components are closed again.  In fine buckets a pair goes only if its members have too few shingles in common
+   with all other members of crowded buckets together.
 
 A pair of similarity 0.8 shares no band with a probability of 3e-6, no fine band of 1e-5; the sketch test is
 over four standard deviations wide.  Nothing is capped: a hub costs a row for each member, small buckets at most
@@ -214,17 +215,37 @@ def _hub_pairs(buckets: DataFrame) -> DataFrame:
     return buckets.filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
 
 
-def _open_pairs(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members that no component holds together: all with those outside its largest one."""
+def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+            ids = part.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(sets))], names=["id", "shingle"])
+
+
+def _open_pairs(buckets: DataFrame, found: DataFrame, bounds: DataFrame, percent: int, within: bool) -> DataFrame:
+    """Pairs of a bucket's members that no component holds together: all with those outside its largest one.
+
+    bounds: (id, n, shared) of the crowded members, shared: how many of the set's n shingles any other crowded
+    member has.  within: pairs of two crowded members, as far as neither bound rules the link out (an
+    intersection has at most `shared` shingles); else only pairs with a member that is not crowded.
+    """
     rows = buckets.select("id", "key").join(found.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left")
     rows = rows.select("id", "key", F.coalesce("component", "id").alias("component"))
-    shares = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    rows = rows.join(bounds.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").drop("i")
+    if within:
+        rows = rows.filter(100 * F.col("shared") >= percent * F.col("n"))
+    shares = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
+    main = shares.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
     main = main.filter("parts > 1").select(F.col("key").alias("k"), F.col("main.component").alias("main"))
     rows = rows.join(main, F.col("key") == F.col("k")).drop("k")
-    others = rows.filter("component <> main").select(F.col("id").alias("x"), F.col("component").alias("c"), F.col("key").alias("k"))
-    pairs = others.join(rows, (F.col("k") == F.col("key")) & (F.col("c") != F.col("component")))
-    return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
+    others = rows.filter("component <> main").select(*(F.col(x).alias(f"x_{x}") for x in ("id", "component", "key", "n", "shared")))
+    may = F.col("n").isNull() | F.col("x_n").isNull()
+    if within:
+        may = (100 + percent) * F.least("shared", "x_shared") >= percent * (F.col("n") + F.col("x_n"))
+    pairs = others.join(rows, (F.col("x_key") == F.col("key")) & (F.col("x_component") != F.col("component")) & may)
+    return pairs.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -265,7 +286,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fine = saved(_buckets(fine_keys), "fine-buckets")
     tried = saved(_hub_pairs(members).union(_hub_pairs(fine)).distinct(), "hub-pairs")
     found = saved(components(confirmed(tried)), "components")
-    still = _open_pairs(members.filter(F.col("m") <= LARGE), found).union(_open_pairs(fine, found)).distinct().join(tried, ["a", "b"], "left_anti")
+    # of a crowded member's shingles, those that no other crowded one has bound what it can share with any
+    flat = sets.join(crowded, "id", "left_semi").select("id", "shingles").mapInArrow(_flatten, f"id {id_type}, shingle long")
+    again = saved(flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("shingle").alias("again")), "shared-shingles")
+    shared = flat.join(again, F.col("shingle") == F.col("again")).groupBy(F.col("id").alias("i")).agg(F.count(F.lit(1)).alias("shared"))
+    bounds = nodes.join(crowded, "id", "left_semi").join(shared, F.col("id") == F.col("i"), "left")
+    bounds = saved(bounds.groupBy("id").agg(F.max("n_shingles").alias("n"), F.sum(F.coalesce("shared", F.lit(0))).alias("shared")), "bounds")
+    still = _open_pairs(members.filter(F.col("m") <= LARGE), found, bounds, percent, False).union(_open_pairs(fine, found, bounds, percent, True))
+    still = still.distinct().join(tried, ["a", "b"], "left_anti")
     edges = saved(confirmed(still), "edges")
     found = components(edges.union(found.select(F.col("id").alias("a"), F.col("component").alias("b"))))
     found = saved(found, "components")
