@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, mixing, near_dedup, perplexity, substrings, token_counts, toxicity
+from . import chat, decontaminate, line_dedup, mixing, near_dedup, perplexity, secrets, substrings, token_counts, toxicity
 from .common import table
 
 
@@ -48,3 +48,7 @@ def op8_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_gbt_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
