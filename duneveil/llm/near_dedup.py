@@ -285,7 +285,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fine_keys = sets.join(crowded, "id", "left_semi").select("id", "shingles").mapInArrow(_fine_keys, f"id {id_type}, key long")
     fine = saved(_buckets(fine_keys), "fine-buckets")
     tried = saved(_hub_pairs(members).union(_hub_pairs(fine)).distinct(), "hub-pairs")
-    found = saved(components(confirmed(tried)), "components")
+    torn = some.groupBy("id").agg(F.min("set1").alias("x"), F.max("set1").alias("y")).filter("x <> y").select("id")
+    ties = some.join(torn, "id", "left_semi").join(classes, ["set1", "set2"]).select(F.col("id").alias("a"), F.col("node").alias("b")).filter("a <> b")
+    found = saved(components(confirmed(tried).union(ties)), "components")
     # of a crowded member's shingles, those that no other crowded one has bound what it can share with any
     flat = sets.join(crowded, "id", "left_semi").select("id", "shingles").mapInArrow(_flatten, f"id {id_type}, shingle long")
     again = saved(flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("shingle").alias("again")), "shared-shingles")
