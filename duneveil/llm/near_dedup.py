@@ -3,18 +3,17 @@
 1. Each text's set of distinct word shingles is read once.  Equal sets are one node (the smallest id); nodes get
    band keys of BANDS x ROWS MinHash values and an odd sketch: SAMPLES MinHash values folded into a bitmap by
    parity, so that the XOR of two bitmaps counts the samples in which two sets differ.
-2. The members of a bucket are paired with one hub of it, never with each other.  Members of buckets larger than
-   LARGE get longer, finer band keys as well, and hubs of those.
+2. The members of a bucket are paired with one hub of it, never with each other.
 3. Pairs whose sketches put the similarity clearly below the threshold go; the rest are held against the full
-   sets of shingles.  What is confirmed is an edge.
-4. Connected components by large-star / small-star steps.  Inside a bucket only pairs of different components
-   can still add anything: those, of the small buckets and of all fine ones, go through step 3, and the
-   components are closed again.  In fine buckets a pair goes only if its members have too few shingles in common
-   with all other members of crowded buckets together.
+   sets of shingles.  What is confirmed is an edge; connected components by large-star / small-star steps.
+4. Only buckets that hold several components can still add anything.  Those of at most LARGE members give their
+   pairs across components.  Members of larger ones go if they have too few shingles in common with all other
+   members of such buckets together; the rest get longer, finer band keys, hubs of those buckets, and then the
+   pairs across components that are left.
 
 A pair of similarity 0.8 shares no band with a probability of 3e-6, no fine band of 1e-5; the sketch test is
 over four standard deviations wide.  Nothing is capped: a hub costs a row for each member, small buckets at most
-LARGE rows for each member, and fine buckets only what no component holds together yet.
+LARGE rows for each member, and fine keys are made only for what no component holds together yet.
 """
 
 from __future__ import annotations
@@ -154,19 +153,16 @@ def _set_reader(size: int):
 
 
 def _fine_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (id, component, n, shared, shingles): the first four beside each fine key."""
     columns = fine_columns()
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)]
-            full = [i for i, x in enumerate(sets) if len(x)]
-            if not full:
-                continue
-            begin = np.zeros(len(full) + 1, np.int64)
-            np.cumsum([len(sets[i]) for i in full], out=begin[1:])
-            keys = band_keys(minhashes(np.concatenate([sets[i] for i in full]), begin), columns, 6)
-            ids = part.column(0).take(pa.array(np.repeat(full, FINE_BANDS)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys.ravel().view(np.int64))], names=["id", "key"])
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(4)]
+            begin = np.append(0, np.cumsum([len(x) for x in sets]))
+            keys = band_keys(minhashes(np.concatenate(sets), begin), columns, 6)
+            rows = pa.array(np.repeat(np.arange(len(sets)), FINE_BANDS))
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in range(4)), pa.array(keys.ravel().view(np.int64))], names=["id", "component", "n", "shared", "key"])
 
 
 def _confirmer(percent: int):
@@ -189,12 +185,11 @@ def components(edges: DataFrame) -> DataFrame:
     stays short and a lost executor costs no more than the round.
     """
     now = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "stars")
-    before = None
     while True:
-        digest = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if digest == before:
+        roles = now.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("b", F.lit(0), F.lit(1)))
+        # done when every node has one link up, or only links from below
+        if roles.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up > 0 AND down > 0)").isEmpty():
             return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select("b", "b")).distinct()
-        before = digest
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -224,30 +219,43 @@ def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(sets))], names=["id", "shingle"])
 
 
-def _open_pairs(buckets: DataFrame, found: DataFrame, bounds: DataFrame, percent: int, within: bool) -> DataFrame:
-    """Pairs of a bucket's members that no component holds together: all with those outside its largest one.
-
-    bounds: (id, n, shared) of the crowded members, shared: how many of the set's n shingles any other crowded
-    member has.  within: pairs of two crowded members, as far as neither bound rules the link out (an
-    intersection has at most `shared` shingles); else only pairs with a member that is not crowded.
-    """
-    rows = buckets.select("id", "key").join(found.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left")
-    rows = rows.select("id", "key", F.coalesce("component", "id").alias("component"))
-    rows = rows.join(bounds.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").drop("i")
-    if within:
-        rows = rows.filter(100 * F.col("shared") >= percent * F.col("n"))
+def _open(rows: DataFrame) -> DataFrame:
+    """rows (id, key, component, ...) of buckets that hold several components, with the one of most rows as `main`."""
     shares = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
     main = shares.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
     main = main.filter("parts > 1").select(F.col("key").alias("k"), F.col("main.component").alias("main"))
-    rows = rows.join(main, F.col("key") == F.col("k")).drop("k")
+    return rows.join(main, F.col("key") == F.col("k")).drop("k")
+
+
+def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of open buckets (see _open) across components: members outside the main one with all others.
+
+    rows hold n and shared of crowded members (null for others): an intersection has at most `shared` shingles, so
+    pairs of crowded members that can't reach the threshold are left out.
+    """
     others = rows.filter("component <> main").select(*(F.col(x).alias(f"x_{x}") for x in ("id", "component", "key", "n", "shared")))
-    may = F.col("n").isNull() | F.col("x_n").isNull()
-    if within:
-        may = (100 + percent) * F.least("shared", "x_shared") >= percent * (F.col("n") + F.col("x_n"))
+    may = F.col("n").isNull() | F.col("x_n").isNull() | ((100 + percent) * F.least("shared", "x_shared") >= percent * (F.col("n") + F.col("x_n")))
     pairs = others.join(rows, (F.col("x_key") == F.col("key")) & (F.col("x_component") != F.col("component")) & may)
     return pairs.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b"))
 
 
+def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with the component of their id; an id without a link is its own."""
+    both = rows.join(found.select(F.col("id").alias("i"), F.col("component").alias("of")), F.col("id") == F.col("i"), "left")
+    return both.withColumn("component", F.coalesce("of", "id")).drop("i", "of")
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found (id, component) with links (a, b) added: only the components that links join are closed again."""
+    if links.isEmpty():
+        return found
+    one, two = (_with_component(links.select(F.col(x).alias("id"), F.col(y).alias("other")), found) for x, y in (("a", "b"), ("b", "a")))
+    ends = one.select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("component").alias("ca")).join(two.select(F.col("other").alias("a"), F.col("id").alias("b"), F.col("component").alias("cb")), ["a", "b"])
+    roots = saved(components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "roots")
+    moved = found.join(roots.select(F.col("id").alias("r"), F.col("component").alias("to")), F.col("component") == F.col("r"), "left")
+    return saved(moved.select("id", F.coalesce("to", "component").alias("component")).union(roots).distinct(), "components")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of docs.
 
@@ -279,26 +287,34 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         near = pairs.join(a, F.col("a") == F.col("a_id")).join(b, F.col("b") == F.col("b_id")).filter(differing <= most_differing_bits(percent - SLACK)).select("a", "b")
         a, b = (sets.select(F.col("id").alias(f"{x}_id"), F.col("shingles").alias(f"{x}_set")) for x in "ab")
         full = near.join(a, F.col("a") == F.col("a_id")).join(b, F.col("b") == F.col("b_id")).select("a", "b", "a_set", "b_set")
-        return full.mapInArrow(_confirmer(percent), f"a {id_type}, b {id_type}").distinct()
+        return saved(full.mapInArrow(_confirmer(percent), f"a {id_type}, b {id_type}").distinct(), "links")
 
-    crowded = members.filter(F.col("m") > LARGE).select("id").distinct()
-    fine_keys = sets.join(crowded, "id", "left_semi").select("id", "shingles").mapInArrow(_fine_keys, f"id {id_type}, key long")
-    fine = saved(_buckets(fine_keys), "fine-buckets")
-    tried = saved(_hub_pairs(members).union(_hub_pairs(fine)).distinct(), "hub-pairs")
+    tried = saved(_hub_pairs(members).distinct(), "hub-pairs")
     torn = some.groupBy("id").agg(F.min("set1").alias("x"), F.max("set1").alias("y")).filter("x <> y").select("id")
     ties = some.join(torn, "id", "left_semi").join(classes, ["set1", "set2"]).select(F.col("id").alias("a"), F.col("node").alias("b")).filter("a <> b")
     found = saved(components(confirmed(tried).union(ties)), "components")
+
+    placed = saved(_open(_with_component(members.select("id", "key", "m"), found)), "open-buckets")
+    crowd = placed.filter(F.col("m") > LARGE).select("id", "component").distinct()
     # of a crowded member's shingles, those that no other crowded one has bound what it can share with any
-    flat = sets.join(crowded, "id", "left_semi").select("id", "shingles").mapInArrow(_flatten, f"id {id_type}, shingle long")
+    flat = sets.join(crowd, "id", "left_semi").select("id", "shingles").mapInArrow(_flatten, f"id {id_type}, shingle long")
     again = saved(flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("shingle").alias("again")), "shared-shingles")
     shared = flat.join(again, F.col("shingle") == F.col("again")).groupBy(F.col("id").alias("i")).agg(F.count(F.lit(1)).alias("shared"))
-    bounds = nodes.join(crowded, "id", "left_semi").join(shared, F.col("id") == F.col("i"), "left")
-    bounds = saved(bounds.groupBy("id").agg(F.max("n_shingles").alias("n"), F.sum(F.coalesce("shared", F.lit(0))).alias("shared")), "bounds")
-    still = _open_pairs(members.filter(F.col("m") <= LARGE), found, bounds, percent, False).union(_open_pairs(fine, found, bounds, percent, True))
-    still = still.distinct().join(tried, ["a", "b"], "left_anti")
-    edges = saved(confirmed(still), "edges")
-    found = components(edges.union(found.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-    found = saved(found, "components")
+    sizes = nodes.join(crowd, "id").join(shared, F.col("id") == F.col("i"), "left")
+    bounds = saved(sizes.select("id", "component", F.col("n_shingles").alias("n"), F.coalesce("shared", F.lit(0)).cast("long").alias("shared")), "bounds")
+
+    own = bounds.select(F.col("id").alias("i"), "n", "shared")
+    small = placed.filter(F.col("m") <= LARGE).join(own, F.col("id") == F.col("i"), "left").drop("i")
+    still = _open_pairs(small, percent).distinct().join(tried, ["a", "b"], "left_anti")
+    viable = bounds.filter(100 * F.col("shared") >= percent * F.col("n"))
+    torn_up = _open(placed.filter(F.col("m") > LARGE).select("id", "key", "component").join(viable, "id", "left_semi")).select("id").distinct()
+    unsettled = viable.join(torn_up, "id", "left_semi").join(sets, "id").select("id", "component", "n", "shared", "shingles")
+    fine = saved(_open(unsettled.mapInArrow(_fine_keys, f"id {id_type}, component {id_type}, n long, shared long, key long")), "fine-buckets")
+    hubs = _hub_pairs(_buckets(fine.select("id", "key"))).distinct().join(tried, ["a", "b"], "left_anti")
+    found = _merged(found, confirmed(still.union(hubs)))
+    if not fine.isEmpty():
+        left = _open(_with_component(fine.drop("component", "main"), found))
+        found = _merged(found, confirmed(_open_pairs(left, percent).distinct().join(tried.union(hubs), ["a", "b"], "left_anti")))
     sets.unpersist()
 
     whole = classes.join(found.withColumnRenamed("id", "i"), F.col("node") == F.col("i"), "left")
