@@ -176,7 +176,11 @@ def span_at(s: Column, start: Column, end: Column) -> Column:
 def baseline_spans(text: Column) -> Column:
     """What a naive tool would find: ASCII patterns, no validation, no normalization, no names."""
     patterns = {SAUDI_ID: "(?<![0-9])[12][0-9]{9}(?![0-9])", MOBILE: "(?<![0-9])05[0-9]{8}(?![0-9])", IBAN: "SA[0-9]{22}", EMAIL: EMAIL_SHAPE}
-    every = [F.transform(matches(text, p), lambda m, k=kind: span(m["start"], m["end"], k, 1.0, "baseline")) for kind, p in patterns.items()]
+
+    def of(kind: str):
+        return lambda m: span(m["start"], m["end"], kind, 1.0, "baseline")
+
+    every = [F.transform(matches(text, p), of(kind)) for kind, p in patterns.items()]
     return F.when(text.isNotNull(), F.array_sort(F.concat(*every))).otherwise(_none())
 
 

@@ -22,6 +22,7 @@ from .tables import written
 
 MAX_ROUNDS = 1000
 WIDEN_AFTER = 50
+DRAWS = 64
 FIRST_NAME, FAMILY_NAME = NAME_PARTS = ("FIRST_NAME", "FAMILY_NAME")
 
 
@@ -81,23 +82,27 @@ def assign(values: DataFrame, key: bytes, keep_first_digit: bool = True, names:
     values = written(values.select("kind", "canon").filter("canon IS NOT NULL").distinct(), "values")
     injective = ~F.col("kind").isin(*NAME_PARTS)
     originals = values.filter(injective & ~F.col("kind").startswith("PK:")).select(F.col("kind").alias("k"), F.col("canon").alias("c"))
-    done, todo = None, values
-    for attempt in range(max_rounds):
-        salt = F.lit("") if attempt == 0 else F.lit(f":{attempt}")
-        drawn = todo.withColumn("hexes", digests(F.concat("kind", F.lit(":"), "canon", salt)))
-        drawn = drawn.withColumn("fake", draw(F.col("kind"), F.col("canon"), F.col("hexes"), F.lit(attempt), keep_first_digit, names)).drop("hexes")
+    done, todo, attempt, draws = None, values, 0, 1
+    while attempt < max_rounds:
+        # the few values that collide get many draws at a time, so that short keys don't take a job for each
+        tries = todo.withColumn("attempt", F.explode(F.sequence(F.lit(attempt), F.lit(min(attempt + draws, max_rounds) - 1))))
+        message = F.concat("kind", F.lit(":"), "canon", F.when(F.col("attempt") == 0, "").otherwise(F.concat(F.lit(":"), F.col("attempt").cast("string"))))
+        drawn = tries.withColumn("hexes", digests(message))
+        drawn = drawn.withColumn("fake", draw(F.col("kind"), F.col("canon"), F.col("hexes"), F.col("attempt"), keep_first_digit, names)).drop("hexes")
+        drawn = written(drawn, "drawn")  # read back, a pseudonym is a value and not an expression that every use repeats
         norm = F.when(F.col("kind").isin(*NAME_PARTS), normalize_name(F.col("fake"))).otherwise(F.col("fake"))
-        drawn = drawn.withColumn("norm", norm).withColumn("attempt", F.lit(attempt))
+        drawn = drawn.withColumn("norm", norm).filter(F.col("norm") != F.col("canon"))
         taken = originals if done is None else originals.union(done.filter(injective).select("kind", "fake"))
         free = drawn.filter(injective).join(taken.distinct(), (F.col("kind") == F.col("k")) & (F.col("norm") == F.col("c")), "left_anti")
-        place = F.row_number().over(Window.partitionBy("kind", "norm").orderBy("canon"))
-        free = free.filter(F.col("norm") != F.col("canon")).withColumn("place", place).filter("place = 1").drop("place")
-        good = free.unionByName(drawn.filter(~injective & (F.col("norm") != F.col("canon")))).drop("norm")
-        good = written(good, "round")
+        first = free.unionByName(drawn.filter(~injective)).groupBy("kind", "canon").agg(F.min(F.struct("attempt", "fake", "norm")).alias("x")).select("kind", "canon", "x.*")
+        place = F.row_number().over(Window.partitionBy("kind", "norm").orderBy("attempt", "canon"))
+        good = first.filter(injective).withColumn("place", place).filter("place = 1").drop("place").unionByName(first.filter(~injective)).drop("norm")
+        good = written(good.select("kind", "canon", "fake", "attempt"), "round")
         done = good if done is None else done.unionByName(good)
         todo = written(todo.join(good.select("kind", "canon"), ["kind", "canon"], "left_anti"), "todo")
         if todo.isEmpty():
             return done
+        attempt, draws = attempt + draws, DRAWS
     raise PseudonymSpaceExhausted(f"no free pseudonym for some value after {max_rounds} draws")
 
 

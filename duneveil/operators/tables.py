@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,3 +111,20 @@ class Detection:
     needs_review: bool = False
     reason: str = ""
     human_override: bool = False
+
+
+def numbered_in_group(df: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
+    """df with `out`, a row's place (0, 1, ...) among the rows of its key by `order`, whose last column tells rows apart.
+
+    Rows are dealt by ranges of key and order, so a key with very many rows is numbered in several tasks: places
+    inside a range are added to the counts of the ranges before.  A null key gets a null place.
+    """
+    some = df.withColumn("_key", F.col(f"`{key}`"))
+    ranged = written(some.repartitionByRange("_key", *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("_part", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    first = counts.select(F.col("_part").alias("_p"), F.col("_key").alias("_k"), F.coalesce(before, F.lit(0)).alias("_first"))
+    own = F.row_number().over(Window.partitionBy("_part", "_key").orderBy(*order)) - 1
+    both = ranged.withColumn("_own", own).join(first, (F.col("_part") == F.col("_p")) & F.col("_key").eqNullSafe(F.col("_k")))
+    place = F.when(F.col("_key").isNotNull(), F.col("_own") + F.col("_first"))
+    return both.withColumn(out, place).drop("_key", "_part", "_p", "_k", "_own", "_first")

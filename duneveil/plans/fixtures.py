@@ -79,3 +79,19 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         CLAIMS.replace("FROM orders o JOIN people p", "FROM {orders} o JOIN {people} p"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"), people=people(spark, sf_dir)
     )
+
+#: Values as they come in uploads: padded, missing in many spellings, grouped, in day order, formulas.
+MESSY = """
+SELECT c_custkey AS id,
+  CASE WHEN c_custkey % 2 = 0 THEN concat('  ', c_name, '   x ') ELSE c_name END AS padded,
+  CASE c_custkey % 6 WHEN 0 THEN ' N/A ' WHEN 1 THEN '-' WHEN 2 THEN 'None' WHEN 3 THEN NULL ELSE c_mktsegment END AS maybe,
+  CASE WHEN c_custkey % 2 = 0 THEN concat('+', CAST(c_custkey AS VARCHAR(20)), ',', '500') ELSE translate(concat(CAST(c_custkey AS VARCHAR(20)), '٫25'), '0123456789', '٠١٢٣٤٥٦٧٨٩') END AS grouped,
+  concat(CAST(13 + c_custkey % 16 AS VARCHAR(4)), '/', CAST(1 + c_custkey % 12 AS VARCHAR(4)), '/', CAST(2000 + c_custkey % 24 AS VARCHAR(8))) AS day,
+  CASE WHEN c_custkey % 3 = 0 THEN concat('+9665', lpad(CAST(c_custkey AS VARCHAR(20)), 8, '0')) WHEN c_custkey % 3 = 1 THEN concat('05', lpad(CAST(c_custkey AS VARCHAR(20)), 8, '0')) ELSE 'none given' END AS phone,
+  CASE WHEN c_custkey % 10 = 0 THEN lower(c_mktsegment) WHEN c_custkey % 10 = 1 THEN concat(c_mktsegment, ' ') ELSE c_mktsegment END AS segment,
+  CASE WHEN c_custkey % 200 = 0 THEN '9000000' ELSE CAST(c_custkey % 97 AS VARCHAR(20)) END AS amount,
+  CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR(20)) ELSE 'word' END AS mixed,
+  CASE c_custkey % 5 WHEN 0 THEN '=1+2' WHEN 1 THEN '-12.5' WHEN 2 THEN '@name' WHEN 3 THEN '+1,000' ELSE c_name END AS formula
+FROM customer
+"""
+WITH_MESSY = f"messy AS ({MESSY})"

@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import oracle, queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What entry() runs."""
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_nationkey").count()
+QUERIES = queries.QUERIES
+ORACLE_SQL = {name: sql for name, sql in oracle.SQL.items() if name in QUERIES}
+flagship = queries.flagship
