@@ -7,9 +7,10 @@
 3. Pairs whose sketches put the similarity clearly below the threshold go; the rest are held against the full
    sets of shingles.  What is confirmed is an edge; connected components by large-star / small-star steps.
 4. Only buckets that hold several components can still add anything.  Those of at most LARGE members give their
-   pairs across components.  Members of larger ones go if they have too few shingles in common with all other
-   members of such buckets together; the rest get longer, finer band keys, hubs of those buckets, and then the
-   pairs across components that are left.
+   pairs across components.  In larger ones the strays, members outside the main component, are looked at by their
+   shingles: those that few crowded members hold (light) lead to all pairs that need them; where the others (heavy)
+   are enough for a link, members get longer, finer band keys, hubs of those buckets, and then the pairs across
+   components that are left.
 
 A pair of similarity 0.8 shares no band with a probability of 3e-6, no fine band of 1e-5; the sketch test is
 over four standard deviations wide.  Nothing is capped: a hub costs a row for each member, small buckets at most
@@ -38,6 +39,8 @@ SKETCH_BITS = 1024
 #: Under an estimate of (PERCENT - SLACK) / 100 a pair isn't read in full.
 SLACK = 14
 LARGE = 64
+#: A shingle of at most so many crowded members is light.
+LIGHT = 24
 
 _MULTIPLIERS = mix(np.arange(SAMPLES, dtype=np.uint64), 7) | np.uint64(1)
 
@@ -153,7 +156,7 @@ def _set_reader(size: int):
 
 
 def _fine_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, component, n, shared, shingles): the first four beside each fine key."""
+    """From (id, component, n, heavy, shingles): the first four beside each fine key."""
     columns = fine_columns()
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
@@ -162,7 +165,7 @@ def _fine_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin = np.append(0, np.cumsum([len(x) for x in sets]))
             keys = band_keys(minhashes(np.concatenate(sets), begin), columns, 6)
             rows = pa.array(np.repeat(np.arange(len(sets)), FINE_BANDS))
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in range(4)), pa.array(keys.ravel().view(np.int64))], names=["id", "component", "n", "shared", "key"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in range(4)), pa.array(keys.ravel().view(np.int64))], names=["id", "component", "n", "heavy", "key"])
 
 
 def _confirmer(percent: int):
@@ -200,10 +203,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _buckets(keys: DataFrame) -> DataFrame:
-    """keys (id, key) of buckets with two members or more, with the bucket's size m and its hub."""
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("hub"))
-    sizes = sizes.filter("m > 1").select(F.col("key").alias("k"), "m", F.col("hub.id").alias("hub"))
-    return keys.join(sizes, F.col("key") == F.col("k")).drop("k")
+    """keys (id, key) of buckets with two members or more, with the bucket's size m and its hub.
+
+    The hub is the member whose buckets are the largest all in all: of many copies of one text, one close to it.
+    """
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").withColumnRenamed("key", "k")
+    rows = keys.join(sizes, F.col("key") == F.col("k")).drop("k")
+    weight = rows.groupBy(F.col("id").alias("i")).agg(F.sum("m").alias("weight"))
+    rows = rows.join(weight, F.col("id") == F.col("i")).drop("i")
+    hubs = rows.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("weight", F.xxhash64("id").alias("h"), "id"))["id"].alias("hub"))
+    return rows.join(hubs, F.col("key") == F.col("k")).select("id", "key", "m", "hub")
 
 
 def _hub_pairs(buckets: DataFrame) -> DataFrame:
@@ -211,12 +220,14 @@ def _hub_pairs(buckets: DataFrame) -> DataFrame:
 
 
 def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (id, shingles, component): a row for each shingle, with the set's size n."""
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
             sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
-            ids = part.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(sets))], names=["id", "shingle"])
+            n = np.array([len(x) for x in sets])
+            rows = pa.array(np.repeat(np.arange(len(sets)), n))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(2).take(rows), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], names=["id", "component", "n", "shingle"])
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -230,15 +241,28 @@ def _open(rows: DataFrame) -> DataFrame:
 def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of open buckets (see _open) across components: members outside the main one with all others.
 
-    rows hold n and shared of crowded members (null for others): an intersection has at most `shared` shingles, so
-    pairs of crowded members that can't reach the threshold are left out.
+    rows hold n of crowded members and heavy of crowded strays (null for others): a stray has at most `heavy` heavy
+    shingles in common with a crowded member; pairs that need light ones as well are found by _light_pairs.
     """
-    others = rows.filter("component <> main").select(*(F.col(x).alias(f"x_{x}") for x in ("id", "component", "key", "n", "shared")))
-    may = F.col("n").isNull() | F.col("x_n").isNull() | ((100 + percent) * F.least("shared", "x_shared") >= percent * (F.col("n") + F.col("x_n")))
+    others = rows.filter("component <> main").select(*(F.col(x).alias(f"x_{x}") for x in ("id", "component", "key", "n", "heavy")))
+    may = F.coalesce((100 + percent) * F.least("heavy", "x_heavy") >= percent * (F.col("n") + F.col("x_n")), F.lit(True))
     pairs = others.join(rows, (F.col("x_key") == F.col("key")) & (F.col("x_component") != F.col("component")) & may)
     return pairs.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b"))
 
 
+def _light_pairs(light: DataFrame, flat: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a stray and a crowded member of another component that may reach the threshold with light shingles.
+
+    light: (shingle, id, component, n, heavy) of strays; flat: (shingle, id, component, n) of all crowded members, of
+    whom at most LIGHT hold such a shingle.
+    """
+    x = light.select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "heavy")))
+    both = flat.join(x, "shingle").filter((F.col("id") != F.col("x_id")) & (F.col("component") != F.col("x_component")))
+    both = both.groupBy("id", "x_id", "n", "x_n", "x_heavy").agg(F.count(F.lit(1)).alias("light"))
+    both = both.filter((100 + percent) * (F.col("x_heavy") + F.col("light")) >= percent * (F.col("n") + F.col("x_n")))
+    return both.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b"))
+
+
 def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
     """rows with the component of their id; an id without a link is its own."""
     both = rows.join(found.select(F.col("id").alias("i"), F.col("component").alias("of")), F.col("id") == F.col("i"), "left")
@@ -295,24 +319,36 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = saved(components(confirmed(tried).union(ties)), "components")
 
     placed = saved(_open(_with_component(members.select("id", "key", "m"), found)), "open-buckets")
-    crowd = placed.filter(F.col("m") > LARGE).select("id", "component").distinct()
-    # of a crowded member's shingles, those that no other crowded one has bound what it can share with any
-    flat = sets.join(crowd, "id", "left_semi").select("id", "shingles").mapInArrow(_flatten, f"id {id_type}, shingle long")
-    again = saved(flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("shingle").alias("again")), "shared-shingles")
-    shared = flat.join(again, F.col("shingle") == F.col("again")).groupBy(F.col("id").alias("i")).agg(F.count(F.lit(1)).alias("shared"))
-    sizes = nodes.join(crowd, "id").join(shared, F.col("id") == F.col("i"), "left")
-    bounds = saved(sizes.select("id", "component", F.col("n_shingles").alias("n"), F.coalesce("shared", F.lit(0)).cast("long").alias("shared")), "bounds")
-
-    own = bounds.select(F.col("id").alias("i"), "n", "shared")
-    small = placed.filter(F.col("m") <= LARGE).join(own, F.col("id") == F.col("i"), "left").drop("i")
-    still = _open_pairs(small, percent).distinct().join(tried, ["a", "b"], "left_anti")
-    viable = bounds.filter(100 * F.col("shared") >= percent * F.col("n"))
-    torn_up = _open(placed.filter(F.col("m") > LARGE).select("id", "key", "component").join(viable, "id", "left_semi")).select("id").distinct()
-    unsettled = viable.join(torn_up, "id", "left_semi").join(sets, "id").select("id", "component", "n", "shared", "shingles")
-    fine = saved(_open(unsettled.mapInArrow(_fine_keys, f"id {id_type}, component {id_type}, n long, shared long, key long")), "fine-buckets")
-    hubs = _hub_pairs(_buckets(fine.select("id", "key"))).distinct().join(tried, ["a", "b"], "left_anti")
-    found = _merged(found, confirmed(still.union(hubs)))
-    if not fine.isEmpty():
+    crowded = placed.filter(F.col("m") > LARGE)
+    crowd = crowded.select("id", "component").distinct()
+    strays = crowded.filter("component <> main").select("id").distinct()
+    # a stray's shingles: those that no other crowded member has can't be shared, light ones lead to their few holders
+    flat = sets.join(crowd, "id").select("id", "shingles", "component").mapInArrow(_flatten, f"id {id_type}, component {id_type}, n long, shingle long")
+    counts = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select(F.col("shingle").alias("s"), "held")
+    mine = saved(flat.join(strays, "id", "left_semi").join(counts, F.col("shingle") == F.col("s")).drop("s"), "shared-shingles")
+    bounds = mine.groupBy("id", "component", "n").agg(F.count(F.lit(1)).alias("shared"), F.count_if(F.col("held") > LIGHT).alias("heavy"))
+    viable = saved(bounds.filter(100 * F.col("shared") >= percent * F.col("n")), "viable")
+    light = mine.filter(F.col("held") <= LIGHT).join(viable.select("id", "component", "n", "heavy"), ["id", "component", "n"])
+
+    # strays that can't be linked with a crowded member have heavy 0
+    known = strays.join(viable.select(F.col("id").alias("i"), "heavy"), F.col("id") == F.col("i"), "left").select(F.col("id").alias("i"), F.coalesce("heavy", F.lit(0)).alias("heavy"))
+    sizes = nodes.select(F.col("id").alias("c"), F.col("n_shingles").alias("n")).join(crowd.select(F.col("id").alias("c")), "c", "left_semi")
+    sized = lambda rows: rows.join(sizes, F.col("id") == F.col("c"), "left").join(known, F.col("id") == F.col("i"), "left").drop("c", "i")
+    still = _open_pairs(sized(placed.filter(F.col("m") <= LARGE)), percent).union(_light_pairs(light, flat, percent)).distinct().join(tried, ["a", "b"], "left_anti")
+
+    # by heavy shingles alone a stray of a crowded bucket needs enough of them for the smallest other member
+    large = sized(crowded)
+    least = large.groupBy(F.col("key").alias("k")).agg(F.min("n").alias("least"))
+    enough = (100 + percent) * F.col("heavy") >= percent * (F.col("n") + F.greatest("least", F.ceil(percent * F.col("n") / 100)))
+    torn_up = large.filter("component <> main").join(least, F.col("key") == F.col("k")).filter(enough).select(F.col("key").alias("t")).distinct()
+    unsettled = large.join(torn_up, F.col("key") == F.col("t"), "left_semi").select("id", "component", "n", "heavy").distinct()
+    unsettled = unsettled.join(sets, "id").select("id", "component", "n", "heavy", "shingles")
+    fine = saved(_open(unsettled.mapInArrow(_fine_keys, f"id {id_type}, component {id_type}, n long, heavy long, key long")), "fine-buckets")
+    if fine.isEmpty():
+        found = _merged(found, confirmed(still))
+    else:
+        hubs = saved(_hub_pairs(_buckets(fine.select("id", "key"))).distinct().join(tried, ["a", "b"], "left_anti"), "fine-hubs")
+        found = _merged(found, confirmed(still.union(hubs)))
         left = _open(_with_component(fine.drop("component", "main"), found))
         found = _merged(found, confirmed(_open_pairs(left, percent).distinct().join(tried.union(hubs), ["a", "b"], "left_anti")))
     sets.unpersist()
