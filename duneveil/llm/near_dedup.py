@@ -323,9 +323,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     crowd = crowded.select("id", "component").distinct()
     strays = crowded.filter("component <> main").select("id").distinct()
     # a stray's shingles: those that no other crowded member has can't be shared, light ones lead to their few holders
-    flat = sets.join(crowd, "id").select("id", "shingles", "component").mapInArrow(_flatten, f"id {id_type}, component {id_type}, n long, shingle long")
+    flattened = lambda some: sets.join(some, "id").select("id", "shingles", "component").mapInArrow(_flatten, f"id {id_type}, component {id_type}, n long, shingle long")
+    flat = flattened(crowd)
     counts = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select(F.col("shingle").alias("s"), "held")
-    mine = saved(flat.join(strays, "id", "left_semi").join(counts, F.col("shingle") == F.col("s")).drop("s"), "shared-shingles")
+    mine = saved(flattened(crowd.join(strays, "id", "left_semi")).join(counts, F.col("shingle") == F.col("s")).drop("s"), "shared-shingles")
     bounds = mine.groupBy("id", "component", "n").agg(F.count(F.lit(1)).alias("shared"), F.count_if(F.col("held") > LIGHT).alias("heavy"))
     viable = saved(bounds.filter(100 * F.col("shared") >= percent * F.col("n")), "viable")
     light = mine.filter(F.col("held") <= LIGHT).join(viable.select("id", "component", "n", "heavy"), ["id", "component", "n"])
