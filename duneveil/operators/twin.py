@@ -41,20 +41,27 @@ def mapping_for(tables: dict[str, DataFrame], decisions: list[Decision], spans:
     return written(assign(values, key, bool(first), names).select("kind", "canon", "fake"), "mapping")
 
 
-def swap_column(df: DataFrame, column: str, kind: str, mapping: DataFrame) -> DataFrame:
-    """df with a column's values replaced: each distinct value once, then joined back."""
-    value = F.col(f"`{column}`")
-    raws = df.select(value.alias("raw")).filter("raw IS NOT NULL").distinct().withColumn("kind", F.lit(kind))
-    new = faked(raws, mapping).select(F.col("raw").alias("_raw"), F.col("value").alias("_new"))
+def swaps_for(tables: dict[str, DataFrame], decisions: list[Decision], spans: DataFrame | None, mapping: DataFrame) -> DataFrame:
+    """(kind, raw, value): what stands for each distinct value of columns and spans, in its own layout."""
+    parts = [tables[d.table].select(F.lit(kind).alias("kind"), F.col(f"`{d.column}`").alias("raw")) for d in decisions if (kind := _kind(d))]
+    parts += [spans.select("kind", F.col("piece").alias("raw"))] if spans is not None else []
+    if not parts:
+        return mapping.select("kind", F.col("canon").alias("raw"), F.col("fake").alias("value")).limit(0)
+    raws = written(reduce(DataFrame.unionByName, parts).filter("raw IS NOT NULL").distinct(), "raws")
+    return written(faked(raws, mapping), "swaps")
+
+
+def swap_column(df: DataFrame, column: str, kind: str, swaps: DataFrame) -> DataFrame:
+    """df with a column's values replaced."""
+    new = swaps.filter(F.col("kind") == kind).select(F.col("raw").alias("_raw"), F.col("value").alias("_new"))
     order = df.columns
-    return df.join(new, value == F.col("_raw"), "left").withColumn(column, F.col("_new")).select(*(F.col(f"`{c}`") for c in order))
+    return df.join(new, F.col(f"`{column}`") == F.col("_raw"), "left").withColumn(column, F.col("_new")).select(*(F.col(f"`{c}`") for c in order))
 
 
-def swap_spans(df: DataFrame, table: str, column: str, spans: DataFrame, mapping: DataFrame) -> DataFrame:
+def swap_spans(df: DataFrame, table: str, column: str, spans: DataFrame, swaps: DataFrame) -> DataFrame:
     """df with the spans of a text column replaced, each in its own layout."""
-    own = spans.filter((F.col("table") == table) & (F.col("column") == column)).select(ROW, "start", "end", "kind", "piece")
-    new = faked(own.select("kind", F.col("piece").alias("raw")).distinct(), mapping).withColumnsRenamed({"kind": "_kind", "raw": "_raw"})
-    put = own.join(new, (F.col("kind") == F.col("_kind")) & (F.col("piece") == F.col("_raw")))
+    own = spans.filter((F.col("table") == table) & (F.col("column") == column)).select(ROW, "start", "end", "kind", F.col("piece").alias("raw"))
+    put = own.join(swaps, ["kind", "raw"])
     put = put.groupBy(F.col(ROW).alias("_row")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("_puts"))
     order, value = df.columns, F.col(f"`{column}`")
     out = df.join(put, F.col(ROW) == F.col("_row"), "left")
@@ -68,6 +75,7 @@ def build(tables: dict[str, DataFrame], decisions: list[Decision], spans: DataFr
         wanted = F.struct("table", "column").isin(*(F.struct(F.lit(t).alias("table"), F.lit(c).alias("column")) for t, c in replaced)) if replaced else F.lit(False)
         spans = written(spans.filter(wanted), "chosen-spans")
     mapping = mapping_for(tables, decisions, spans, key, names)
+    swaps = swaps_for(tables, decisions, spans, mapping)
     out, counts = {}, dict.fromkeys(("keep", "drop", "pseudonymize", "remap", "replace_spans"), 0)
     for table, df in tables.items():
         for d in (d for d in decisions if d.table == table):
@@ -75,9 +83,9 @@ def build(tables: dict[str, DataFrame], decisions: list[Decision], spans: DataFr
             if d.action == "drop":
                 df = df.drop(d.column)
             elif kind := _kind(d):
-                df = swap_column(df, d.column, kind, mapping)
+                df = swap_column(df, d.column, kind, swaps)
             elif d.action == "replace_spans" and spans is not None:
-                df = swap_spans(df, table, d.column, spans, mapping)
+                df = swap_spans(df, table, d.column, spans, swaps)
         out[table] = written(df, f"twin-{len(out)}")
     changed = None if spans is None else spans.select("table", "column", ROW).distinct()
     return Twin(out, mapping, changed, counts)
@@ -95,7 +103,7 @@ def mask_texts(texts: DataFrame, spans: DataFrame, key: bytes, names: Gazetteer
     """A preview: texts (ROW, value) with their spans (ROW, start, end, kind, piece, table, column) replaced."""
     mapping = written(assign(collect_values([], spans), key, True, names).select("kind", "canon", "fake"), "preview")
     first = spans.select("table", "column").first()
-    return texts if first is None else swap_spans(texts, first["table"], "value", spans.withColumn("column", F.lit("value")), mapping)
+    return texts if first is None else swap_spans(texts, first["table"], "value", spans.withColumn("column", F.lit("value")), swaps_for({}, [], spans, mapping))
 
 
 def marks(decisions: list[Decision], changed: DataFrame | None, waiting: DataFrame | None) -> DataFrame | None:

@@ -252,10 +252,16 @@ def numbered_rows(spark, sf_dir):
 # ---------------------------------------------------------------- twins
 
 
+_runs: dict[tuple[str, str], tuple] = {}
+
+
 def _masked(spark, sf_dir):
-    tables = dataset(spark, sf_dir)
-    result = masking.run_masked(masking.analyze(tables), policy_from_dict(DEFAULT), TEST_KEY)
-    return tables, result
+    """The tables and their masked twin, which is stored and read again by the queries of one session."""
+    at = spark.sparkContext.applicationId, sf_dir
+    if at not in _runs:
+        tables = dataset(spark, sf_dir)
+        _runs[at] = tables, masking.run_masked(masking.analyze(tables), policy_from_dict(DEFAULT), TEST_KEY)
+    return _runs[at]
 
 
 def masked_twin(spark, sf_dir):
