@@ -180,7 +180,8 @@ def resolve(tables: dict[str, DataFrame], spans: DataFrame, detections: list[Det
     A value that an identity column holds is replaced, one that only another column holds is kept.
     decisions: {"groups": {key: "keep" | "replace"}, "values": {key: {"row:start": "keep" | "replace"}}}.
     """
-    columns = [(d.table, d.column) for d in detections if d.tag == "FREE_TEXT"]
+    columns = [(r["table"], r["column"]) for r in spans.select("table", "column").distinct().collect()]  # a row for each text column
+    columns = sorted(columns) or [(d.table, d.column) for d in detections][:1]
     low = uncertain(tables, spans, columns, least)
     return settle(with_auto(tables, low, detections, columns), decisions)
 

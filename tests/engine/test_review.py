@@ -50,7 +50,7 @@ def reviewed(spark):
     ids = valid_ids(60)
     filler = " وهذا نص عربي طويل يكفي لكي يعد العمود نصا حرا بلا شك"
     notes = [f"رقم الطلب {ids[k] if k < 30 else ids[k][:-1] + str((int(ids[k][-1]) + 5) % 10)}{filler}" for k in range(32)] + [f"رقم العملية {ids[40 + k]}{filler}" for k in range(5)]
-    tables = {"t": spark.createDataFrame([(k, n, ids[k] if k == 33 else f"c{k}") for k, n in enumerate(notes)], f"{ROW} long, notes string, ref string")}
+    tables = {"t": spark.createDataFrame([(k, str(k), n, f"c{k}") for k, n in enumerate(notes)], f"{ROW} long, t_id string, notes string, ref string")}
     detections = detect_columns(tables, profile(tables))
     spans = text_spans(tables, [("t", "notes")])
     return tables, detections, spans
