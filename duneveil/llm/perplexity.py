@@ -23,8 +23,10 @@ ORDER = 4
 BITS = 6
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
-#: A band reaches so many times as far from the median as the 5th and the 95th percentile do.
-REACH = 3.0
+#: A band reaches so many times as far from the median as the quartiles do (3.4 standard deviations of a normal spread) ...
+REACH = 5.0
+#: ... and at least so large a share of the median, where a crowd of near copies leaves hardly any spread.
+LEAST_REACH = 0.1
 SHORT = 200
 
 # Punctuation by kind, symbols of the quality rule.
@@ -218,9 +220,10 @@ def quality(
 
     base_failed: fewer than min_words words, or more than repeat_percent of them in repeated 5-word windows.
     kept: not base_failed and the perplexity (a symbol) inside the language's band.  A band is drawn in nats over
-    the language's texts that pass the base rules: median - reach * (median - 5th percentile) up to
-    median + reach * (95th percentile - median), wider by sqrt(1 + SHORT / characters) for a text, as the mean over
-    few symbols scatters more.  A null language is a language.  A null or empty text has no
+    the language's texts that pass the base rules, texts of one score counted once: median - reach * (median - lower
+    quartile) up to median + reach * (upper quartile - median), LEAST_REACH of the median on each side at least.
+    Under a quarter of junk moves no quartile out of the clean texts.  A band is wider by sqrt(1 + SHORT / characters)
+    for a text, as the mean over few symbols scatters more.  A null language is a language.  A null or empty text has no
     words and fails; its perplexity, and that of a text too short for an n-gram, is null, and no band rejects it.
     Repeated rows are texts of their own, and count in the model as often.  Other columns are ignored.
     """
@@ -234,9 +237,11 @@ def quality(
     scored = saved(texts.mapInArrow(_scorer(shared), f"id {id_type}, lang string, {', '.join(f'{x} long' for x in RULES)}, nats double"), "perplexity")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
-    at = scored.filter("NOT base_failed AND nats IS NOT NULL").groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("nats", [0.05, 0.5, 0.95], 10000).alias("at"))
+    at = scored.filter("NOT base_failed AND nats IS NOT NULL").select(F.col("lang").alias("of"), "nats").distinct()
+    at = at.groupBy("of").agg(F.percentile_approx("nats", [0.25, 0.5, 0.75], 10000).alias("at"))
     low, middle, high = (F.col("at")[k] for k in range(3))
-    bands = at.select("of", middle.alias("middle"), (reach * (middle - low)).alias("below"), (reach * (high - middle)).alias("above"))
+    side = lambda far: F.greatest(reach * far, LEAST_REACH * middle)
+    bands = at.select("of", middle.alias("middle"), side(middle - low).alias("below"), side(high - middle).alias("above"))
     rows = scored.join(bands, F.col("lang").eqNullSafe(F.col("of")), "left")
     wider = F.sqrt(1 + F.lit(SHORT) / F.greatest(F.col("word_chars") + F.col("n_words"), F.lit(1)))
     off = F.col("nats") - F.col("middle")

@@ -302,6 +302,17 @@ def test_gibberish_falls_out_of_the_band(spark):
     assert sum(got[k].kept for k in range(200)) == 200
 
 
+def test_junk_in_a_tenth_of_a_language_does_not_widen_its_band(spark):
+    rng = random.Random(15)
+    syllables = "ba co di fe gu la me no pi ra se tu vo".split()
+    words = ["".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(300)]
+    plain = [" ".join(rng.choices(words, k=100)) for _ in range(270)]
+    junk = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(100)) for _ in range(30)]
+    got = {r.doc_id: r.kept for r in perplexity.quality(docs(spark, plain + junk)).collect()}
+    assert not any(got[k] for k in range(270, 300))
+    assert sum(got[k] for k in range(270)) >= 267
+
+
 def test_model_probabilities_sum_to_one():
     rng = np.random.default_rng(11)
     grams, counts = np.unique(rng.integers(0, 1 << 24, 3000), return_counts=True)
