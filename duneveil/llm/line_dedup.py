@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import n_words
+
 RATIO = 0.1
 MIN_PAGES = 5
 
@@ -42,12 +44,13 @@ def fingerprint(line: Column) -> Column:
 
 
 def drop_site_lines(
-    pages: DataFrame, id_col: str, site: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, max_loss: float = 1.0
+    pages: DataFrame, id_col: str, site: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, max_loss: float = 1.0, min_words: int = 1
 ) -> DataFrame:
     """pages with the columns site, n_lines, n_dropped and kept_text (kept lines joined by line feeds).
 
     lines: an array of texts.  A line is dropped if at least min_pages pages of its site hold it and they are
     more than ratio of the site's pages.  Lines are compared trimmed; blank ones count for nothing and stay.
+    Lines of fewer than min_words words stay as well.
     A page counts once for a line it repeats.  A page that would lose more than max_loss of its lines that are
     not blank is left whole: it is a copy of other pages and not framed by them (1.0: no page is).
     Null lines: kept_text null, counts 0.  A null site is a site.  Repeated rows are pages of their own.
@@ -56,6 +59,10 @@ def drop_site_lines(
     page) / ratio entries.
     """
     rows = pages.withColumns({"site": site, "_lines": lines}).withColumn("_prints", F.transform("_lines", fingerprint))
+    solid = F.size(F.filter("_prints", lambda x: x.isNotNull()))
+    if min_words > 1:
+        rows = rows.withColumns({"_solid": solid, "_prints": F.transform("_lines", lambda x: F.when(n_words(trimmed(x)) >= min_words, fingerprint(x)))})
+        solid = F.col("_solid")
     prints = rows.select("site", F.explode(F.array_distinct(F.filter("_prints", lambda x: x.isNotNull()))).alias("print"))
     held = prints.groupBy("site", "print").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") >= min_pages)
     totals = rows.groupBy("site").agg(F.count(F.lit(1)).alias("pages")).withColumnRenamed("site", "of")
@@ -66,7 +73,6 @@ def drop_site_lines(
         .agg(F.collect_list("print").alias("_frame"))
     )
     rows = rows.join(frame, F.col("site").eqNullSafe(F.col("of")), "left").drop("of")
-    solid = F.size(F.filter("_prints", lambda x: x.isNotNull()))
     marked = F.transform("_prints", lambda x: F.coalesce(F.array_contains("_frame", x), F.lit(False)))
     rows = rows.withColumn("_drop", F.when(F.col("_frame").isNotNull(), marked))
     lost = F.coalesce(F.size(F.filter("_drop", lambda x: x)), F.lit(0))
@@ -75,4 +81,4 @@ def drop_site_lines(
     text = F.array_join(F.when(F.col("_lost") > 0, kept).otherwise(F.col("_lines")), "\n")
     return rows.withColumns(
         {"n_lines": F.greatest(F.coalesce(solid, F.lit(0)), F.lit(0)).cast("long"), "n_dropped": F.coalesce("_lost", F.lit(0)).cast("long"), "kept_text": text}
-    ).drop("_lines", "_prints", "_frame", "_drop", "_lost")
+    ).drop("_lines", "_prints", "_solid", "_frame", "_drop", "_lost")

@@ -66,6 +66,15 @@ def test_each_stage_takes_its_cases_and_leaves_the_rest(spark, planted):
     assert set(after["mixing"]) <= set(after["decontamination"]) and all(r.copies >= 1 for r in after["mixing"].values())
 
 
+def test_a_frame_line_of_a_twentieth_of_a_hot_source_goes(spark):
+    rng = random.Random(22)
+    rows = [(k, ("Part of the archive\nYes.\n" if k % 20 == 0 else "") + "\n".join(" ".join(invented(rng, 8, 10**6)) for _ in range(5)), "en", "hot", 0) for k in range(400)]
+    rows += [(400 + k, "Part of the archive\n" + " ".join(invented(rng, 8, 10**6)) + "\nmore of it", "en", f"s{k}", 0) for k in range(4)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_frame_lines(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    for k, text, *_ in rows:
+        assert got[k] == (text.replace("Part of the archive\n", "") if k < 400 else text)
+
+
 def test_run_equals_the_stages(spark, planted):
     folder, _ = planted
     docs = spark.read.parquet(f"{folder}/documents.parquet")
