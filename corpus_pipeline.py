@@ -14,8 +14,6 @@ from duneveil.llm.common import n_words, saved, table
 
 #: A source is no web host: a line of so many words is its frame if more than this share of its documents hold it.
 LINE_RATIO, MIN_LINE_WORDS = 0.01, 2
-#: A document that would lose more of its lines than this is a copy, which near-dedup deals with, and stays whole.
-MAX_LINE_LOSS = 0.5
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -31,9 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_frame_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that frame their source's documents; each document stays."""
+    """Documents without the lines that frame their source's documents; each stays, whole if it has no other lines."""
     lines = line_dedup.text_lines(F.col("text"))
-    out = line_dedup.drop_site_lines(docs, "doc_id", F.col("source"), lines, ratio=LINE_RATIO, max_loss=MAX_LINE_LOSS, min_words=MIN_LINE_WORDS)
+    out = line_dedup.drop_site_lines(docs, "doc_id", F.col("source"), lines, ratio=LINE_RATIO, min_words=MIN_LINE_WORDS, copies_once=True)
     changed = F.col("n_dropped") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
     return out.withColumns({"text": text, "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}).select(docs.columns)

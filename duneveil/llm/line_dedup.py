@@ -44,13 +44,17 @@ def fingerprint(line: Column) -> Column:
 
 
 def drop_site_lines(
-    pages: DataFrame, id_col: str, site: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, max_loss: float = 1.0, min_words: int = 1
+    pages: DataFrame, id_col: str, site: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, max_loss: float = 1.0, min_words: int = 1,
+    copies_once: bool = False,
 ) -> DataFrame:
     """pages with the columns site, n_lines, n_dropped and kept_text (kept lines joined by line feeds).
 
     lines: an array of texts.  A line is dropped if at least min_pages pages of its site hold it and they are
     more than ratio of the site's pages.  Lines are compared trimmed; blank ones count for nothing and stay.
     Lines of fewer than min_words words stay as well.
+    copies_once: the pages that hold a line count by their longest other line, so that copies, whose lines are all
+    content, count once; and a page that would lose all its lines is left whole.  Copies that differ in their
+    longest line count as often as it does.
     A page counts once for a line it repeats.  A page that would lose more than max_loss of its lines that are
     not blank is left whole: it is a copy of other pages and not framed by them (1.0: no page is).
     Null lines: kept_text null, counts 0.  A null site is a site.  Repeated rows are pages of their own.
@@ -64,6 +68,13 @@ def drop_site_lines(
         rows = rows.withColumns({"_solid": solid, "_prints": F.transform("_lines", lambda x: F.when(n_words(trimmed(x)) >= min_words, fingerprint(x)))})
         solid = F.col("_solid")
     prints = rows.select("site", F.explode(F.array_distinct(F.filter("_prints", lambda x: x.isNotNull()))).alias("print"))
+    if copies_once:
+        sized = F.filter(F.transform("_lines", lambda x: F.struct(F.length(trimmed(x)).alias("size"), fingerprint(x).alias("print"))), lambda x: x["print"].isNotNull())
+        longest = rows.withColumn("_sized", sized).withColumn("_top", F.array_max("_sized")["print"])
+        longest = longest.withColumn("_next", F.array_max(F.filter("_sized", lambda x: x["print"] != F.col("_top")))["print"])
+        prints = longest.select("site", "_top", "_next", F.explode(F.array_distinct(F.filter("_prints", lambda x: x.isNotNull()))).alias("print"))
+        other = F.coalesce(F.when(F.col("print") == F.col("_top"), F.col("_next")).otherwise(F.col("_top")), F.col("print"))
+        prints = prints.select("site", "print", other.alias("other")).distinct()
     held = prints.groupBy("site", "print").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") >= min_pages)
     totals = rows.groupBy("site").agg(F.count(F.lit(1)).alias("pages")).withColumnRenamed("site", "of")
     frame = (
@@ -76,7 +87,10 @@ def drop_site_lines(
     marked = F.transform("_prints", lambda x: F.coalesce(F.array_contains("_frame", x), F.lit(False)))
     rows = rows.withColumn("_drop", F.when(F.col("_frame").isNotNull(), marked))
     lost = F.coalesce(F.size(F.filter("_drop", lambda x: x)), F.lit(0))
-    rows = rows.withColumn("_lost", F.when(lost > F.lit(max_loss) * solid, 0).otherwise(F.greatest(lost, F.lit(0))))
+    whole = lost > F.lit(max_loss) * solid
+    if copies_once:
+        whole = whole | (lost == solid)
+    rows = rows.withColumn("_lost", F.when(whole, 0).otherwise(F.greatest(lost, F.lit(0))))
     kept = F.filter("_lines", lambda x, i: ~F.element_at("_drop", i + 1))
     text = F.array_join(F.when(F.col("_lost") > 0, kept).otherwise(F.col("_lines")), "\n")
     return rows.withColumns(

@@ -75,6 +75,18 @@ def test_a_frame_line_of_a_twentieth_of_a_hot_source_goes(spark):
         assert got[k] == (text.replace("Part of the archive\n", "") if k < 400 else text)
 
 
+def test_short_pages_lose_their_frame_and_copies_stay_whole(spark):
+    rng = random.Random(23)
+    own = ["\n".join(" ".join(invented(rng, 6, 10**6)) for _ in range(2)) for _ in range(200)]
+    rows = [(k, f"Home and news\n{x}\nAll rights are ours\nWrite to us", "en", "s", 0) for k, x in enumerate(own)]
+    copy = "\n".join(" ".join(invented(rng, 8, 10**6)) for _ in range(6))
+    rows += [(200 + k, copy, "en", "s", 0) for k in range(30)] + [(230, "Home and news\nWrite to us", "en", "s", 0)]
+    rows += [(231 + k, f"Home and news\n{copy}\n" + " ".join(invented(rng, 5, 10**6)), "en", "s", 0) for k in range(30)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_frame_lines(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    for k, text, *_ in rows:
+        assert got[k] == (own[k] if k < 200 else text if k <= 230 else text.replace("Home and news\n", ""))
+
+
 def test_run_equals_the_stages(spark, planted):
     folder, _ = planted
     docs = spark.read.parquet(f"{folder}/documents.parquet")
