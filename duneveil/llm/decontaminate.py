@@ -29,7 +29,7 @@ FILTER_BITS = 27
 #: An overlap counts from so many equal words on, or so large a share of the item, ...
 MIN_EQUAL = 13
 MIN_ITEM_SHARE = 0.6
-#: ... in a stretch of which so large a share is equal.
+#: ... in a stretch of which so large a share is equal; the share of the item counts over the whole overlay as well.
 MIN_STRETCH_SHARE = 0.7
 
 
@@ -145,7 +145,11 @@ def _verifier(min_equal: int, item_share: float, stretch_share: float):
                 low, high = max(0, -diagonal), min(len(b), len(a) - diagonal)
                 if high <= low:
                     continue
-                begin, end, equal = best_stretch(a[low + diagonal : high + diagonal] == b[low:high], stretch_share)
+                same = a[low + diagonal : high + diagonal] == b[low:high]
+                begin, end, equal = best_stretch(same, stretch_share)
+                if (every := int(same.sum())) >= item_share * len(b):
+                    at = np.flatnonzero(same)
+                    begin, end, equal = int(at[0]), int(at[-1]) + 1, every
                 if equal >= min(min_equal, item_share * len(b)):
                     rows.append(k)
                     begins.append(first + diagonal + low + begin)
@@ -170,7 +174,8 @@ def overlaps(
     Words are runs of characters other than ASCII white space, with A-Z folded.  Text and item are laid over each
     other so that a seed fits, and the best stretch of that overlay (an equal word scores 1, another
     -stretch_share / (1 - stretch_share)) is a leak if it has min_equal equal words, or item_share of the item's
-    words where those are fewer.  first_word and end_word count the text's words from 0.  A stretch ends at
+    words where those are fewer.  An overlay in which item_share of the item's words are equal is a leak however
+    they lie, from the first of them to the last.  first_word and end_word count the text's words from 0.  A stretch ends at
     `reach` words from the hits, and is found again from the next ones.
     Null or empty texts and items, and items shorter than the shortest mask, give nothing; rows of equal id are
     one text as far as results go (the best overlap of any); a null id is an id.  Other columns are ignored.

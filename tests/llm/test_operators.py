@@ -86,6 +86,23 @@ def test_leaks_survive_substitutions_and_clean_texts_stay(spark):
     assert by[1].n_equal == 27
 
 
+def test_lightly_substituted_items_leak_as_brute_force_says(spark):
+    rng = random.Random(16)
+    items = [invented(rng, 15 + k % 16, 10**6) for k in range(120)]
+    items[0] = items[0][:15]
+    texts, want = [], set()
+    for k, item in enumerate(items):
+        gone = {8, 9, 11} if k == 0 else set(rng.sample(range(len(item)), len(item) // 5))
+        laid = [f"x{rng.randrange(10**6)}" if n in gone else w for n, w in enumerate(item)]
+        texts.append(" ".join([*invented(rng, rng.randrange(100), 10**9), *laid, *invented(rng, rng.randrange(100), 10**9)]))
+        hit = any(all(n + m not in gone for m, mark in enumerate(mask) if mark == "#") for mask in decontaminate.MASKS for n in range(len(item) - len(mask) + 1))
+        if hit and len(item) - len(gone) >= decontaminate.MIN_ITEM_SHARE * len(item):
+            want.add((k, k, len(item) - len(gone)))
+    bench = frame(spark, [(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_equal) for r in decontaminate.overlaps(docs(spark, texts), bench).collect()}
+    assert got == want and (0, 0, 12) in want and len(want) > 110
+
+
 def test_leaks_of_empty_tables(spark):
     bench = frame(spark, [], "item_id long, text string")
     assert decontaminate.overlaps(docs(spark, EDGES), bench).count() == 0
