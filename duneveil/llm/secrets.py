@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest (DataFrame operations only).
 
-A candidate is a run of 16 or more characters of A-Z a-z 0-9 _ + / = . - that holds a digit.  The forest sees its
+A candidate is a run of 16 or more characters of A-Z a-z 0-9 _ + / = . - that holds a digit, or any value of 6 or more
+characters that is assigned to a secret word, quoted after one, or the password of a URL.  The forest sees its
 length, its character transitions and shares, how much of it the dictionary covers (the words that enough texts
 of the corpus hold), the path it is found under and the words beside it.  It learns from labelled findings: lines
 of text, each with a candidate and whether that was a secret.
@@ -16,14 +17,22 @@ from pyspark.sql import functions as F
 from .common import saved
 
 _CHARS = r"A-Za-z0-9_+/=.\-"
-CANDIDATE = rf"(?<![{_CHARS}])(?=[A-Za-z_+/=.\-]*+[0-9])[{_CHARS}]{{16,}}+"
 #: Words of so many letters that at least so many texts hold are in the dictionary.
 MIN_LETTERS, MIN_TEXTS = 4, 5
 TREES, DEPTH, SEED = 40, 7, 11
 N_LABELLED = 6000
+#: Words so many characters before a candidate stand beside it.
+LOOK = 48
 
 # What stands beside secrets and beside look-alikes, starts of issued keys, placeholders, test paths.
 SECRET_WORDS = "key|token|secret|passw|pwd|passphrase|auth|bearer|credential|private|signature"
+_NAME = rf"(?i:{SECRET_WORDS})[A-Za-z0-9_.\-]{{0,16}}"
+#: Before a value: a name and a sign of assignment or a quote, or the scheme of a header; the first look is the cheap one.
+_NAMED = rf"(?<=[\"'`=:>\s])(?<=[=:>]\s{{0,4}}[\"'`]?|[\s][\"'`]|(?i:bearer|basic)\s)(?<={_NAME}[\"'`]?\s{{0,4}}(?:[=:>]{{1,2}}\s{{0,4}}[\"'`]?|[\"'`])|\b(?i:bearer|basic)\s{{1,4}})"
+_VALUE = r"(?!(?i:bearer|basic)\s)(?:(?<=\")[^\"\r\n]{6,}+(?=\")|(?<=')[^'\r\n]{6,}+(?=')|(?<=`)[^`\r\n]{6,}+(?=`)|[^\s\"'`=:>,;][^\s\"'`,;]{5,}+)"
+_PASSWORD = r"(?<=:)(?<=://[^\s:/@]{0,64}:)[^\s/]{6,}(?=@)"
+_RUN = rf"(?<![{_CHARS}])(?=[A-Za-z_+/=.\-]*+[0-9])(?![A-Za-z0-9_.\-]*?{_NAME}=[^\s\"'`,;]{{6}})[{_CHARS}]{{16,}}+"
+CANDIDATE = rf"{_NAMED}{_VALUE}|{_PASSWORD}|{_RUN}"
 HARMLESS_WORDS = "sha|hash|digest|commit|checksum|md5|uuid|guid|revision|version|href|src|url|mail|phone|card|iban|order|invoice|isbn"
 ISSUED = r"^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|AIza|eyJ)"
 PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|dummy|your|x{4,}|0{6,}|1234567|abcdef|deadbeef"
@@ -36,11 +45,15 @@ FEATURES = (
 
 
 def candidates(lines: DataFrame, line: Column, *keep: str) -> DataFrame:
-    """keep, place, left, candidate, right: a row for each candidate of a line, with what stands between it and the next."""
+    """keep, place, left, candidate, right: a row for each candidate of a line, with what stands on the line before it
+    (LOOK characters of it, and what is between it and the one before) and up to the next one."""
     found = F.regexp_extract_all(line, F.lit(CANDIDATE), F.lit(0))
     rows = lines.filter(line.rlike(CANDIDATE)).withColumns({"_found": found, "_between": F.split(line, CANDIDATE, -1)})
-    rows = rows.select(*keep, "_between", F.posexplode("_found").alias("place", "candidate"))
-    return rows.select(*keep, "place", F.element_at("_between", F.col("place") + 1).alias("left"), "candidate", F.element_at("_between", F.col("place") + 2).alias("right"))
+    rows = rows.select(*keep, "_between", "_found", F.posexplode("_found").alias("place", "candidate"))
+    most = LOOK // 6
+    earlier = F.zip_with(*(F.slice(x, F.greatest(F.col("place") + 1 - most, F.lit(1)), F.least(F.col("place"), F.lit(most))) for x in ("_between", "_found")), lambda x, y: F.concat(F.substring(x, -LOOK, LOOK), F.substring(y, -LOOK, LOOK)))
+    before = F.substring(F.array_join(earlier, ""), -LOOK, LOOK)
+    return rows.select(*keep, "place", F.concat(before, F.element_at("_between", F.col("place") + 1)).alias("left"), "candidate", F.element_at("_between", F.col("place") + 2).alias("right"))
 
 
 def _share(text: Column, pattern: str) -> Column:
@@ -50,7 +63,7 @@ def _share(text: Column, pattern: str) -> Column:
 def features(found: DataFrame) -> DataFrame:
     """The column `features` from left, candidate, right, path and covered (letters that the dictionary covers)."""
     c, left, right = F.col("candidate"), F.col("left"), F.col("right")
-    near = F.lower(F.substring(left, -48, 48))
+    near = F.lower(F.substring(left, -LOOK, LOOK))
     borders = F.regexp_replace(c, "(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])", "\u0001")
     is_true = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     columns = {
@@ -59,7 +72,7 @@ def features(found: DataFrame) -> DataFrame:
         "transitions": (F.length(borders) - F.length(c)) / F.length(c),
         "hex_only": is_true(c.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         "letters_only_runs": _share(c, "[^A-Za-z]|(?<![A-Za-z])[A-Za-z]{1,3}(?![A-Za-z])"),
-        "distinct": F.size(F.array_distinct(F.split(F.substring(c, 1, 256), ""))) / F.least(F.length(c), F.lit(256)),
+        "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.length(c),
         "dictionary": F.coalesce("covered", F.lit(0)) / F.length(c),
         "slashes": F.length(F.regexp_replace(c, "[^/]", "")).cast("double"), "dots": F.length(F.regexp_replace(c, r"[^.]", "")).cast("double"),
         "issued": is_true(c.rlike(ISSUED)), "placeholder": is_true(c.rlike(PLACEHOLDER)),
@@ -88,6 +101,7 @@ def labelled_findings(spark: SparkSession, n: int = N_LABELLED) -> DataFrame:
     name = F.when(F.pmod(F.col("id"), F.lit(5)) == 0, F.upper(name)).otherwise(name)
     cut = lambda x, low, high: F.substring(x, F.lit(1), (F.pmod(F.hash(F.col("id"), F.lit(2)), F.lit(high - low + 1)) + low).cast("int"))
     join = lambda *x: F.concat(*(y if isinstance(y, Column) else F.lit(y) for y in x))
+    symbol = F.substring(F.lit("!@#$%&*^"), F.pmod(F.hash(F.col("id"), F.lit(7)), F.lit(8)) + 1, F.lit(1))
     kinds = [
         (join(name, ' = "', F.substring(hex_, 1, 40), '"'), 1), (join(name, "=", cut(mixed, 24, 40)), 1), (join("export ", F.upper(name), "='", cut(hex_, 32, 64), "'"), 1),
         (join(name, ": ", cut(mixed, 20, 43)), 1), (join("Authorization: Bearer ", mixed), 1), (join("use AKIA", F.upper(F.substring(hex_, 1, 16)), " to sign in"), 1),
@@ -98,6 +112,11 @@ def labelled_findings(spark: SparkSession, n: int = N_LABELLED) -> DataFrame:
         (join(name, ' = "your-', word(3), "-", word(4), '-key-1234567"'), 0), (join(name, ' = "xxxxxxxxxxxxxxxx', F.substring(digits, 1, 4), '"'), 0),
         (join("/usr/lib/", word(3), "/", word(4), F.substring(digits, 1, 1), "/", word(5), ".so"), 0), (join(word(3), "_", word(4), "_", word(5), "_v", F.substring(digits, 1, 2), ".", F.substring(digits, 3, 1), " is out"), 0),
         (join("etag: ", F.md5(k)), 0), (join(digits, F.substring(digits, 1, 4), " ", word(3)), 0), (join(F.upper(F.substring(hex_, 1, 2)), digits, F.substring(digits, 3, 8), " ", word(4)), 0),
+        (join(name, ' = "', word(3), symbol, F.substring(mixed, 1, 3), F.substring(digits, 1, 2), '"'), 1), (join(name, "=", cut(mixed, 6, 12), symbol, F.substring(mixed, 20, 3)), 1),
+        (join(name, ': "', cut(mixed, 8, 15), '"'), 1), (join("postgres://", word(3), ":", cut(mixed, 7, 14), "@db.example.com/", word(4)), 1),
+        (join(name, "=", F.translate(cut(mixed, 16, 30), "0123456789+/", "abQwZkLmRtyX")), 1), (join(name, ' = "', word(3), " ", word(4), " ", word(5), " ", word(6), '"'), 1),
+        (join(name, ": ", word(3), " ", word(4), " of the ", word(5)), 0), (join(name, " = load_", word(3), "(", word(4), ")"), 0), (join("author: ", word(3), " ", word(4)), 0),
+        (join(name, ' = "<', word(3), '>"'), 0), (join(name, ": required, see the ", word(3)), 0), (join(name, " = ${", F.upper(word(3)), "_", F.upper(word(4)), "}"), 0),
     ]
     line, label = F.array(*(x for x, _ in kinds)), F.array(*(F.lit(y) for _, y in kinds))
     which = (F.pmod(F.col("id"), F.lit(len(kinds))) + 1).cast("int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 
@@ -216,6 +217,21 @@ def test_secrets_are_told_from_lookalikes(spark):
     assert {r.line_no for r in got if r.doc_id == 7} == {1}
 
 
+def test_short_and_broken_secrets_are_candidates(spark):
+    secret = ['password = "Tr0ub4dor3"', "db_password=hu!nt#er2$x", "postgres://ann:s3cr3tpw@db.example.com/x", "token=abQwZkLmRtyXabQw", 'passphrase = "correct horse battery staple"']
+    texts = [*secret, "a=1, token: '8fK2mQ9x!Zr4', password: 'Qw7#rT2p'", "password: chapter of the report"]
+    got = secrets.scan(docs(spark, texts)).collect()
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    values = ["Tr0ub4dor3", "hu!nt#er2$x", "s3cr3tpw", "abQwZkLmRtyXabQw", "correct horse battery staple"]
+    assert {(r.doc_id, r.digest) for r in got if r.is_secret} == {*((k, digest(v)) for k, v in enumerate(values)), (5, digest("8fK2mQ9x!Zr4")), (5, digest("Qw7#rT2p"))}
+
+
+def test_neighbours_are_the_lines(spark):
+    lines = spark.createDataFrame([("secret 24be64439e3e49cf46b2 and 8fK2mQ9xZr4TnW7vB3cL",), ("x" * 400 + "1" + "abcdefgh" * 40,)], "line string")
+    got = {r.candidate: r.left for r in secrets.candidates(lines, F.col("line")).collect()}
+    assert got["8fK2mQ9xZr4TnW7vB3cL"] == "secret 24be64439e3e49cf46b2 and "
+
+
 def test_forest_on_held_out_labelled_findings(spark):
     every = secrets.labelled_findings(spark, 3000).withColumn("doc_id", F.monotonically_increasing_id()).cache()
     test = every.filter(F.hash("line") % 4 == 0)
