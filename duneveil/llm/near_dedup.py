@@ -12,7 +12,8 @@
    are enough for a link, members get longer, finer band keys, hubs of those buckets, and then the pairs across
    components that are left.
 
-A pair of similarity 0.8 shares no band with a probability of 3e-6, no fine band of 1e-5; the sketch test is
+A pair of similarity 0.8 shares no band with a probability of 3e-6, no fine band of 1e-5 (fine bands
+have samples of their own and are independent); the sketch test is
 over four standard deviations wide.  Nothing is capped: a hub costs a row for each member, small buckets at most
 LARGE rows for each member, and fine keys are made only for what no component holds together yet.
 """
@@ -35,6 +36,8 @@ PERCENT = 80
 BANDS, ROWS = 32, 5
 FINE_BANDS, FINE_ROWS = 256, 14
 SAMPLES = 256
+#: Each fine band has samples of its own, so that bands miss a pair independently.
+FINE_SAMPLES = FINE_BANDS * FINE_ROWS
 SKETCH_BITS = 1024
 #: Under an estimate of (PERCENT - SLACK) / 100 a pair isn't read in full.
 SLACK = 14
@@ -43,6 +46,7 @@ LARGE = 64
 LIGHT = 24
 
 _MULTIPLIERS = mix(np.arange(SAMPLES, dtype=np.uint64), 7) | np.uint64(1)
+_FINE_MULTIPLIERS = mix(np.arange(FINE_SAMPLES, dtype=np.uint64), 8) | np.uint64(1)
 
 
 def distinct_shingles(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,12 +72,12 @@ def distinct_shingles(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(owner, np.arange(block.n + 1))
 
 
-def minhashes(value: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """A row of SAMPLES values for each set; no set may be empty."""
-    out = np.empty((SAMPLES, len(begin) - 1), np.uint64)
+def minhashes(value: np.ndarray, begin: np.ndarray, multipliers: np.ndarray = _MULTIPLIERS) -> np.ndarray:
+    """A row of values for each set, one for each multiplier; no set may be empty."""
+    out = np.empty((len(multipliers), len(begin) - 1), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(SAMPLES):
-            np.minimum.reduceat(value * _MULTIPLIERS[k], begin[:-1], out=out[k])
+        for k, multiplier in enumerate(multipliers):
+            np.minimum.reduceat(value * multiplier, begin[:-1], out=out[k])
     return np.ascontiguousarray(out.T)
 
 
@@ -93,9 +97,8 @@ COARSE = np.arange(BANDS * ROWS).reshape(BANDS, ROWS)
 
 
 def fine_columns() -> np.ndarray:
-    """FINE_BANDS sets of FINE_ROWS columns, the same on every machine: the lowest of hashed columns."""
-    ranks = mix(np.arange(FINE_BANDS * SAMPLES, dtype=np.uint64), 21).reshape(FINE_BANDS, SAMPLES)
-    return np.argsort(ranks, axis=1, kind="stable")[:, :FINE_ROWS]
+    """FINE_BANDS sets of FINE_ROWS columns; no column is in two of them."""
+    return np.arange(FINE_SAMPLES).reshape(FINE_BANDS, FINE_ROWS)
 
 
 def odd_sketches(hashes: np.ndarray) -> np.ndarray:
@@ -163,7 +166,7 @@ def _fine_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(k, 256)
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(4)]
             begin = np.append(0, np.cumsum([len(x) for x in sets]))
-            keys = band_keys(minhashes(np.concatenate(sets), begin), columns, 6)
+            keys = band_keys(minhashes(np.concatenate(sets), begin, _FINE_MULTIPLIERS), columns, 6)
             rows = pa.array(np.repeat(np.arange(len(sets)), FINE_BANDS))
             yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in range(4)), pa.array(keys.ravel().view(np.int64))], names=["id", "component", "n", "heavy", "key"])
 

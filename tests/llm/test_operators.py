@@ -282,6 +282,15 @@ def test_near_groups_of_odd_rows(spark):
     assert near_dedup.near_groups(frame(spark, [])).count() == 0
 
 
+def test_fine_bands_miss_no_more_than_stated():
+    rng = np.random.default_rng(17)
+    columns, missed = near_dedup.fine_columns(), 0
+    for _ in range(80):  # 20,000 pairs of similarity 0.8: 0.2 misses expected
+        equal = rng.random((250, columns.max() + 1)) < 0.8
+        missed += int((~equal[:, columns].all(axis=2).any(axis=1)).sum())
+    assert missed <= 3
+
+
 def test_sketches_estimate_high_similarities():
     rng = np.random.default_rng(8)
     a = rng.integers(0, 2**63, 1000).astype(np.uint64)
