@@ -72,7 +72,7 @@ def anchored(block: Block, words: np.ndarray, size: int, anchor: int) -> tuple[n
 def _profiler(size: int, anchor: int):
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(2)):
                 words = block.hashes()
                 seq1, seq2 = sequence_ids(block, words)
                 _, at, grams = anchored(block, words, size, anchor)
@@ -81,12 +81,12 @@ def _profiler(size: int, anchor: int):
                 offsets = pa.array(np.searchsorted(doc, np.arange(block.n + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(block.first, block.n), pa.array(np.diff(block.doc_word).astype(np.int64)), pa.array(seq1), pa.array(seq2),
+                        *(batch.column(c).slice(block.first, block.n) for c in (0, 1)), pa.array(np.diff(block.doc_word).astype(np.int64)), pa.array(seq1), pa.array(seq2),
                         pa.array([hashlib.sha256(x).hexdigest() for x in joined(block)], pa.string()),
                         pa.ListArray.from_arrays(offsets, pa.array(grams[at].view(np.int64))),
                         pa.ListArray.from_arrays(offsets, pa.array((at - block.doc_word[doc]).astype(np.int32))),
                     ],
-                    names=["id", "n_words", "seq1", "seq2", "sha", "anchors", "places"],
+                    names=["id", "key", "n_words", "seq1", "seq2", "sha", "anchors", "places"],
                 )
 
     return profiles
@@ -100,7 +100,7 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _windower(size: int, anchor: int):
     def doubted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From (id, seq1, copies, text, places): (hash, id, seq1, start, copies) of windows on those anchors."""
+        """From (key, copies, text, places): (hash, key, start, copies) of windows on those anchors."""
         for batch in batches:
             owner, place = _flat(batch.column("places"))
             for block in blocks(batch.column("text")):
@@ -115,10 +115,9 @@ def _windower(size: int, anchor: int):
                 rows = pa.array(doc + block.first)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(windows(words, size)[starts].view(np.int64)), batch.column("id").take(rows), batch.column("seq1").take(rows),
-                        pa.array((starts - block.doc_word[doc]).astype(np.int32)), batch.column("copies").take(rows),
+                        pa.array(windows(words, size)[starts].view(np.int64)), batch.column("key").take(rows), pa.array((starts - block.doc_word[doc]).astype(np.int32)), batch.column("copies").take(rows),
                     ],
-                    names=["hash", "id", "seq1", "start", "copies"],
+                    names=["hash", "key", "start", "copies"],
                 )
 
     return doubted
@@ -134,7 +133,7 @@ def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
 
 def _remover(size: int):
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From (id, seq1, text, starts): the kept text, what was removed, and the intervals of words."""
+        """From (key, text, starts): the kept text, what was removed, and the intervals of words."""
         for batch in batches:
             owner, start = _flat(batch.column("starts"))
             for block in blocks(batch.column("text")):
@@ -154,10 +153,10 @@ def _remover(size: int):
                 removed = np.bincount(block.word_doc, weights=gone, minlength=block.n).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id").slice(block.first, block.n), batch.column("seq1").slice(block.first, block.n), pa.array(removed),
+                        batch.column("key").slice(block.first, block.n), pa.array(removed),
                         pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()), pa.ListArray.from_arrays(offsets, pairs),
                     ],
-                    names=["id", "seq1", "n_removed", "sha", "removed"],
+                    names=["key", "n_removed", "sha", "removed"],
                 )
 
     return kept
@@ -168,40 +167,40 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     removed: the maximal intervals [first, end) of removed words, counted from 0.  kept_sha256: of the kept words
     joined by one space.  Words are runs of characters other than ASCII white space, compared as they are.
-    A null text has no words.  Rows are told apart by id and word sequence; repeated rows are copies of each
-    other, so all their windows are repeated.  A null id is an id.  Windows are compared by a 64-bit hash.
-    Other columns are ignored.
+    A null text has no words; very long texts count whole.  Rows are told apart by a 64-bit hash of id and text, so
+    an id may be null or stand for several texts; rows whose texts have the same words are copies of each other, and
+    all their windows are repeated.  Windows are compared by a 64-bit hash.  Other columns are ignored, whatever
+    their names; an empty table gives an empty result.
     """
     assert size >= anchor > 0
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.select("id", F.xxhash64("id", "text").alias("key"), "text")
     id_type = texts.schema["id"].dataType.simpleString()
-    profile = saved(
-        texts.mapInArrow(_profiler(size, anchor), f"id {id_type}, n_words long, seq1 long, seq2 long, sha string, anchors array<long>, places array<int>"), "sequences"
-    )
+    kind = f"id {id_type}, key long, n_words long, seq1 long, seq2 long, sha string, anchors array<long>, places array<int>"
+    profile = saved(texts.mapInArrow(_profiler(size, anchor), kind), "sequences")
     long = profile.filter(F.col("n_words") >= size)
-    classes = saved(long.groupBy("seq1", "seq2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")), "copies")
+    classes = saved(long.groupBy("seq1", "seq2").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("copies")), "copies")
     one = classes.select(F.col("seq1").alias("s1"), F.col("seq2").alias("s2"), "node", "copies")
-    same = (F.col("seq1") == F.col("s1")) & (F.col("seq2") == F.col("s2")) & F.col("id").eqNullSafe(F.col("node"))
-    nodes = long.join(one, same).select("id", "seq1", F.least("copies", F.lit(2)).cast("int").alias("copies"), F.explode(F.arrays_zip("anchors", "places")).alias("x"))
-    nodes = nodes.select("id", "seq1", "copies", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
-    twice = nodes.groupBy("anchor").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("anchor").alias("twice"))
+    same = (F.col("seq1") == F.col("s1")) & (F.col("seq2") == F.col("s2"))
+    nodes = long.join(one, same & (F.col("key") == F.col("node"))).select("key", F.least("copies", F.lit(2)).cast("int").alias("copies"), F.explode(F.arrays_zip("anchors", "places")).alias("x"))
+    nodes = nodes.select("key", "copies", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
+    twice = nodes.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("anchor").alias("twice"))
     twice = saved(twice, "anchors")  # read back, it meets a common anchor's rows in as many tasks as they need
-    doubt = nodes.join(twice, F.col("anchor") == F.col("twice")).groupBy("id", "seq1", "copies").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    told = doubt.withColumnRenamed("id", "i").withColumnRenamed("seq1", "s")
-    held = saved(texts.join(told, F.col("id").eqNullSafe(F.col("i"))).select("id", F.col("s").alias("seq1"), "copies", "text", "places"), "doubted")
+    doubt = nodes.join(twice, F.col("anchor") == F.col("twice")).groupBy("key", "copies").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    told = doubt.withColumnRenamed("key", "k")
+    held = saved(texts.join(told, F.col("key") == F.col("k")).select("key", "copies", "text", "places"), "doubted")
 
-    found = held.mapInArrow(_windower(size, anchor), f"hash long, id {id_type}, seq1 long, start int, copies int")
+    found = held.mapInArrow(_windower(size, anchor), "hash long, key long, start int, copies int")
     counts = found.groupBy("hash").agg(F.sum("copies").alias("n")).filter("n > 1").select(F.col("hash").alias("again"))
     counts = saved(counts, "repeated")
-    starts = found.filter("copies = 1").join(counts, F.col("hash") == F.col("again")).groupBy("id", "seq1").agg(F.array_sort(F.collect_list("start")).alias("starts"))
-    starts = starts.withColumnRenamed("id", "i").withColumnRenamed("seq1", "s")
-    rows = held.filter("copies = 1").join(starts, F.col("id").eqNullSafe(F.col("i")) & (F.col("seq1") == F.col("s"))).select("id", "seq1", "text", "starts")
-    cut = rows.mapInArrow(_remover(size), f"id {id_type}, seq1 long, n_removed long, sha string, removed array<struct<first:long,end:long>>")
+    starts = found.filter("copies = 1").join(counts, F.col("hash") == F.col("again")).groupBy(F.col("key").alias("k")).agg(F.array_sort(F.collect_list("start")).alias("starts"))
+    rows = held.filter("copies = 1").join(starts, F.col("key") == F.col("k")).select("key", "text", "starts")
+    cut = rows.mapInArrow(_remover(size), "key long, n_removed long, sha string, removed array<struct<first:long,end:long>>")
 
     copies = one.filter("copies > 1").select("s1", "s2", F.lit(True).alias("copy"))
-    out = profile.drop("anchors", "places").join(copies, (F.col("seq1") == F.col("s1")) & (F.col("seq2") == F.col("s2")) & (F.col("n_words") >= size), "left")
-    cut = cut.select(F.col("id").alias("i"), F.col("seq1").alias("s"), F.col("n_removed").alias("cut"), F.col("sha").alias("cut_sha"), "removed")
-    out = out.join(cut, F.col("id").eqNullSafe(F.col("i")) & (F.col("seq1") == F.col("s")), "left")
+    out = profile.drop("anchors", "places").join(copies, same & (F.col("n_words") >= size), "left")
+    cut = cut.select(F.col("key").alias("k"), F.col("n_removed").alias("cut"), F.col("sha").alias("cut_sha"), "removed")
+    out = out.join(cut, F.col("key") == F.col("k"), "left")
     all_words = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_words").alias("end")))
     none = F.expr("CAST(array() AS array<struct<first:bigint,end:bigint>>)")
     return out.select(

@@ -397,6 +397,18 @@ def test_repeated_windows_of_odd_rows(spark):
     assert substrings.repeated_windows(frame(spark, [])).count() == 0
 
 
+def test_one_id_with_several_texts_equals_brute_force(spark):
+    rng = random.Random(31)
+    passage = invented(rng, 45, 10**6)
+    shared = [" ".join([*invented(rng, 20, 10**6), *passage[:30], *invented(rng, 20, 10**6)]) for _ in range(2)]
+    whole = [" ".join([*invented(rng, 9, 10**6), *passage, *invented(rng, 9, 10**6)]) for _ in range(3)]
+    rows = [(1, shared[0]), (1, shared[1]), (None, whole[0]), (None, whole[1]), (None, whole[1]), (2, whole[2]), (2, None), (2, ""), (None, None), (3, "w " * 2000)]
+    table = frame(spark, [(i, t, "en", "s", 0, "x", 1) for i, t in rows], SCHEMA + ", key string, copies int")
+    got = sorted((r.doc_id is None, r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.repeated_windows(table).collect())
+    want = sorted((i is None, i, *x) for (i, _), x in zip(rows, brute.repeated_windows(rows, 35), strict=True))
+    assert got == want and (False, 1, 70, 0) in [x[:4] for x in got]
+
+
 # ------------------------------------------------------------------ 10
 
 
