@@ -7,15 +7,15 @@
 3. Pairs whose sketches put the similarity clearly below the threshold go; the rest are held against the full
    sets of shingles.  What is confirmed is an edge; connected components by large-star / small-star steps.
 4. Only buckets that hold several components can still add anything.  Those of at most LARGE members give their
-   pairs across components.  In larger ones the strays, members outside the main component, are looked at by their
-   shingles: those that few crowded members hold (light) lead to all pairs that need them; where the others (heavy)
-   are enough for a link, members get longer, finer band keys, hubs of those buckets, and then the pairs across
-   components that are left.
+   pairs across components.  Members of larger ones that share enough of their shingles with others of them to be
+   linked at all get longer, finer band keys, which tell half-alike texts apart: hubs of those buckets, and then the
+   pairs across components that are left.
 
 A pair of similarity 0.8 shares no band with a probability of 3e-6, no fine band of 1e-5 (fine bands
 have samples of their own and are independent); the sketch test is
 over four standard deviations wide.  Nothing is capped: a hub costs a row for each member, small buckets at most
-LARGE rows for each member, and fine keys are made only for what no component holds together yet.
+LARGE rows for each member, and fine keys are made only for members of large buckets that no component holds
+together yet.  Every step is a written table, so plans stay short and a lost executor costs no more than a step.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +33,7 @@ from .words import Block, blocks, mix, window_starts, windows
 SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 32, 5
-FINE_BANDS, FINE_ROWS = 256, 14
+FINE_BANDS, FINE_ROWS = 162, 12
 SAMPLES = 256
 #: Each fine band has samples of its own, so that bands miss a pair independently.
 FINE_SAMPLES = FINE_BANDS * FINE_ROWS
@@ -42,8 +41,6 @@ SKETCH_BITS = 1024
 #: Under an estimate of (PERCENT - SLACK) / 100 a pair isn't read in full.
 SLACK = 14
 LARGE = 64
-#: A shingle of at most so many crowded members is light.
-LIGHT = 24
 
 _MULTIPLIERS = mix(np.arange(SAMPLES, dtype=np.uint64), 7) | np.uint64(1)
 _FINE_MULTIPLIERS = mix(np.arange(FINE_SAMPLES, dtype=np.uint64), 8) | np.uint64(1)
@@ -159,16 +156,28 @@ def _set_reader(size: int):
 
 
 def _fine_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, component, n, heavy, shingles): the first four beside each fine key."""
+    """From (id, component, shingles): the first two and the set's size n beside each fine key."""
     columns = fine_columns()
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(4)]
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(2)]
             begin = np.append(0, np.cumsum([len(x) for x in sets]))
             keys = band_keys(minhashes(np.concatenate(sets), begin, _FINE_MULTIPLIERS), columns, 6)
             rows = pa.array(np.repeat(np.arange(len(sets)), FINE_BANDS))
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in range(4)), pa.array(keys.ravel().view(np.int64))], names=["id", "component", "n", "heavy", "key"])
+            n = pa.array(np.repeat(np.diff(begin), FINE_BANDS))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), n, pa.array(keys.ravel().view(np.int64))], names=["id", "component", "n", "key"])
+
+
+def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (id, component, shingles): a row for each shingle, with the set's size n."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
+            n = np.array([len(x) for x in sets])
+            rows = pa.array(np.repeat(np.arange(len(sets)), n))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], names=["id", "n", "shingle"])
 
 
 def _confirmer(percent: int):
@@ -195,7 +204,7 @@ def components(edges: DataFrame) -> DataFrame:
         roles = now.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("b", F.lit(0), F.lit(1)))
         # done when every node has one link up, or only links from below
         if roles.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up > 0 AND down > 0)").isEmpty():
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select("b", "b")).distinct()
+            return saved(now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select("b", "b")).distinct(), "components")
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -205,32 +214,22 @@ def components(edges: DataFrame) -> DataFrame:
         now = saved(small.filter("a <> b").distinct(), "stars")
 
 
-def _buckets(keys: DataFrame) -> DataFrame:
-    """keys (id, key) of buckets with two members or more, with the bucket's size m and its hub.
-
-    The hub is the member whose buckets are the largest all in all: of many copies of one text, one close to it.
-    """
+def _crowds(keys: DataFrame, name: str) -> DataFrame:
+    """The rows (id, n, key) of buckets with two members or more, with the bucket's size m."""
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").withColumnRenamed("key", "k")
-    rows = keys.join(sizes, F.col("key") == F.col("k")).drop("k")
-    weight = rows.groupBy(F.col("id").alias("i")).agg(F.sum("m").alias("weight"))
-    rows = rows.join(weight, F.col("id") == F.col("i")).drop("i")
-    hubs = rows.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("weight", F.xxhash64("id").alias("h"), "id"))["id"].alias("hub"))
-    return rows.join(hubs, F.col("key") == F.col("k")).select("id", "key", "m", "hub")
-
+    return saved(keys.join(sizes, F.col("key") == F.col("k")).drop("k"), name)
 
-def _hub_pairs(buckets: DataFrame) -> DataFrame:
-    return buckets.filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
 
+def _hub_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of each member of a bucket with its hub, of rows (id, key, m).
 
-def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, shingles, component): a row for each shingle, with the set's size n."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
-            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
-            n = np.array([len(x) for x in sets])
-            rows = pa.array(np.repeat(np.arange(len(sets)), n))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(2).take(rows), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], names=["id", "component", "n", "shingle"])
+    The hub is the member whose buckets are the largest all in all: of many copies of one text, one close to it.
+    """
+    weight = rows.groupBy(F.col("id").alias("i")).agg(F.sum("m").alias("weight"))
+    hubs = rows.join(weight, F.col("id") == F.col("i")).groupBy(F.col("key").alias("k"))
+    hubs = hubs.agg(F.max(F.struct("weight", F.xxhash64("id").alias("h"), "id"))["id"].alias("hub"))
+    pairs = rows.join(hubs, F.col("key") == F.col("k")).filter("id <> hub")
+    return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -242,43 +241,23 @@ def _open(rows: DataFrame) -> DataFrame:
 
 
 def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of open buckets (see _open) across components: members outside the main one with all others.
-
-    rows hold n of crowded members and heavy of crowded strays (null for others): a stray has at most `heavy` heavy
-    shingles in common with a crowded member; pairs that need light ones as well are found by _light_pairs.
-    """
-    others = rows.filter("component <> main").select(*(F.col(x).alias(f"x_{x}") for x in ("id", "component", "key", "n", "heavy")))
-    may = F.coalesce((100 + percent) * F.least("heavy", "x_heavy") >= percent * (F.col("n") + F.col("x_n")), F.lit(True))
-    pairs = others.join(rows, (F.col("x_key") == F.col("key")) & (F.col("x_component") != F.col("component")) & may)
-    return pairs.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b"))
-
-
-def _light_pairs(light: DataFrame, flat: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a stray and a crowded member of another component that may reach the threshold with light shingles.
-
-    light: (shingle, id, component, n, heavy) of strays; flat: (shingle, id, component, n) of all crowded members, of
-    whom at most LIGHT hold such a shingle.
-    """
-    x = light.select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "heavy")))
-    both = flat.join(x, "shingle").filter((F.col("id") != F.col("x_id")) & (F.col("component") != F.col("x_component")))
-    both = both.groupBy("id", "x_id", "n", "x_n", "x_heavy").agg(F.count(F.lit(1)).alias("light"))
-    both = both.filter((100 + percent) * (F.col("x_heavy") + F.col("light")) >= percent * (F.col("n") + F.col("x_n")))
-    return both.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b"))
+    """Pairs of open buckets (see _open) across components: members outside the main one with all others of a fitting size n."""
+    others = rows.filter("component <> main").select(*(F.col(x).alias(f"x_{x}") for x in ("id", "component", "key", "n")))
+    pairs = others.join(rows, (F.col("x_key") == F.col("key")) & (F.col("x_component") != F.col("component")))
+    pairs = pairs.filter(100 * F.least("x_n", "n") >= percent * F.greatest("x_n", "n"))
+    return pairs.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct()
 
 
-def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows with the component of their id; an id without a link is its own."""
-    both = rows.join(found.select(F.col("id").alias("i"), F.col("component").alias("of")), F.col("id") == F.col("i"), "left")
-    return both.withColumn("component", F.coalesce("of", "id")).drop("i", "of")
+def _with_component(rows: DataFrame, found: DataFrame, id_col: str = "id", name: str = "component") -> DataFrame:
+    """rows with the component of an id; an id without a link is its own."""
+    both = rows.join(found.select(F.col("id").alias("_i"), F.col("component").alias("_of")), F.col(id_col) == F.col("_i"), "left")
+    return both.withColumn(name, F.coalesce("_of", id_col)).drop("_i", "_of")
 
 
 def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
     """found (id, component) with links (a, b) added: only the components that links join are closed again."""
-    if links.isEmpty():
-        return found
-    one, two = (_with_component(links.select(F.col(x).alias("id"), F.col(y).alias("other")), found) for x, y in (("a", "b"), ("b", "a")))
-    ends = one.select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("component").alias("ca")).join(two.select(F.col("other").alias("a"), F.col("id").alias("b"), F.col("component").alias("cb")), ["a", "b"])
-    roots = saved(components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "roots")
+    ends = _with_component(_with_component(links, found, "a", "x"), found, "b", "y")
+    roots = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
     moved = found.join(roots.select(F.col("id").alias("r"), F.col("component").alias("to")), F.col("component") == F.col("r"), "left")
     return saved(moved.select("id", F.coalesce("to", "component").alias("component")).union(roots).distinct(), "components")
 
@@ -290,72 +269,53 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs of `shingle` words, or all its words as one where it has fewer.  Texts are linked where
     100 * intersection >= percent * union; component_id is the smallest id reachable over links; kept is
     id = component_id.  A text that is null or has no words has an empty set, is linked with nothing and is kept.
-    Rows of equal id are one node, linked with what any of their texts is.  A null id is linked with nothing: its
-    component is null and it is kept.  Other columns are ignored.
+    Rows of equal id are one node, linked with what any of their texts is; repeated rows give repeated results.
+    A null id is linked with nothing: its component is null and it is kept.  Very long texts count with all their
+    shingles.  Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
     profile = saved(texts.mapInArrow(_profiler(shingle), f"id {id_type}, n_shingles long, set1 long, set2 long, bands array<long>, sketch array<long>"), "profiles")
     some = profile.filter("n_shingles > 0 AND id IS NOT NULL")
     classes = saved(some.groupBy("set1", "set2").agg(F.min("id").alias("node")), "classes")
-    nodes = some.join(classes.select(F.col("node").alias("id"), "set1", "set2"), ["id", "set1", "set2"], "left_semi")
-    members = saved(_buckets(nodes.select("id", F.explode("bands").alias("key"))), "buckets")
+    same = ["id", "set1", "set2"]
+    nodes = saved(some.join(classes.select(F.col("node").alias("id"), "set1", "set2"), same, "left_semi").dropDuplicates(same).select("id", F.col("n_shingles").alias("n"), "bands", "sketch"), "nodes")
+    members = _crowds(nodes.select("id", "n", F.explode("bands").alias("key")).distinct(), "buckets")
+    sets = saved(texts.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(_set_reader(shingle), f"id {id_type}, shingles binary"), "sets")
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = members.select("id").distinct()
-    sets = texts.join(wanted, "id", "left_semi").mapInArrow(_set_reader(shingle), f"id {id_type}, shingles binary")
-    sets = sets.repartition(n, "id").persist(StorageLevel.DISK_ONLY)
-    sketches = nodes.select("id", "sketch")
+    def sides(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+        a, b = (of.select(F.col("id").alias(f"{x}_id"), F.col(column).alias(f"{x}_{column}")) for x in "ab")
+        return pairs.join(a, F.col("a") == F.col("a_id")).join(b, F.col("b") == F.col("b_id")).select("a", "b", f"a_{column}", f"b_{column}")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct()
-        a, b = (sketches.select(F.col("id").alias(f"{x}_id"), F.col("sketch").alias(f"{x}_sketch")) for x in "ab")
         differing = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        near = pairs.join(a, F.col("a") == F.col("a_id")).join(b, F.col("b") == F.col("b_id")).filter(differing <= most_differing_bits(percent - SLACK)).select("a", "b")
-        a, b = (sets.select(F.col("id").alias(f"{x}_id"), F.col("shingles").alias(f"{x}_set")) for x in "ab")
-        full = near.join(a, F.col("a") == F.col("a_id")).join(b, F.col("b") == F.col("b_id")).select("a", "b", "a_set", "b_set")
-        return saved(full.mapInArrow(_confirmer(percent), f"a {id_type}, b {id_type}").distinct(), "links")
-
-    tried = saved(_hub_pairs(members).distinct(), "hub-pairs")
-    torn = some.groupBy("id").agg(F.min("set1").alias("x"), F.max("set1").alias("y")).filter("x <> y").select("id")
-    ties = some.join(torn, "id", "left_semi").join(classes, ["set1", "set2"]).select(F.col("id").alias("a"), F.col("node").alias("b")).filter("a <> b")
-    found = saved(components(confirmed(tried).union(ties)), "components")
-
-    placed = saved(_open(_with_component(members.select("id", "key", "m"), found)), "open-buckets")
-    crowded = placed.filter(F.col("m") > LARGE)
-    crowd = crowded.select("id", "component").distinct()
-    strays = crowded.filter("component <> main").select("id").distinct()
-    # a stray's shingles: those that no other crowded member has can't be shared, light ones lead to their few holders
-    flattened = lambda some: sets.join(some, "id").select("id", "shingles", "component").mapInArrow(_flatten, f"id {id_type}, component {id_type}, n long, shingle long")
-    flat = flattened(crowd)
-    counts = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select(F.col("shingle").alias("s"), "held")
-    mine = saved(flattened(crowd.join(strays, "id", "left_semi")).join(counts, F.col("shingle") == F.col("s")).drop("s"), "shared-shingles")
-    bounds = mine.groupBy("id", "component", "n").agg(F.count(F.lit(1)).alias("shared"), F.count_if(F.col("held") > LIGHT).alias("heavy"))
-    viable = saved(bounds.filter(100 * F.col("shared") >= percent * F.col("n")), "viable")
-    light = mine.filter(F.col("held") <= LIGHT).join(viable.select("id", "component", "n", "heavy"), ["id", "component", "n"])
-
-    # strays that can't be linked with a crowded member have heavy 0
-    known = strays.join(viable.select(F.col("id").alias("i"), "heavy"), F.col("id") == F.col("i"), "left").select(F.col("id").alias("i"), F.coalesce("heavy", F.lit(0)).alias("heavy"))
-    sizes = nodes.select(F.col("id").alias("c"), F.col("n_shingles").alias("n")).join(crowd.select(F.col("id").alias("c")), "c", "left_semi")
-    sized = lambda rows: rows.join(sizes, F.col("id") == F.col("c"), "left").join(known, F.col("id") == F.col("i"), "left").drop("c", "i")
-    still = _open_pairs(sized(placed.filter(F.col("m") <= LARGE)), percent).union(_light_pairs(light, flat, percent)).distinct().join(tried, ["a", "b"], "left_anti")
-
-    # by heavy shingles alone a stray of a crowded bucket needs enough of them for the smallest other member
-    large = sized(crowded)
-    least = large.groupBy(F.col("key").alias("k")).agg(F.min("n").alias("least"))
-    enough = (100 + percent) * F.col("heavy") >= percent * (F.col("n") + F.greatest("least", F.ceil(percent * F.col("n") / 100)))
-    torn_up = large.filter("component <> main").join(least, F.col("key") == F.col("k")).filter(enough).select(F.col("key").alias("t")).distinct()
-    unsettled = large.join(torn_up, F.col("key") == F.col("t"), "left_semi").select("id", "component", "n", "heavy").distinct()
-    unsettled = unsettled.join(sets, "id").select("id", "component", "n", "heavy", "shingles")
-    fine = saved(_open(unsettled.mapInArrow(_fine_keys, f"id {id_type}, component {id_type}, n long, heavy long, key long")), "fine-buckets")
-    if fine.isEmpty():
-        found = _merged(found, confirmed(still))
-    else:
-        hubs = saved(_hub_pairs(_buckets(fine.select("id", "key"))).distinct().join(tried, ["a", "b"], "left_anti"), "fine-hubs")
-        found = _merged(found, confirmed(still.union(hubs)))
-        left = _open(_with_component(fine.drop("component", "main"), found))
-        found = _merged(found, confirmed(_open_pairs(left, percent).distinct().join(tried.union(hubs), ["a", "b"], "left_anti")))
-    sets.unpersist()
+        near = sides(pairs, nodes, "sketch").filter(differing <= most_differing_bits(percent - SLACK)).select("a", "b")
+        return saved(sides(near, sets, "shingles").mapInArrow(_confirmer(percent), f"a {id_type}, b {id_type}").distinct(), "links")
+
+    tried = saved(_hub_pairs(members), "hub-pairs")
+    links = confirmed(tried)
+    torn = saved(some.groupBy("id").agg(F.min("set1").alias("x"), F.max("set1").alias("y")).filter("x <> y").select("id"), "torn")
+    if not torn.isEmpty():
+        links = links.union(some.join(torn, "id", "left_semi").join(classes, ["set1", "set2"]).select(F.col("id").alias("a"), F.col("node").alias("b")))
+    found = components(links)
+
+    placed = saved(_open(_with_component(members, found)), "open-buckets")
+    pairs = _open_pairs(placed.filter(F.col("m") <= LARGE), percent).join(tried, ["a", "b"], "left_anti")
+    crowd = placed.filter(F.col("m") > LARGE).select("id", "component").distinct().join(sets, "id").select("id", "component", "shingles")
+    # a set that shares too few shingles with any of the others can't be linked with one of them
+    flat = crowd.mapInArrow(_flatten, f"id {id_type}, n long, shingle long")
+    held = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select(F.col("shingle").alias("s"))
+    able = flat.join(held, F.col("shingle") == F.col("s")).groupBy("id", "n").agg(F.count(F.lit(1)).alias("shared")).filter(100 * F.col("shared") >= percent * F.col("n"))
+    able = saved(able.select("id").distinct(), "viable")
+    keys = crowd.join(able, "id", "left_semi").mapInArrow(_fine_keys, f"id {id_type}, component {id_type}, n long, key long")
+    keys = saved(keys.distinct(), "fine-keys")
+    fine = saved(_open(keys), "fine-buckets")
+    hubs = saved(_hub_pairs(fine.withColumn("m", F.lit(1))).join(tried, ["a", "b"], "left_anti"), "fine-hubs")
+    found = _merged(found, confirmed(pairs.union(hubs).distinct()))
+    left = _open_pairs(_open(_with_component(fine.select("id", "n", "key"), found)), percent).join(tried.union(hubs), ["a", "b"], "left_anti")
+    left = saved(left, "last-pairs")
+    if not left.isEmpty():
+        found = _merged(found, confirmed(left))
 
     whole = classes.join(found.withColumnRenamed("id", "i"), F.col("node") == F.col("i"), "left")
     whole = whole.select(F.col("set1").alias("s1"), F.col("set2").alias("s2"), F.coalesce("component", "node").alias("of"))
