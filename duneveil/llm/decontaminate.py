@@ -196,6 +196,7 @@ def overlaps(
 
     regions = texts.mapInArrow(_scanner(masks, shared, reach), f"id {kinds[0]}, first long, words array<long>, seeds array<long>, places array<int>")
     regions = saved(regions.withColumn("region", F.xxhash64("id", "first", "words")), "regions")
+    shared.destroy()
     hits = regions.select("region", F.explode(F.arrays_zip("seeds", "places")).alias("x")).select("region", F.col("x.seeds").alias("hit"), F.col("x.places").alias("place"))
     laid = hits.join(seeds, F.col("hit") == F.col("seed")).select("region", "item_key", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
     pairs = laid.join(items.select(F.col("item_key").alias("k"), "item", "item_words"), F.col("item_key") == F.col("k"))

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import n_words, private, saved
 
 RATIO = 0.1
-MIN_PAGES = 5
+#: A line frames a site if it stands on two pages at least; a site of one page has no frame.
+MIN_PAGES = 2
 
 
 def host_of(url: Column) -> Column:
@@ -57,42 +58,44 @@ def drop_site_lines(
     longest line count as often as it does.
     A page counts once for a line it repeats.  A page that would lose more than max_loss of its lines that are
     not blank is left whole: it is a copy of other pages and not framed by them (1.0: no page is).
-    Null lines: kept_text null, counts 0.  A null site is a site.  Repeated rows are pages of their own.
-    Columns of pages that bear the names of results are replaced.  Pages reach their site's list by a join on
-    the site, broadcast only where the list is found to be small; a site's list has at most (lines a
-    page) / ratio entries.
+    Null lines: kept_text null, counts 0.  A null site is a site.  Repeated rows are pages of their own, very long
+    pages count with all their lines, ties don't arise, and an empty table gives an empty result.
+    Columns of pages that bear the names of results are replaced; other columns pass, whatever their names.  The
+    frames of all sites are a written table: pages meet it by a broadcast only where its size allows, and else by a
+    join on the site, whose hot keys adaptive execution splits.  A site's frame has at most (lines a page) / ratio
+    entries.
     """
-    rows = pages.withColumns({"site": site, "_lines": lines}).withColumn("_prints", F.transform("_lines", fingerprint))
-    solid = F.size(F.filter("_prints", lambda x: x.isNotNull()))
-    if min_words > 1:
-        rows = rows.withColumns({"_solid": solid, "_prints": F.transform("_lines", lambda x: F.when(n_words(trimmed(x)) >= min_words, fingerprint(x)))})
-        solid = F.col("_solid")
-    prints = rows.select("site", F.explode(F.array_distinct(F.filter("_prints", lambda x: x.isNotNull()))).alias("print"))
+    at, texts, marks, solid_, bad, drop, lost_ = private("site", "lines", "prints", "solid", "frame", "drop", "lost")
+    rows = pages.withColumns({at: site, texts: lines})
+    count = lambda x: F.size(F.filter(x, lambda y: y.isNotNull()))
+    every = F.transform(texts, fingerprint)
+    long = F.transform(texts, lambda x: F.when(n_words(trimmed(x)) >= min_words, fingerprint(x))) if min_words > 1 else every
+    rows = rows.withColumns({marks: long, solid_: count(every)})
+    narrow = rows.select(F.col(at).alias("site"), F.col(texts).alias("lines"), F.col(marks).alias("prints"))
+    prints = F.explode(F.array_distinct(F.filter("prints", lambda x: x.isNotNull()))).alias("print")
     if copies_once:
-        sized = F.filter(F.transform("_lines", lambda x: F.struct(F.length(trimmed(x)).alias("size"), fingerprint(x).alias("print"))), lambda x: x["print"].isNotNull())
-        longest = rows.withColumn("_sized", sized).withColumn("_top", F.array_max("_sized")["print"])
-        longest = longest.withColumn("_next", F.array_max(F.filter("_sized", lambda x: x["print"] != F.col("_top")))["print"])
-        prints = longest.select("site", "_top", "_next", F.explode(F.array_distinct(F.filter("_prints", lambda x: x.isNotNull()))).alias("print"))
-        other = F.coalesce(F.when(F.col("print") == F.col("_top"), F.col("_next")).otherwise(F.col("_top")), F.col("print"))
-        prints = prints.select("site", "print", other.alias("other")).distinct()
+        sized = F.filter(F.transform("lines", lambda x: F.struct(F.length(trimmed(x)).alias("size"), fingerprint(x).alias("print"))), lambda x: x["print"].isNotNull())
+        longest = narrow.withColumn("sized", sized).withColumn("top", F.array_max("sized")["print"])
+        longest = longest.withColumn("next", F.array_max(F.filter("sized", lambda x: x["print"] != F.col("top")))["print"])
+        other = F.coalesce(F.when(F.col("print") == F.col("top"), F.col("next")).otherwise(F.col("top")), F.col("print"))
+        prints = longest.select("site", "top", "next", prints).select("site", "print", other.alias("other")).distinct()
+    else:
+        prints = narrow.select("site", prints)
     held = prints.groupBy("site", "print").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") >= min_pages)
-    totals = rows.groupBy("site").agg(F.count(F.lit(1)).alias("pages")).withColumnRenamed("site", "of")
-    frame = (
-        held.join(totals, F.col("site").eqNullSafe(F.col("of")))
-        .filter(F.col("held") > F.lit(ratio) * F.col("pages"))
-        .groupBy("of")
-        .agg(F.collect_list("print").alias("_frame"))
-    )
-    rows = rows.join(frame, F.col("site").eqNullSafe(F.col("of")), "left").drop("of")
-    marked = F.transform("_prints", lambda x: F.coalesce(F.array_contains("_frame", x), F.lit(False)))
-    rows = rows.withColumn("_drop", F.when(F.col("_frame").isNotNull(), marked))
-    lost = F.coalesce(F.size(F.filter("_drop", lambda x: x)), F.lit(0))
-    whole = lost > F.lit(max_loss) * solid
+    totals = narrow.groupBy(F.col("site").alias("of")).agg(F.count(F.lit(1)).alias("pages"))
+    frame = held.join(totals, F.col("site").eqNullSafe(F.col("of"))).filter(F.col("held") > F.lit(ratio) * F.col("pages"))
+    frame = saved(frame.groupBy("site").agg(F.collect_list("print").alias(bad)), "frames")
+    (key,) = private("key")
+    rows = rows.join(frame.withColumnRenamed("site", key), F.col(at).eqNullSafe(F.col(key)), "left")
+    marked = F.transform(marks, lambda x: F.coalesce(F.array_contains(bad, x), F.lit(False)))
+    rows = rows.withColumn(drop, F.when(F.col(bad).isNotNull(), marked))
+    lost = F.coalesce(F.size(F.filter(drop, lambda x: x)), F.lit(0))
+    whole = lost > F.lit(max_loss) * F.col(solid_)
     if copies_once:
-        whole = whole | (lost == solid)
-    rows = rows.withColumn("_lost", F.when(whole, 0).otherwise(F.greatest(lost, F.lit(0))))
-    kept = F.filter("_lines", lambda x, i: ~F.element_at("_drop", i + 1))
-    text = F.array_join(F.when(F.col("_lost") > 0, kept).otherwise(F.col("_lines")), "\n")
-    return rows.withColumns(
-        {"n_lines": F.greatest(F.coalesce(solid, F.lit(0)), F.lit(0)).cast("long"), "n_dropped": F.coalesce("_lost", F.lit(0)).cast("long"), "kept_text": text}
-    ).drop("_lines", "_prints", "_solid", "_frame", "_drop", "_lost")
+        whole = whole | (lost == F.col(solid_))
+    rows = rows.withColumn(lost_, F.when(whole, 0).otherwise(F.greatest(lost, F.lit(0))))
+    kept = F.filter(texts, lambda x, i: ~F.element_at(drop, i + 1))
+    text = F.array_join(F.when(F.col(lost_) > 0, kept).otherwise(F.col(texts)), "\n")
+    solid = F.greatest(F.coalesce(F.col(solid_), F.lit(0)), F.lit(0)).cast("long")
+    results = {"site": F.col(at), "n_lines": solid, "n_dropped": F.coalesce(F.col(lost_), F.lit(0)).cast("long"), "kept_text": text}
+    return rows.select(*(F.col(f"`{x}`") for x in pages.columns if x not in results), *(x.alias(n) for n, x in results.items()))

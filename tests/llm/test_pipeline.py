@@ -109,3 +109,26 @@ def test_query_on_the_smallest_tables(spark, sf_dir, name):
         assert columns == sorted(found.columns)
         want = con.sql(f"SELECT {', '.join(columns)} FROM ({sql[name]})").fetchall()
         assert sorted(map(repr, want)) == sorted(repr(tuple(r[c] for c in columns)) for r in rows)
+
+
+def test_rows_that_share_an_id_or_have_none_are_judged_by_their_own_texts(spark, planted):
+    folder, _ = planted
+    rng = random.Random(41)
+    leak = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    own = [" ".join(invented(rng, 40, 10**6)) for _ in range(4)]
+    rows = [(1, own[0]), (1, own[1]), (1, own[1]), (None, own[2]), (None, own[3]), (None, leak), (2, own[2]), (2, leak), (3, None), (3, None), (4, "")]
+    extra = SCHEMA + ", key string, gone int, site string, n_dropped int, kept_text string, prints string, size int, target string, weight int, u double, rank int, k int"
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *["x", 1, "y", 2, "z", "p", 3, "t", 4, 0.5, 5, 6]) for i, t in rows], extra)
+    left = lambda stage: sorted(((r.doc_id, r.text) for r in stage(spark, table, folder).collect()), key=str)
+    want = lambda x: sorted(x, key=str)
+    assert left(corpus_pipeline.drop_toxic) == want(rows)
+    assert left(corpus_pipeline.drop_frame_lines) == want(rows)
+    assert left(corpus_pipeline.drop_near_copies) == want([(1, own[0]), (1, own[1]), (2, own[2]), (None, own[3]), (2, leak), (3, None), (3, None), (4, "")])
+    assert left(corpus_pipeline.drop_leaks) == want([x for x in rows if x[1] != leak])
+    mixed = corpus_pipeline.take_mix(spark, table, folder)
+    assert set(table.columns) <= set(mixed.columns) and len(set(mixed.columns)) == len(mixed.columns)
+    assert all(r.taken == r.copies * r.size and r.key == "x" and r.rank == 5 for r in mixed.collect())
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, folder)
+        assert set(table.columns) <= set(out.columns)
+        assert stage(spark, table.limit(0), folder).count() == 0
