@@ -4,7 +4,7 @@ from __future__ import annotations
 
 MIX = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, coalesce(doc_id::VARCHAR, md5(text), 'null') AS drawn FROM documents
 ), totals AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -20,18 +20,31 @@ WITH sized AS (
   SELECT l.source, l.source_size,
     CASE WHEN s.first IS NULL OR l.place < s.first THEN l.ceiling::DOUBLE ELSE s.level * l.weight END AS target
   FROM levels l LEFT JOIN stop s ON true
+), sums AS (
+  SELECT source, length(bin(size)) AS weight, sum(size)::BIGINT AS words FROM sized WHERE size > 0 GROUP BY ALL
+), heavy AS (
+  SELECT s.*, t.target, t.source_size,
+    (t.target - (coalesce(sum(words) OVER (PARTITION BY s.source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 3)::DOUBLE)
+      / (sum(weight * words) OVER (PARTITION BY s.source ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+  FROM sums s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), brim AS (
+  SELECT source, arg_max(level, weight) AS level, max(weight) AS weight FROM heavy WHERE level * weight <= 3 GROUP BY source
+), expected AS (
+  SELECT h.*, CASE WHEN h.weight <= a.weight THEN a.level * h.weight ELSE 3.0::DOUBLE END AS expected FROM heavy h LEFT JOIN brim a ON h.source IS NOT DISTINCT FROM a.source
 ), plan AS (
-  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END::BIGINT AS whole FROM targets
-), plan2 AS (
-  SELECT *, greatest(target - whole * source_size, 0.0) AS rest FROM plan
+  SELECT source, weight, floor(expected)::BIGINT AS whole, expected - floor(expected) AS p,
+    target - (sum(floor(expected)::BIGINT * words) OVER (PARTITION BY source))::DOUBLE AS rest FROM expected
 ), u AS (
-  SELECT d.*, p.source_size, p.target, p.whole, p.rest, CASE WHEN p.source_size > 0 THEN p.rest / p.source_size ELSE 0 END AS p,
-    (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
-  FROM sized d JOIN plan2 p ON d.source IS NOT DISTINCT FROM p.source
+  SELECT d.*, t.source_size, t.target, coalesce(p.whole, 0) AS whole, p.rest, p.p,
+    (('0x' || substr(md5('mix-1:' || drawn), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+    LEFT JOIN plan p ON d.source IS NOT DISTINCT FROM p.source AND d.size > 0 AND length(bin(d.size)) = p.weight
+), odds AS (
+  SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS ratio FROM u
 ), run AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS reached FROM u
+  SELECT *, sum(CASE WHEN ratio IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY ratio / (1 + ratio) NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS reached FROM odds
 ), copies AS (
-  SELECT *, CASE WHEN size > 0 THEN whole + CASE WHEN p > 0 AND reached - size / 2 <= rest THEN 1 ELSE 0 END ELSE 0 END::BIGINT AS copies FROM run
+  SELECT *, (whole + CASE WHEN ratio IS NOT NULL AND reached - size / 2 <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM run
 )
 SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM copies
 """
@@ -46,7 +59,7 @@ WITH p AS (
   SELECT host, line, count(DISTINCT page_id) AS n FROM p, unnest(p.lines) AS t(line) GROUP BY host, line
 ), frame AS (
   SELECT h.host, list(h.line) AS bad FROM held h JOIN (SELECT host, count(*) AS total FROM p GROUP BY host) t USING (host)
-  WHERE h.n >= 5 AND h.n > 0.1::DOUBLE * t.total GROUP BY h.host
+  WHERE h.n >= 2 AND h.n > 0.1::DOUBLE * t.total GROUP BY h.host
 ), kept AS (
   SELECT p.*, list_filter(lines, lambda x: NOT list_contains(coalesce(bad, []), x)) AS good FROM p LEFT JOIN frame USING (host)
 )

@@ -24,8 +24,8 @@ from .words import BASE, INVERSE, Block, blocks, mix, powers
 
 #: At most about so many labelled rows are learned from (a documented bound; the rows are chosen by hash).
 MAX_LABELS = 30_000
-#: At most so many lexicon entries are kept.
-MAX_LEXICON = 40_000
+#: A lexicon entry stands in so many toxic texts at least, and a leaf of a tree holds so many texts.
+MIN_TOXICS, MIN_LEAF = 3, 10
 STEMS = (4, 5, 6)
 TAILS = (5,)
 SEED = 17
@@ -228,7 +228,7 @@ def _raw(trees, rows: DataFrame) -> DataFrame:
     return rows.withColumn("raw", vector_to_array("probability")[1]).drop("vector", "rawPrediction", "probability", "prediction")
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labels: int = MAX_LABELS, max_lexicon: int = MAX_LEXICON) -> Detector:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labels: int = MAX_LABELS) -> Detector:
     """A detector from those labels whose remainder() is not 0.
 
     Of more than max_labels labelled ids about so many are taken, by hash.  An id labelled twice is toxic if any
@@ -247,8 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
     counts = learned.select("text", "label").mapInArrow(_unit_counter, "unit long, others long, toxics long").groupBy("unit").agg(F.sum("others").alias("others"), F.sum("toxics").alias("toxics"))
     odds = (F.col("toxics") + 0.5) / (n_toxic + 1) / ((F.col("others") + 0.5) / (n_other + 1))
-    least = 3 if n_toxic >= 100 else 2
-    top = counts.filter((F.col("toxics") >= least) & (odds > 2)).orderBy((F.col("toxics") * F.log(odds)).desc(), "unit").limit(max_lexicon).toArrow()
+    top = counts.filter((F.col("toxics") >= MIN_TOXICS) & (odds > 2)).toArrow()  # of max_labels texts
     entries = [np.asarray(top.column(k)) for k in range(3)]
     spark = docs.sparkSession
     lexicon = spark.sparkContext.broadcast(Lexicon(entries[0].view(np.uint64), entries[1], entries[2], n_other, n_toxic))
@@ -260,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     if fit.select("label").distinct().count() < 2:
         fit.unpersist()
         return Detector(n_toxic / (n_toxic + n_other))
-    trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=20, maxDepth=3, stepSize=0.3, minInstancesPerNode=max(2, min(20, n_toxic // 20)), seed=SEED).fit(fit)
+    trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=20, maxDepth=3, stepSize=0.3, minInstancesPerNode=MIN_LEAF, seed=SEED).fit(fit)
     fit.unpersist()
     tested = _raw(trees, rows.filter(aside)).select("label", "raw")
     if tested.isEmpty():
