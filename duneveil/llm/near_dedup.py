@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -33,7 +33,7 @@ from .words import Block, blocks, mix, window_starts, windows
 SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 32, 5
-FINE_BANDS, FINE_ROWS = 162, 12
+FINE_BANDS, FINE_ROWS = 102, 10
 SAMPLES = 256
 #: Each fine band has samples of its own, so that bands miss a pair independently.
 FINE_SAMPLES = FINE_BANDS * FINE_ROWS
@@ -41,6 +41,8 @@ SKETCH_BITS = 1024
 #: Under an estimate of (PERCENT - SLACK) / 100 a pair isn't read in full.
 SLACK = 14
 LARGE = 64
+#: So often are members of large buckets asked whether they share enough with others; results don't depend on it.
+PASSES = 2
 
 _MULTIPLIERS = mix(np.arange(SAMPLES, dtype=np.uint64), 7) | np.uint64(1)
 _FINE_MULTIPLIERS = mix(np.arange(FINE_SAMPLES, dtype=np.uint64), 8) | np.uint64(1)
@@ -156,28 +158,28 @@ def _set_reader(size: int):
 
 
 def _fine_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, component, shingles): the first two and the set's size n beside each fine key."""
+    """From (id, component, shared, shingles): the first three and the set's size n beside each fine key."""
     columns = fine_columns()
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(2)]
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(3)]
             begin = np.append(0, np.cumsum([len(x) for x in sets]))
             keys = band_keys(minhashes(np.concatenate(sets), begin, _FINE_MULTIPLIERS), columns, 6)
             rows = pa.array(np.repeat(np.arange(len(sets)), FINE_BANDS))
             n = pa.array(np.repeat(np.diff(begin), FINE_BANDS))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), n, pa.array(keys.ravel().view(np.int64))], names=["id", "component", "n", "key"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in range(3)), n, pa.array(keys.ravel().view(np.int64))], names=["id", "component", "shared", "n", "key"])
 
 
 def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, component, shingles): a row for each shingle, with the set's size n."""
+    """From (id, component, least, shingles): a row for each shingle, with the set's size n."""
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
-            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(3)]
             n = np.array([len(x) for x in sets])
             rows = pa.array(np.repeat(np.arange(len(sets)), n))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], names=["id", "n", "shingle"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in range(3)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], names=["id", "component", "least", "n", "shingle"])
 
 
 def _confirmer(percent: int):
@@ -220,15 +222,17 @@ def _crowds(keys: DataFrame, name: str) -> DataFrame:
     return saved(keys.join(sizes, F.col("key") == F.col("k")).drop("k"), name)
 
 
-def _hub_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of each member of a bucket with its hub, of rows (id, key, m).
+def _hub_pairs(rows: DataFrame, across: bool = False) -> DataFrame:
+    """Pairs of each member of a bucket with its hub, of rows (id, key, m); across: of another component.
 
     The hub is the member whose buckets are the largest all in all: of many copies of one text, one close to it.
     """
     weight = rows.groupBy(F.col("id").alias("i")).agg(F.sum("m").alias("weight"))
     hubs = rows.join(weight, F.col("id") == F.col("i")).groupBy(F.col("key").alias("k"))
-    hubs = hubs.agg(F.max(F.struct("weight", F.xxhash64("id").alias("h"), "id"))["id"].alias("hub"))
-    pairs = rows.join(hubs, F.col("key") == F.col("k")).filter("id <> hub")
+    side = ["component"] if across else []
+    top = F.max(F.struct("weight", F.xxhash64("id").alias("h"), "id", *side))
+    hubs = hubs.agg(top["id"].alias("hub"), *(top[x].alias("theirs") for x in side))
+    pairs = rows.join(hubs, F.col("key") == F.col("k")).filter("component <> theirs" if across else "id <> hub")
     return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
@@ -240,11 +244,20 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(main, F.col("key") == F.col("k")).drop("k")
 
 
+def _enough(both: Column, n: Column, other: Column, percent: int) -> Column:
+    """Are so many common shingles enough to link sets of these sizes?"""
+    return (100 + percent) * both >= percent * (n + other)
+
+
 def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of open buckets (see _open) across components: members outside the main one with all others of a fitting size n."""
-    others = rows.filter("component <> main").select(*(F.col(x).alias(f"x_{x}") for x in ("id", "component", "key", "n")))
+    """Pairs of open buckets (see _open) across components: members outside the main one with all others that fit.
+
+    n: a member's size; shared: what it can share with others at most.
+    """
+    others = rows.filter("component <> main").select(*(F.col(x).alias(f"x_{x}") for x in ("id", "component", "key", "n", "shared")))
     pairs = others.join(rows, (F.col("x_key") == F.col("key")) & (F.col("x_component") != F.col("component")))
-    pairs = pairs.filter(100 * F.least("x_n", "n") >= percent * F.greatest("x_n", "n"))
+    fits = (100 * F.least("x_n", "n") >= percent * F.greatest("x_n", "n")) & _enough(F.least("x_shared", "shared"), F.col("n"), F.col("x_n"), percent)
+    pairs = pairs.filter(fits)
     return pairs.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct()
 
 
@@ -300,19 +313,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = components(links)
 
     placed = saved(_open(_with_component(members, found)), "open-buckets")
-    pairs = _open_pairs(placed.filter(F.col("m") <= LARGE), percent).join(tried, ["a", "b"], "left_anti")
-    crowd = placed.filter(F.col("m") > LARGE).select("id", "component").distinct().join(sets, "id").select("id", "component", "shingles")
-    # a set that shares too few shingles with any of the others can't be linked with one of them
-    flat = crowd.mapInArrow(_flatten, f"id {id_type}, n long, shingle long")
-    held = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select(F.col("shingle").alias("s"))
-    able = flat.join(held, F.col("shingle") == F.col("s")).groupBy("id", "n").agg(F.count(F.lit(1)).alias("shared")).filter(100 * F.col("shared") >= percent * F.col("n"))
-    able = saved(able.select("id").distinct(), "viable")
-    keys = crowd.join(able, "id", "left_semi").mapInArrow(_fine_keys, f"id {id_type}, component {id_type}, n long, key long")
-    keys = saved(keys.distinct(), "fine-keys")
+    pairs = _open_pairs(placed.filter(F.col("m") <= LARGE).withColumn("shared", F.col("n")), percent).join(tried, ["a", "b"], "left_anti")
+    large = placed.filter(F.col("m") > LARGE)
+    least = large.groupBy(F.col("key").alias("k")).agg(F.min("n").alias("least"))
+    crowd = large.join(least, F.col("key") == F.col("k")).groupBy("id", "component").agg(F.min("least").alias("least"))
+    crowd = saved(crowd.join(sets, "id").select("id", "component", "least", "shingles"), "crowd")
+    # what a set shares with others is at most the shingles that another component has too: too few for any partner, and no
+    # link is left; without such sets the others share less, so it is asked again
+    able = None
+    for _ in range(PASSES):
+        flat = (crowd if able is None else crowd.join(able, "id", "left_semi")).mapInArrow(_flatten, f"id {id_type}, component {id_type}, least long, n long, shingle long")
+        held = flat.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(F.col("shingle").alias("s"))
+        able = flat.join(held, F.col("shingle") == F.col("s")).groupBy("id", "least", "n").agg(F.count(F.lit(1)).alias("shared"))
+        able = saved(able.filter(_enough(F.col("shared"), F.col("n"), F.greatest("least", F.ceil(percent * F.col("n") / 100)), percent)).select("id", "shared"), "viable")
+    crowd = crowd.join(able, "id").select("id", "component", "shared", "shingles")
+    keys = saved(crowd.mapInArrow(_fine_keys, f"id {id_type}, component {id_type}, shared long, n long, key long").distinct(), "fine-keys")
     fine = saved(_open(keys), "fine-buckets")
-    hubs = saved(_hub_pairs(fine.withColumn("m", F.lit(1))).join(tried, ["a", "b"], "left_anti"), "fine-hubs")
+    hubs = _hub_pairs(fine.select("id", "component", "key", F.lit(1).alias("m")), across=True)
+    hubs = saved(hubs.join(tried, ["a", "b"], "left_anti"), "fine-hubs")
     found = _merged(found, confirmed(pairs.union(hubs).distinct()))
-    left = _open_pairs(_open(_with_component(fine.select("id", "n", "key"), found)), percent).join(tried.union(hubs), ["a", "b"], "left_anti")
+    left = _open_pairs(_open(_with_component(fine.select("id", "n", "shared", "key"), found)), percent).join(tried.union(hubs), ["a", "b"], "left_anti")
     left = saved(left, "last-pairs")
     if not left.isEmpty():
         found = _merged(found, confirmed(left))
