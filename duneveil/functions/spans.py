@@ -169,6 +169,15 @@ def with_spans(df: DataFrame, text_col: str, out: str = "spans", names: bool = T
     return df.withColumn(out, F.array_sort(out))
 
 
+def exploded(df: DataFrame, spans: str, name: str = "s") -> DataFrame:
+    """df with a row for each span.
+
+    The outer form, filtered afterwards: for the inner one the optimizer infers a filter on the array's size, pushes it
+    down through every step of the detection and so works all of them out again.
+    """
+    return df.withColumn(name, F.explode_outer(spans)).filter(F.col(name).isNotNull())
+
+
 def span_at(s: Column, start: Column, end: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), s["kind"].alias("kind"), s["conf"].alias("conf"), s["source"].alias("source"))
 

@@ -118,7 +118,7 @@ def population(tables: dict[str, DataFrame], columns: list[tuple[str, str]]) ->
     """(table, column, phrase, population, passed): all ID-shaped numbers of the columns by the phrase before them."""
     texts = _texts(tables, columns).filter(F.col("value").rlike(r"\p{Nd}"))
     found = texts.withColumn("norm", normalize(F.col("value"))).withColumn("places", offsets(F.col("value")))
-    found = found.select("table", "column", "value", "places", F.explode(matches(F.col("norm"), ID_SHAPE)).alias("m"))
+    found = found.select("table", "column", "value", "places", F.explode_outer(matches(F.col("norm"), ID_SHAPE)).alias("m")).filter("m IS NOT NULL")
     phrase = phrase_before(F.col("value"), F.get("places", F.col("m.start")))
     return found.groupBy("table", "column", phrase.alias("phrase")).agg(
         F.count(F.lit(1)).alias("population"), F.count_if(is_saudi_id(F.col("m.text"))).alias("passed")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import EMAIL, IBAN, KINDS, MOBILE, PERSON_NAME, SAUDI_ID, is_valid
-from ..functions.spans import with_spans
+from ..functions.spans import exploded, with_spans
 from ..functions.text import normalize, normalize_name, strip
 from .pseudonyms import canonical_of
 from .tables import ROW, Detection, cells, columns_of
@@ -50,7 +50,7 @@ def original_values(tables: dict[str, DataFrame], detections: list[Detection], s
 def detected(some: DataFrame) -> DataFrame:
     """(table, column, ROW, kind, piece, canon): what the detector, without names, finds in cells."""
     found = with_spans(some.filter(F.col("value").rlike(r"@|\p{Nd}")), "value", "spans", names=False)
-    found = found.select("table", "column", ROW, "value", F.explode("spans").alias("s"))
+    found = exploded(found, "spans")
     piece = F.substring("value", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
     found = found.select("table", "column", ROW, F.col("s.kind").alias("kind"), piece.alias("piece"))
     return found.withColumn("canon", canonical_of(F.col("kind"), F.col("piece")))
@@ -81,7 +81,7 @@ def windows(norm: Column) -> Column:
 def exhaustive(some: DataFrame) -> DataFrame:
     """(table, column, ROW, kind, canon): every window of every run of digits, and every mail address."""
     norm = some.withColumn("norm", normalize(F.col("value"))).filter(F.col("norm").rlike("[0-9]{10}|@"))
-    return norm.select("table", "column", ROW, F.explode(windows(F.col("norm"))).alias("w")).select("table", "column", ROW, "w.kind", "w.canon")
+    return exploded(norm.withColumn("windows", windows(F.col("norm"))), "windows", "w").select("table", "column", ROW, "w.kind", "w.canon")
 
 
 def leaks(twin: dict[str, DataFrame], originals: DataFrame) -> DataFrame:

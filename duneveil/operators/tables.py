@@ -15,8 +15,10 @@ ROW = "__row"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share, from spark.checkpoint.dir; a local one where that is unset (tests)."""
+    """The folder that all machines share, from spark.checkpoint.dir; a local one where a local session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
     return found.rstrip("/") if found else f"file://{os.path.join(tempfile.gettempdir(), 'duneveil-shared')}"
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.tables import written
+
 # Names given out in turn.
 FIRST = ("محمد", "أحمد", "خالد", "فهد", "سارة", "نورة", "منى", "هدى", "علي", "ريم")
 FAMILY = ("الغامدي", "القحطاني", "الزهراني", "العتيبي", "الشمري", "الدوسري", "المطيري")
@@ -69,16 +71,28 @@ WITH_PEOPLE = f"people AS ({PEOPLE})"
 WITH_CLAIMS = f"{WITH_PEOPLE}, claims AS ({CLAIMS})"
 
 
+_made: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame) -> DataFrame:
+    """rows written once in a session, in as many files as a shuffle has partitions, so that all cores read them."""
+    at = spark.sparkContext.applicationId, sf_dir, name
+    if at not in _made:
+        _made[at] = written(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), name)
+    return _made[at]
+
+
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(person_id, full_name, national_id, mobile, iban, email, city, balance, segment)"""
-    return spark.sql(PEOPLE.replace("FROM customer", "FROM {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return _once(spark, sf_dir, "people", spark.sql(PEOPLE.replace("FROM customer", "FROM {customer}"), customer=customer))
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(claim_id, person_id, claim_date, claim_type, amount, notes)"""
-    return spark.sql(
-        CLAIMS.replace("FROM orders o JOIN people p", "FROM {orders} o JOIN {people} p"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"), people=people(spark, sf_dir)
-    )
+    orders, owners = spark.read.parquet(f"{sf_dir}/orders.parquet"), people(spark, sf_dir)
+    return _once(spark, sf_dir, "claims", spark.sql(CLAIMS.replace("FROM orders o JOIN people p", "FROM {orders} o JOIN {people} p"), orders=orders, people=owners))
+
 
 #: Values as they come in uploads: padded, missing in many spellings, grouped, in day order, formulas.
 MESSY = """

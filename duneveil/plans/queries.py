@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import IBAN, KINDS, MOBILE, SAUDI_ID, canonical, complete_iban, complete_saudi_id, is_valid
-from ..functions.spans import EMAIL_SHAPE, baseline_spans, matches, with_spans
+from ..functions.spans import EMAIL_SHAPE, baseline_spans, exploded, matches, with_spans
 from ..functions.text import ascii_digits, flatten, normalize, normalize_name
 from ..operators import cleaning, fidelity, profiling, returns, review, scans, tokens, twin, viewer
 from ..operators.detection import text_spans, valid_shares
@@ -86,7 +86,7 @@ def identifier_shares(spark, sf_dir):
 
 def note_spans(spark, sf_dir):
     notes = with_spans(claims(spark, sf_dir).select("claim_id", "notes"), "notes")
-    s = notes.select("claim_id", F.explode("spans").alias("s"))
+    s = exploded(notes, "spans")
     return s.select("claim_id", F.col("s.start").cast("long").alias("span_start"), F.col("s.end").cast("long").alias("span_end"), F.col("s.kind").alias("kind"), F.col("s.conf").alias("conf"))
 
 
