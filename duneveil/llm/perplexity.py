@@ -1,10 +1,11 @@
 """Quality rules with n-gram perplexity: a modified Kneser-Ney model counted in Spark, bands by language.
 
-The model is over symbols, not words: a UTF-8 byte is one of 64 (space, the letters a-z, digits, four kinds of
-punctuation, and 32 for bytes beyond ASCII), so there are at most 64**4 n-grams of the highest order however
-large the corpus is, and what is broadcast has a proven bound.  Every symbol of every text is counted.  The model
-is kept as arrays of n-gram hashes in order, with a log probability for each n-gram and a log back-off weight for
-each context; a lookup is a binary search.
+The model is over the bytes of texts, A-Z folded and runs of white space one blank: its n-grams have ORDER bytes, so one is
+its own 40-bit hash.  Every n-gram of every text is counted, whatever the size of the corpus, and the model grows with it.
+Counts, continuation counts, contexts and interpolated probabilities are grouped and joined in Spark, an order at a time,
+and written in the order of the hashes.  As texts are scored by a model that has counted them too, an n-gram that no other
+text holds is scored by the shorter ones behind it (leave one out).  Texts are scored by binary search in these arrays where they are small enough to
+be broadcast (BROADCAST_GRAMS), and by a join of texts' n-grams with them beyond that; both give the same scores.
 """
 
 from __future__ import annotations
@@ -16,32 +17,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import row_key, saved
 from .words import BASE, INVERSE, Block, blocks, mix, powers, window_starts, windows
 
-ORDER = 4
-BITS = 6
+ORDER = 5
+#: So many n-grams, 20 bytes each, are broadcast at most.
+BROADCAST_GRAMS = 2_000_000
+#: A task that has found so many n-grams passes them on and begins anew.
+TASK_GRAMS = 4_000_000
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 #: A band reaches so many times as far from the median as the quartiles do (3.4 standard deviations of a normal spread) ...
 REACH = 5.0
 #: ... and at least so large a share of the median, where a crowd of near copies leaves hardly any spread.
-LEAST_REACH = 0.1
+LEAST_REACH = 0.05
+#: A text of so many characters scatters twice as much (in variance) as a very long one.
 SHORT = 200
 
-# Punctuation by kind, symbols of the quality rule.
-STOPS, MARKS, PAIRS, RULE_SYMBOLS = b".,;:", b"!?", b"\"'()[]{}", b"#*$%&|<>"
+# Symbols of the quality rule.
+RULE_SYMBOLS = b"#*$%&|<>"
 
 
 def _fold_table() -> np.ndarray:
-    table = np.full(256, 31, np.uint8)
-    table[[9, 10, 11, 12, 13, 32]] = 0
-    for k in range(26):
-        table[[65 + k, 97 + k]] = 1 + k
-    table[48:58] = 27
-    for kind, chars in ((28, STOPS), (29, MARKS), (30, PAIRS)):
-        table[list(chars)] = kind
-    table[128:] = 32 + (np.arange(128, 256) & 31)
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    table[9:14] = 32
     return table
 
 
@@ -49,104 +49,93 @@ FOLD = _fold_table()
 
 
 def symbol_grams(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(n-grams of ORDER symbols, their texts); runs of white space are one symbol, one stands before each text."""
+    """(n-grams of ORDER bytes, their texts); runs of white space are one blank, one stands before each text."""
     symbols = FOLD[block.data]
     keep = np.ones(len(symbols), bool)
-    keep[1:] = (symbols[1:] != 0) | (symbols[:-1] != 0)
+    keep[1:] = (symbols[1:] != 32) | (symbols[:-1] != 32)
     keep[block.text_start[1:] - 1] = True
     at = np.flatnonzero(keep)
-    symbols = symbols[at].astype(np.uint32)
+    symbols = symbols[at].astype(np.int64)
     doc = np.searchsorted(block.text_start, at, "right") - 1
     n = len(symbols) - ORDER + 1
     if n <= 0:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    grams = np.zeros(n, np.uint32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grams = np.zeros(n, np.int64)
     for k in range(ORDER):
-        grams = (grams << np.uint32(BITS)) | symbols[k : k + n]
+        grams = (grams << 8) | symbols[k : k + n]
     inside = doc[:n] == doc[ORDER - 1 :]
     return grams[inside], doc[:n][inside]
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    gram, owner = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    return gram, np.bincount(owner, weights=np.concatenate([n for _, n in parts]), minlength=len(gram)).astype(np.int64)
+
+
 def _gram_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << (BITS * ORDER), np.int64)
+    def flushed(gram: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(gram), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(gram[k : k + 100_000]), pa.array(n[k : k + 100_000])], names=["gram", "n"])
+
+    parts, held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
     for batch in batches:
         for block in blocks(batch.column(0)):
-            gram, n = np.unique(symbol_grams(block)[0], return_counts=True)
-            total[gram] += n
-    found = np.flatnonzero(total)
-    for k in range(0, len(found), 100_000):
-        part = found[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["gram", "n"])
+            parts.append(np.unique(symbol_grams(block)[0], return_counts=True))
+            held += len(parts[-1][0])
+            if held > TASK_GRAMS:
+                parts = [_merged(parts)]
+                held = len(parts[0][0])
+                if held > TASK_GRAMS // 2:
+                    yield from flushed(*parts[0])
+                    parts, held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    yield from flushed(*_merged(parts))
+
+
+def discounts(n1: float, n2: float, n3: float, n4: float) -> list[float]:
+    """Modified Kneser-Ney's D for counts 1, 2 and 3 or more, from the numbers of n-grams with counts 1 to 4."""
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    d = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+    return [min(max(x, 0.05), k * 0.95) for k, x in enumerate(d, 1)]
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney's D for counts 0, 1, 2 and 3 or more, from the counts of counts."""
-    n1, n2, n3, n4 = (float((counts == k).sum()) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    d = [0.0, 1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return np.array([min(max(x, 0.05 * (k > 0)), k * 0.95) for k, x in enumerate(d)])
-
-
-class Model:
-    """Hashes in order, by order of n-gram: log probabilities; and of contexts: log back-off weights."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        mask = np.uint32((1 << BITS) - 1)
-        levels = [(grams.astype(np.uint32), counts.astype(np.float64))]
-        for order in range(ORDER - 1, 0, -1):  # how many symbols an n-gram is found after
-            gram = levels[-1][0] & np.uint32((1 << (BITS * order)) - 1)
-            levels.append(tuple(x.astype(t) for x, t in zip(np.unique(gram, return_counts=True), (np.uint32, np.float64), strict=True)))
-        self.log_p: list[tuple[np.ndarray, np.ndarray]] = []
-        self.log_back: list[tuple[np.ndarray, np.ndarray]] = []
-        lower = np.full(1 << BITS, 1.0 / (1 << BITS))
-        lower_grams = np.arange(1 << BITS, dtype=np.uint32)
-        for order, (gram, count) in enumerate(reversed(levels), 1):
-            sort = np.argsort(gram)
-            gram, count = gram[sort], count[sort]
-            off = discounts(count)[np.minimum(count, 3).astype(int)]
-            context, begin = np.unique(gram >> np.uint32(BITS), return_index=True)
-            if not len(gram):
-                self.log_p.append((np.zeros(0, np.uint64), np.zeros(0)))
-                self.log_back.append((np.zeros(0, np.uint64), np.zeros(0)))
-                continue
-            total, left = np.add.reduceat(count, begin), np.add.reduceat(off, begin)
-            owner = np.searchsorted(context, gram >> np.uint32(BITS))
-            tail = gram & (mask if order == 1 else np.uint32((1 << (BITS * (order - 1))) - 1))
-            p = (count - off) / total[owner] + (left / total)[owner] * lower[np.searchsorted(lower_grams, tail)]
-            self.log_p.append(self._sorted(gram, np.log(p)))
-            self.log_back.append(self._sorted(context, np.log(left / total)))
-            lower, lower_grams = p, gram
-
-    @staticmethod
-    def _sorted(gram: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = mix(gram.astype(np.uint64), 51)
-        sort = np.argsort(key)
-        return key[sort], value[sort].astype(np.float32)
-
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = table
-        if not len(keys):
-            return np.zeros(len(gram), bool), np.zeros(len(gram), np.float32)
-        key = mix(gram.astype(np.uint64), 51)
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return keys[at] == key, values[at]
-
-    def score(self, gram: np.ndarray) -> np.ndarray:
-        """The natural log of each n-gram's last symbol's probability after the others."""
-        out = np.zeros(len(gram))
-        left = np.arange(len(gram))
-        for order in range(ORDER, 0, -1):
-            part = gram[left] & np.uint32((1 << (BITS * order)) - 1)
-            found, value = self._find(self.log_p[order - 1], part)
-            out[left[found]] += value[found]
-            left, part = left[~found], part[~found]
-            if not len(left):
-                return out
-            known, back = self._find(self.log_back[order - 1], part >> np.uint32(BITS))
-            out[left] += np.where(known, back, 0)
-        out[left] -= np.log(1 << BITS)
-        return out
+def _interpolated(level: DataFrame, lower: DataFrame | None, order: int) -> DataFrame:
+    """(gram, c, p, q) of the n-grams (gram, c) of one order; lower: those of the order below.
+
+    p: the probability of the last byte after the others; q: the same as if the n-gram had not been seen, and below the
+    highest order only where it was seen once.
+    """
+    few = {r["c"]: r["n"] for r in level.filter("c <= 4").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows
+    d = discounts(*(float(few.get(k, 0)) for k in (1, 2, 3, 4)))
+    off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+    rows = level.select("gram", "c", off.alias("off"), F.shiftright("gram", 8).alias("context"))
+    contexts = rows.groupBy(F.col("context").alias("of")).agg(F.sum("c").alias("total"), F.sum("off").alias("left"))
+    rows = rows.join(contexts, F.col("context") == F.col("of"))
+    if lower is None:
+        rows = rows.withColumns({"below": F.lit(1.0 / 256), "unseen": F.lit(1.0 / 256)})
+    else:
+        shorter = F.col("gram").bitwiseAND(F.lit((1 << (8 * (order - 1))) - 1).cast("long"))
+        lower = lower.select(F.col("gram").alias("g"), F.col("p").alias("below"), F.col("q").alias("unseen"))
+        rows = rows.withColumn("tail", shorter).join(lower, F.col("tail") == F.col("g"))
+    share = F.col("left") / F.col("total")
+    p = (F.col("c") - F.col("off")) / F.col("total") + share * F.col("below")
+    q = F.when(F.col("total") > F.col("c"), share).otherwise(1.0) * F.col("unseen")
+    return rows.select("gram", "c", p.alias("p"), (q if order == ORDER else F.when(F.col("c") > 1, p).otherwise(q)).alias("q"))
+
+
+def train(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(gram, c, log_p, log_q), written in the order of gram: each n-gram of the texts with its count and the natural logs of
+    its last byte's probability, as it is and as if the n-gram had not been seen."""
+    counts = texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_gram_counter, "gram long, n long")
+    levels = [saved(counts.groupBy("gram").agg(F.sum("n").alias("c")), "grams-5")]
+    for order in range(ORDER - 1, 0, -1):  # a shorter n-gram counts the bytes it is found after
+        tail = F.col("gram").bitwiseAND(F.lit((1 << (8 * order)) - 1).cast("long"))
+        levels.append(saved(levels[-1].groupBy(tail.alias("gram")).agg(F.count(F.lit(1)).alias("c")), f"grams-{order}"))
+    lower = None
+    for order, level in enumerate(reversed(levels), 1):
+        lower = saved(_interpolated(level, lower, order), f"probabilities-{order}")
+    logs = [F.log(x).cast("float").alias(f"log_{x}") for x in ("p", "q")]
+    count = F.least("c", F.lit((1 << 31) - 1)).cast("int").alias("c")
+    return saved(lower.select("gram", count, *logs).repartitionByRange("gram").sortWithinPartitions("gram"), "model")
 
 
 def rule_counts(block: Block) -> dict[str, np.ndarray]:
@@ -195,17 +184,27 @@ def rule_counts(block: Block) -> dict[str, np.ndarray]:
 RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def _own(gram: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of each text: (n-grams, their texts, how often each text holds them)."""
+    bits = 8 * ORDER  # and 63 - bits for the text's place in its block
+    both, own = np.unique(doc << bits | gram, return_counts=True)
+    return both & ((1 << bits) - 1), both >> bits, own
+
+
 def _scorer(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        """(id, lang, rules, nats) from (id, lang, text)."""
+        grams, count, log_p, log_q = shared.value
         for batch in batches:
             for block in blocks(batch.column(2)):
-                rules = rule_counts(block)
                 gram, doc = symbol_grams(block)
-                n = np.bincount(doc, minlength=block.n)
-                nats = np.bincount(doc, weights=-model.score(gram), minlength=block.n)
+                gram, doc, own = _own(gram, doc)
+                at = np.searchsorted(grams, gram)
+                value = np.where(count[at] > own, log_p[at], log_q[at]).astype(np.float64) if len(gram) else np.zeros(0)
+                n = np.bincount(doc, weights=own, minlength=block.n)
+                nats = np.bincount(doc, weights=-value * own, minlength=block.n)
                 nats = np.divide(nats, n, out=np.zeros(block.n), where=n > 0)
-                part = batch.slice(block.first, block.n)
+                rules, part = rule_counts(block), batch.slice(block.first, block.n)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), *(pa.array(rules[x].astype(np.int64)) for x in RULES), pa.array(nats, mask=n == 0)], names=["id", "lang", *RULES, "nats"]
                 )
@@ -213,28 +212,61 @@ def _scorer(shared):
     return score
 
 
+def _ruler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, lang, key, rules) from (id, lang, key, text)."""
+    for batch in batches:
+        for block in blocks(batch.column(3)):
+            rules, part = rule_counts(block), batch.slice(block.first, block.n)
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), *(pa.array(rules[x].astype(np.int64)) for x in RULES)], names=["id", "lang", "key", *RULES])
+
+
+def _gram_lister(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, gram, n) from (key, text): the n-grams of each text."""
+    for batch in batches:
+        for block in blocks(batch.column(1)):
+            gram, doc = symbol_grams(block)
+            gram, doc, own = _own(gram, doc)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + block.first)), pa.array(gram), pa.array(own)], names=["key", "gram", "n"])
+
+
+def scores(texts: DataFrame, model: DataFrame, most: int = BROADCAST_GRAMS) -> DataFrame:
+    """(id, lang, rules, nats) of texts (id, lang, text): nats is the mean over a text's n-grams, null without one.
+
+    most: beyond so many n-grams the model is joined instead of broadcast.
+    """
+    id_type, kinds = texts.schema["id"].dataType.simpleString(), ", ".join(f"{x} long" for x in RULES)
+    if model.count() <= most:
+        found = model.toArrow().sort_by("gram")
+        shared = texts.sparkSession.sparkContext.broadcast(tuple(found.column(x).to_numpy() for x in ("gram", "c", "log_p", "log_q")))
+        return texts.mapInArrow(_scorer(shared), f"id {id_type}, lang string, {kinds}, nats double")
+    keyed = texts.withColumn("key", row_key("id", "lang", "text"))
+    rules = keyed.select("id", "lang", "key", "text").mapInArrow(_ruler, f"id {id_type}, lang string, key long, {kinds}")
+    listed = keyed.select("key", "text").mapInArrow(_gram_lister, "key long, gram long, n long")
+    # repeated rows list their n-grams several times, which leaves the mean as it is
+    log = F.when(F.col("c") > F.col("n"), F.col("log_p")).otherwise(F.col("log_q")).cast("double")
+    sums = listed.join(model, "gram").groupBy(F.col("key").alias("k")).agg((-F.sum(F.col("n") * log) / F.sum("n")).alias("nats"))
+    return rules.join(sums, F.col("key") == F.col("k"), "left").select("id", "lang", *RULES, "nats")
+
+
 def quality(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, reach: float = REACH
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, reach: float = REACH,
+    most: int = BROADCAST_GRAMS,
 ) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, perplexity, base_failed, kept) for each row.
 
     base_failed: fewer than min_words words, or more than repeat_percent of them in repeated 5-word windows.
-    kept: not base_failed and the perplexity (a symbol) inside the language's band.  A band is drawn in nats over
+    kept: not base_failed and the perplexity (of a byte) inside the language's band.  A band is drawn in nats over
     the language's texts that pass the base rules, texts of one score counted once: median - reach * (median - lower
     quartile) up to median + reach * (upper quartile - median), LEAST_REACH of the median on each side at least.
     Under a quarter of junk moves no quartile out of the clean texts.  A band is wider by sqrt(1 + SHORT / characters)
     for a text, as the mean over few symbols scatters more.  A null language is a language.  A null or empty text has no
     words and fails; its perplexity, and that of a text too short for an n-gram, is null, and no band rejects it.
-    Repeated rows are texts of their own, and count in the model as often.  Other columns are ignored.
+    Repeated rows are texts of their own, and count in the model as often.  Very long texts count whole, ties don't
+    arise, an empty table gives an empty result, and other columns are ignored, whatever their names.
+    most: how many n-grams are broadcast at most (see scores).
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counts = texts.select("text").mapInArrow(_gram_counter, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    table = counts.toArrow()  # at most 64**ORDER rows
-    model = Model(table.column("gram").to_numpy(), table.column("n").to_numpy())
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    id_type = texts.schema["id"].dataType.simpleString()
-    scored = saved(texts.mapInArrow(_scorer(shared), f"id {id_type}, lang string, {', '.join(f'{x} long' for x in RULES)}, nats double"), "perplexity")
+    scored = saved(scores(texts, train(texts), most), "perplexity")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
     at = scored.filter("NOT base_failed AND nats IS NOT NULL").select(F.col("lang").alias("of"), "nats").distinct()

@@ -355,13 +355,16 @@ def test_junk_in_a_tenth_of_a_language_does_not_widen_its_band(spark):
     assert sum(got[k] for k in range(270)) >= 267
 
 
-def test_model_probabilities_sum_to_one():
-    rng = np.random.default_rng(11)
-    grams, counts = np.unique(rng.integers(0, 1 << 24, 3000), return_counts=True)
-    model = perplexity.Model(grams, counts)
-    for context in (int(grams[0]) >> 6, 12345):
-        every = np.array([(context << 6) | k for k in range(64)], np.uint32)
-        assert abs(np.exp(model.score(every)).sum() - 1) < 1e-4
+def test_perplexities_equal_brute_force_and_the_join_equals_the_broadcast(spark):
+    rng = random.Random(11)
+    texts = [*EDGES, "abcd", "Ab  cd\te", *(" ".join(rng.choices("the Cat sat on a mat near Ünï 日本 banana bandana".split(), k=rng.randrange(1, 60))) for _ in range(80))]
+    table = docs(spark, [*texts, texts[-1]])
+    want, sums = brute.kneser_ney([*texts, texts[-1]])
+    assert all(abs(x - 1) < 1e-9 for x in sums)
+    for most in (10**9, 0):
+        got = {r.doc_id: r.perplexity for r in perplexity.quality(table, most=most).collect()}
+        for k, nats in enumerate(want):
+            assert (got[k] is None) == (nats is None) and (nats is None or abs(np.log(got[k]) - nats) < 1e-5)
 
 
 def test_quality_of_an_empty_table(spark):
