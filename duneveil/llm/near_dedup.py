@@ -172,14 +172,13 @@ def _fine_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, component, least, shingles): a row for each shingle, with the set's size n."""
+    """From (id, shingles): a row for each shingle."""
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
-            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(3)]
-            n = np.array([len(x) for x in sets])
-            rows = pa.array(np.repeat(np.arange(len(sets)), n))
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in range(3)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], names=["id", "component", "least", "n", "shingle"])
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+            rows = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(np.concatenate(sets))], names=["id", "shingle"])
 
 
 def _confirmer(percent: int):
@@ -316,16 +315,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = _open_pairs(placed.filter(F.col("m") <= LARGE).withColumn("shared", F.col("n")), percent).join(tried, ["a", "b"], "left_anti")
     large = placed.filter(F.col("m") > LARGE)
     least = large.groupBy(F.col("key").alias("k")).agg(F.min("n").alias("least"))
-    crowd = large.join(least, F.col("key") == F.col("k")).groupBy("id", "component").agg(F.min("least").alias("least"))
-    crowd = saved(crowd.join(sets, "id").select("id", "component", "least", "shingles"), "crowd")
-    # what a set shares with others is at most the shingles that another component has too: too few for any partner, and no
-    # link is left; without such sets the others share less, so it is asked again
-    able = None
+    crowd = large.join(least, F.col("key") == F.col("k")).groupBy("id", "component", "n").agg(F.min("least").alias("least"))
+    crowd = saved(crowd.join(sets, "id").select("id", "component", "n", "least", "shingles"), "crowd")
+    # what a set shares with others is at most the shingles that another one has too: too few for any partner, and no link
+    # is left; without such sets the others share less, so it is asked again
+    able = crowd.select("id", "n", "least")
     for _ in range(PASSES):
-        flat = (crowd if able is None else crowd.join(able, "id", "left_semi")).mapInArrow(_flatten, f"id {id_type}, component {id_type}, least long, n long, shingle long")
-        held = flat.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(F.col("shingle").alias("s"))
-        able = flat.join(held, F.col("shingle") == F.col("s")).groupBy("id", "least", "n").agg(F.count(F.lit(1)).alias("shared"))
-        able = saved(able.filter(_enough(F.col("shared"), F.col("n"), F.greatest("least", F.ceil(percent * F.col("n") / 100)), percent)).select("id", "shared"), "viable")
+        flat = crowd.join(able.select("id"), "id", "left_semi").select("id", "shingles").mapInArrow(_flatten, f"id {id_type}, shingle long")
+        alone = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("id").alias("i")).filter("held = 1").groupBy("i").agg(F.count(F.lit(1)).alias("alone"))
+        able = able.select("id", "n", "least").join(alone, F.col("id") == F.col("i"), "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
+        able = able.filter(_enough(F.col("shared"), F.col("n"), F.greatest("least", F.ceil(percent * F.col("n") / 100)), percent))
+        able = saved(able.select("id", "n", "least", "shared"), "viable")
+    able = able.select("id", "shared")
     crowd = crowd.join(able, "id").select("id", "component", "shared", "shingles")
     keys = saved(crowd.mapInArrow(_fine_keys, f"id {id_type}, component {id_type}, shared long, n long, key long").distinct(), "fine-keys")
     fine = saved(_open(keys), "fine-buckets")
