@@ -7,15 +7,15 @@
 3. Pairs whose sketches put the similarity clearly below the threshold go; the rest are held against the full
    sets of shingles.  What is confirmed is an edge; connected components by large-star / small-star steps.
 4. Only buckets that hold several components can still add anything.  Those of at most LARGE members give their
-   pairs across components.  Members of larger ones that share enough of their shingles with others of them to be
-   linked at all get longer, finer band keys, which tell half-alike texts apart: hubs of those buckets, and then the
-   pairs across components that are left.
-
-A pair of similarity 0.8 shares no band with a probability of 3e-6, no fine band of 1e-5 (fine bands
-have samples of their own and are independent); the sketch test is
-over four standard deviations wide.  Nothing is capped: a hub costs a row for each member, small buckets at most
-LARGE rows for each member, and fine keys are made only for members of large buckets that no component holds
-together yet.  Every step is a written table, so plans stay short and a lost executor costs no more than a step.
+   pairs across components.  In larger ones half-alike texts abound, which bands of any length tell apart badly, but
+   their rare shingles do: in one order of all shingles, rarest first, two linked sets share one of the shingles that
+   come before so many of either set as the link needs.  Members of large buckets get those first shingles as keys,
+   and what shares none is out: hubs of these buckets, and then the pairs across components that are left.
+
+A pair of similarity 0.8 shares no band with a probability of 3e-6; first shingles miss none, whatever the order; the
+sketch test is over four standard deviations wide.  Nothing is capped: a hub costs a row for each member, small buckets
+at most LARGE rows for each member, and first shingles are listed only for members of large buckets that no component
+holds together yet.  Every step is a written table, so plans stay short and a lost executor costs no more than a step.
 """
 
 from __future__ import annotations
@@ -33,19 +33,16 @@ from .words import Block, blocks, mix, window_starts, windows
 SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 32, 5
-FINE_BANDS, FINE_ROWS = 102, 10
 SAMPLES = 256
-#: Each fine band has samples of its own, so that bands miss a pair independently.
-FINE_SAMPLES = FINE_BANDS * FINE_ROWS
 SKETCH_BITS = 1024
 #: Under an estimate of (PERCENT - SLACK) / 100 a pair isn't read in full.
 SLACK = 14
 LARGE = 64
-#: So often are members of large buckets asked whether they share enough with others; results don't depend on it.
-PASSES = 2
+#: Shingles are counted by so many leading bits of their hash, to put rare ones first: a table of 4 MB at any size of the
+#: corpus.  Results don't depend on the order, only the number of candidates does.
+SLOT_BITS = 20
 
 _MULTIPLIERS = mix(np.arange(SAMPLES, dtype=np.uint64), 7) | np.uint64(1)
-_FINE_MULTIPLIERS = mix(np.arange(FINE_SAMPLES, dtype=np.uint64), 8) | np.uint64(1)
 
 
 def distinct_shingles(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,11 +68,11 @@ def distinct_shingles(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(owner, np.arange(block.n + 1))
 
 
-def minhashes(value: np.ndarray, begin: np.ndarray, multipliers: np.ndarray = _MULTIPLIERS) -> np.ndarray:
-    """A row of values for each set, one for each multiplier; no set may be empty."""
-    out = np.empty((len(multipliers), len(begin) - 1), np.uint64)
+def minhashes(value: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A row of SAMPLES values for each set; no set may be empty."""
+    out = np.empty((SAMPLES, len(begin) - 1), np.uint64)
     with np.errstate(over="ignore"):
-        for k, multiplier in enumerate(multipliers):
+        for k, multiplier in enumerate(_MULTIPLIERS):
             np.minimum.reduceat(value * multiplier, begin[:-1], out=out[k])
     return np.ascontiguousarray(out.T)
 
@@ -95,11 +92,6 @@ def band_keys(hashes: np.ndarray, chosen: np.ndarray, seed: int) -> np.ndarray:
 COARSE = np.arange(BANDS * ROWS).reshape(BANDS, ROWS)
 
 
-def fine_columns() -> np.ndarray:
-    """FINE_BANDS sets of FINE_ROWS columns; no column is in two of them."""
-    return np.arange(FINE_SAMPLES).reshape(FINE_BANDS, FINE_ROWS)
-
-
 def odd_sketches(hashes: np.ndarray) -> np.ndarray:
     """SKETCH_BITS parities of each row of MinHash values, as packed longs."""
     n = len(hashes)
@@ -157,28 +149,47 @@ def _set_reader(size: int):
     return sets
 
 
-def _fine_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, component, shared, shingles): the first three and the set's size n beside each fine key."""
-    columns = fine_columns()
-    for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(3)]
-            begin = np.append(0, np.cumsum([len(x) for x in sets]))
-            keys = band_keys(minhashes(np.concatenate(sets), begin, _FINE_MULTIPLIERS), columns, 6)
-            rows = pa.array(np.repeat(np.arange(len(sets)), FINE_BANDS))
-            n = pa.array(np.repeat(np.diff(begin), FINE_BANDS))
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in range(3)), n, pa.array(keys.ravel().view(np.int64))], names=["id", "component", "shared", "n", "key"])
-
-
-def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, shingles): a row for each shingle."""
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (shingles): (slot, held), added up by batch: how often a shingle of the slot is in a set."""
     for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
-            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
-            rows = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(np.concatenate(sets))], names=["id", "shingle"])
+        for k in range(0, batch.num_rows, 1024):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(0).slice(k, 1024)]
+            slot, held = np.unique(_slot(np.concatenate(sets)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(held.astype(np.int64))], names=["slot", "held"])
+
+
+def first_shingles(value: np.ndarray, begin: np.ndarray, held: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, shingle, rank): each set's first shingles, by the count of their slot and then by hash, where a link can show.
+
+    Linked sets share percent% of either at least, so one of the first n - ceil(percent% of n) + 1 of both.  A shingle
+    alone in its slot is in no other set and is left out; the ranks of the others stay.
+    """
+    n = np.diff(begin)
+    owner = np.repeat(np.arange(len(n)), n)
+    count = held[_slot(value)]
+    order = np.lexsort((value, count, owner))
+    rank = np.arange(len(value)) - begin[owner]
+    keep = (100 * (n[owner] - rank) >= percent * n[owner]) & (count[order] > 1)
+    return owner[keep], value[order][keep], rank[keep]
+
+
+def _first_keys(held, percent: int):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From (id, component, shingles): both, the set's size n, what it can share from this key on, and the key."""
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(2)]
+                n = np.array([len(x) for x in sets])
+                owner, key, rank = first_shingles(np.concatenate(sets), np.append(0, np.cumsum(n)), held.value, percent)
+                columns = [*(part.column(c).take(pa.array(owner)) for c in (0, 1)), pa.array(n[owner]), pa.array(n[owner] - rank), pa.array(key.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "component", "n", "shared", "key"])
+
+    return keys
 
 
 def _confirmer(percent: int):
@@ -221,18 +232,18 @@ def _crowds(keys: DataFrame, name: str) -> DataFrame:
     return saved(keys.join(sizes, F.col("key") == F.col("k")).drop("k"), name)
 
 
-def _hub_pairs(rows: DataFrame, across: bool = False) -> DataFrame:
-    """Pairs of each member of a bucket with its hub, of rows (id, key, m); across: of another component.
+def _hub_pairs(rows: DataFrame, percent: int | None = None) -> DataFrame:
+    """Pairs of each member of a bucket with its hub, of rows (id, key, m); with percent (see _fits) only those that fit.
 
     The hub is the member whose buckets are the largest all in all: of many copies of one text, one close to it.
     """
     weight = rows.groupBy(F.col("id").alias("i")).agg(F.sum("m").alias("weight"))
-    hubs = rows.join(weight, F.col("id") == F.col("i")).groupBy(F.col("key").alias("k"))
-    side = ["component"] if across else []
+    hubs = rows.join(weight, F.col("id") == F.col("i")).groupBy(F.col("key").alias("x_key"))
+    side = [] if percent is None else ["component", "n", "shared"]
     top = F.max(F.struct("weight", F.xxhash64("id").alias("h"), "id", *side))
-    hubs = hubs.agg(top["id"].alias("hub"), *(top[x].alias("theirs") for x in side))
-    pairs = rows.join(hubs, F.col("key") == F.col("k")).filter("component <> theirs" if across else "id <> hub")
-    return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    hubs = hubs.agg(*(top[x].alias(f"x_{x}") for x in ("id", *side)))
+    pairs = rows.join(hubs, (F.col("x_key") == F.col("key")) & (F.col("id") != F.col("x_id") if percent is None else _fits(percent)))
+    return pairs.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct()
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -243,20 +254,20 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(main, F.col("key") == F.col("k")).drop("k")
 
 
-def _enough(both: Column, n: Column, other: Column, percent: int) -> Column:
-    """Are so many common shingles enough to link sets of these sizes?"""
-    return (100 + percent) * both >= percent * (n + other)
+def _fits(percent: int) -> Column:
+    """Can a member and another (x_...) of its bucket be a link across components?
 
+    n: a set's size; shared: what it can share with others at most, having shared nothing before this key.
+    """
+    sizes = 100 * F.least("x_n", "n") >= percent * F.greatest("x_n", "n")
+    enough = (100 + percent) * F.least("x_shared", "shared") >= percent * (F.col("n") + F.col("x_n"))
+    return (F.col("x_component") != F.col("component")) & sizes & enough
 
-def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of open buckets (see _open) across components: members outside the main one with all others that fit.
 
-    n: a member's size; shared: what it can share with others at most.
-    """
+def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of open buckets (see _open) across components: members outside the main one with all others that fit."""
     others = rows.filter("component <> main").select(*(F.col(x).alias(f"x_{x}") for x in ("id", "component", "key", "n", "shared")))
-    pairs = others.join(rows, (F.col("x_key") == F.col("key")) & (F.col("x_component") != F.col("component")))
-    fits = (100 * F.least("x_n", "n") >= percent * F.greatest("x_n", "n")) & _enough(F.least("x_shared", "shared"), F.col("n"), F.col("x_n"), percent)
-    pairs = pairs.filter(fits)
+    pairs = others.join(rows, (F.col("x_key") == F.col("key")) & _fits(percent))
     return pairs.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct()
 
 
@@ -314,26 +325,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = saved(_open(_with_component(members, found)), "open-buckets")
     pairs = _open_pairs(placed.filter(F.col("m") <= LARGE).withColumn("shared", F.col("n")), percent).join(tried, ["a", "b"], "left_anti")
     large = placed.filter(F.col("m") > LARGE)
-    least = large.groupBy(F.col("key").alias("k")).agg(F.min("n").alias("least"))
-    crowd = large.join(least, F.col("key") == F.col("k")).groupBy("id", "component", "n").agg(F.min("least").alias("least"))
-    crowd = saved(crowd.join(sets, "id").select("id", "component", "n", "least", "shingles"), "crowd")
-    # what a set shares with others is at most the shingles that another one has too: too few for any partner, and no link
-    # is left; without such sets the others share less, so it is asked again
-    able = crowd.select("id", "n", "least")
-    for _ in range(PASSES):
-        flat = crowd.join(able.select("id"), "id", "left_semi").select("id", "shingles").mapInArrow(_flatten, f"id {id_type}, shingle long")
-        alone = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("id").alias("i")).filter("held = 1").groupBy("i").agg(F.count(F.lit(1)).alias("alone"))
-        able = able.select("id", "n", "least").join(alone, F.col("id") == F.col("i"), "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
-        able = able.filter(_enough(F.col("shared"), F.col("n"), F.greatest("least", F.ceil(percent * F.col("n") / 100)), percent))
-        able = saved(able.select("id", "n", "least", "shared"), "viable")
-    able = able.select("id", "shared")
-    crowd = crowd.join(able, "id").select("id", "component", "shared", "shingles")
-    keys = saved(crowd.mapInArrow(_fine_keys, f"id {id_type}, component {id_type}, shared long, n long, key long").distinct(), "fine-keys")
-    fine = saved(_open(keys), "fine-buckets")
-    hubs = _hub_pairs(fine.select("id", "component", "key", F.lit(1).alias("m")), across=True)
-    hubs = saved(hubs.join(tried, ["a", "b"], "left_anti"), "fine-hubs")
+    crowd = saved(large.select("id", "component").distinct().join(sets, "id"), "crowd")
+    counts = crowd.select("shingles").mapInArrow(_slot_counts, "slot long, held long").groupBy("slot").agg(F.sum("held").alias("held")).filter("held > 1").toArrow()
+    held = np.ones(1 << SLOT_BITS, np.int64)
+    held[counts["slot"].to_numpy()] = counts["held"].to_numpy()
+    order = docs.sparkSession.sparkContext.broadcast(np.minimum(held, 2**31 - 1).astype(np.int32))
+    keys = crowd.select("id", "component", "shingles").mapInArrow(_first_keys(order, percent), f"id {id_type}, component {id_type}, n long, shared long, key long")
+    keys = saved(keys, "first-shingles")
+    order.destroy()
+    firsts = saved(_open(keys), "first-buckets")
+    hubs = saved(_hub_pairs(firsts.withColumn("m", F.lit(1)), percent).join(tried, ["a", "b"], "left_anti"), "first-hubs")
     found = _merged(found, confirmed(pairs.union(hubs).distinct()))
-    left = _open_pairs(_open(_with_component(fine.select("id", "n", "shared", "key"), found)), percent).join(tried.union(hubs), ["a", "b"], "left_anti")
+    left = _open_pairs(_open(_with_component(firsts.select("id", "n", "shared", "key"), found)), percent).join(tried.union(hubs), ["a", "b"], "left_anti")
     left = saved(left, "last-pairs")
     if not left.isEmpty():
         found = _merged(found, confirmed(left))

@@ -282,13 +282,30 @@ def test_near_groups_of_odd_rows(spark):
     assert near_dedup.near_groups(frame(spark, [])).count() == 0
 
 
-def test_fine_bands_miss_no_more_than_stated():
+def test_linked_sets_share_a_first_shingle_in_any_order():
     rng = np.random.default_rng(17)
-    columns, missed = near_dedup.fine_columns(), 0
-    for _ in range(80):  # 20,000 pairs of similarity 0.8: 0.2 misses expected
-        equal = rng.random((250, columns.max() + 1)) < 0.8
-        missed += int((~equal[:, columns].all(axis=2).any(axis=1)).sum())
-    assert missed <= 3
+    counted, noise = np.ones(1 << near_dedup.SLOT_BITS, np.int64), rng.integers(2, 9, 1 << near_dedup.SLOT_BITS)
+    for k in range(400):
+        common, a, b = rng.integers(1, 200), rng.integers(0, 30), rng.integers(0, 30)
+        value = rng.integers(0, 2**63, common + a + b).astype(np.uint64) * np.uint64(2)
+        sets = [np.sort(value[: common + a]), np.sort(np.append(value[:common], value[common + a :]))]
+        held = noise if k % 2 else counted + np.bincount(near_dedup._slot(np.concatenate(sets)), minlength=len(counted))
+        owner, key, rank = near_dedup.first_shingles(np.concatenate(sets), np.array([0, common + a, 2 * common + a + b]), held, 80)
+        shared = [{x: len(sets[s]) - r for o, x, r in zip(owner, key, rank) if o == s} for s in (0, 1)]
+        met = any(180 * min(shared[0][x], shared[1][x]) >= 80 * sum(map(len, sets)) for x in shared[0].keys() & shared[1].keys())
+        assert met or 100 * common < 80 * (common + a + b)
+
+
+def test_families_of_one_crowd_that_touch_equal_brute_force(spark):
+    rng = random.Random(27)
+    base = invented(rng, 90)
+    texts = []
+    for _ in range(12):  # copies of copies: links that don't pass the base
+        parent = edited(rng, base, 5)
+        texts += [" ".join(edited(rng, parent, rng.randrange(0, 4))) for _ in range(14)]
+    rng.shuffle(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(docs(spark, texts), shingle=4).collect()}
+    assert got == brute.near_groups(list(enumerate(texts)), 4, 80)
 
 
 def test_sketches_estimate_high_similarities():
