@@ -247,7 +247,11 @@ def weighted_median(distances: DataFrame) -> float | None:
 
 
 def distance_to_closest(train: DataFrame, twin: DataFrame, holdout: DataFrame, kinds: dict[str, str], seed: int = 0, strata: str | None = None) -> dict:
-    """Are twin rows no closer to training rows than unseen rows are?  Passed if their median distance is no smaller."""
+    """Are twin rows no closer to training rows than unseen rows are?  Passed if their median distance is no smaller.
+
+    per_stratum has a verdict for each of the MAX_CATEGORIES values of `strata` with most twin rows, ties by value;
+    strata tells how many values there are.  The verdict over all rows covers every stratum.
+    """
     frames = encoded({"train": train, "twin": twin, "holdout": holdout}, kinds)
     to_train = {k: written(nearest_distances(frames[k], frames["train"], seed), f"dcr-{k}") for k in ("twin", "holdout")}
     n_train, n_hold = frames["train"].count(), frames["holdout"].count()
@@ -259,11 +263,13 @@ def distance_to_closest(train: DataFrame, twin: DataFrame, holdout: DataFrame, k
     zero = to_train["twin"].filter(F.col("nearest") < ZERO).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     out = {
         "median_dcr_twin_to_train": round(medians["twin"], 5), "median_dcr_holdout_to_train": round(medians["holdout"], 5), "passed": medians["twin"] >= medians["holdout"],
-        "share_twin_closer_to_train_than_holdout": round(closer, 4), "share_ideal": 0.5, "twin_rows_at_distance_zero": zero, "columns": list(kinds), "per_stratum": None,
+        "share_twin_closer_to_train_than_holdout": round(closer, 4), "share_ideal": 0.5, "twin_rows_at_distance_zero": zero, "columns": list(kinds), "strata": 0, "per_stratum": None,
     }
     if strata and kinds.get(strata) == "categorical":
         out["per_stratum"] = {}
-        for v in sorted({r[0] for r in twin.select(F.col(f"`{strata}`").cast("string")).distinct().limit(MAX_CATEGORIES).collect()} - {None}):
+        sizes = twin.groupBy(F.col(f"`{strata}`").cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n")).filter("v IS NOT NULL")
+        out["strata"] = sizes.count()
+        for v in sorted(r["v"] for r in sizes.orderBy(F.col("n").desc(), "v").limit(MAX_CATEGORIES).collect()):
             parts = encoded({"train": train, "twin": twin.filter(F.col(f"`{strata}`") == v), "holdout": holdout.filter(F.col(f"`{strata}`") == v)}, kinds)
             pair = [weighted_median(nearest_distances(parts[k], parts["train"], seed)) for k in ("twin", "holdout")]
             if None not in pair:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import EMAIL, IBAN, MOBILE, PERSON_NAME, SAUDI_ID
 from ..functions.names import GAZETTEER
-from .fidelity import eta_squared
+from .fidelity import MAX_VALUES, eta_squared
 from .pseudonyms import candidate, digest_function
 from .tables import ROW, Detection, Profile, columns_of, numbered, numbered_in_group, written
 
@@ -112,7 +112,10 @@ def build_view(tables: dict[str, DataFrame], profile: Profile, sizes: dict[str,
 
 
 def view_plan(view: View, profile: Profile, detections: list[Detection]) -> tuple[dict[str, str], dict[str, str]]:
-    """({column: numerical, datetime or categorical}, {column left out: why})."""
+    """({column: numerical, datetime or categorical}, {column left out: why}).
+
+    The values of a category are collected, so one of more than MAX_VALUES values is left out.
+    """
     by = {(d.table, d.column): d for d in detections}
     keys = {(t, k) for t, k in profile.primary_keys.items() if k} | {(f.child_table, f.child_column) for f in profile.foreign_keys}
     modelled, left = {}, {}
@@ -125,6 +128,8 @@ def view_plan(view: View, profile: Profile, detections: list[Detection]) -> tupl
             left[column] = {"DIRECT_ID": "identifier: made up anew", "FREE_TEXT": "free text: written from templates"}.get(tag, "key: numbered anew")
         elif facts.dtype in ("numeric", "date"):
             modelled[column] = "numerical" if facts.dtype == "numeric" else "datetime"
+        elif facts.n_unique > MAX_VALUES:
+            left[column] = f"more than {MAX_VALUES} values: no category"
         elif facts.dtype == "categorical" or facts.n_unique <= HIGH_CARDINALITY * max(facts.n_rows, 1):
             modelled[column] = "categorical"
         else:
@@ -224,7 +229,7 @@ def marginals(df: DataFrame, kinds: dict[str, str]) -> Marginals:
     for k, c in enumerate(numeric):
         out.quantiles[c], out.whole[c] = np.array(r[f"q{k}"] or [], float), bool(r[f"w{k}"])
     for c in (c for c, k in kinds.items() if k == "categorical"):
-        counts = df.filter(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "v").collect()  # a modelled category has few values
+        counts = df.filter(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "v").collect()  # MAX_VALUES at most, see view_plan
         out.words[c] = [x["v"] for x in counts], np.cumsum([x["n"] for x in counts]) / max(sum(x["n"] for x in counts), 1)
     return out
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -63,6 +64,9 @@ def test_the_view_and_its_plan(tables):
     kinds, left = synthesis.view_plan(view, p, a.detections)
     assert kinds == {"claim_date": "datetime", "kind": "categorical", "amount": "numerical", "region": "categorical", "prior_claims": "numerical"}
     assert set(left) == {"claim_id", "person_id", "mobile"}
+    wide = replace(p, columns=p.columns | {("claims", "kind"): replace(p.columns["claims", "kind"], n_unique=fidelity.MAX_VALUES + 1)})
+    kinds, left = synthesis.view_plan(view, wide, a.detections)
+    assert "kind" not in kinds and str(fidelity.MAX_VALUES) in left["kind"]
 
 
 def test_a_stratified_copula_keeps_what_depends_on_a_category(tables):
