@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, mixing, near_dedup, perplexity, secrets, substrings, token_counts, toxicity
+from . import chat, decontaminate, line_dedup, mixing, near_dedup, packing, perplexity, secrets, substrings, token_counts, toxicity
 from .common import table
 
 
@@ -52,3 +52,11 @@ def op10_gbt_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    # no bound on documents or attention but what 4096 tokens allow: the fewest sequences are asked for
+    return packing.pack(found.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
