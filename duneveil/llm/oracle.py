@@ -89,4 +89,86 @@ SELECT conv_id, perspective, block, count(*)::BIGINT AS n_turns, string_agg(piec
 FROM h GROUP BY conv_id, perspective, block
 """
 
-SQL = {"op3_pareto_mix": MIX, "op4_site_line_dedup": SITE_LINES, "op7_perspective_rotation": ROTATION}
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a short ASCII text: DuckDB has none, so its table is made by rule."""
+    table = "range(256)"
+    for _ in range(8):
+        table = f"list_transform({table}, lambda x: xor(x >> 1, (x & 1) * 3988292384))"
+    codes = f"list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT))"
+    return f"xor(list_reduce({codes}, lambda a, x: xor(a >> 8, ({table})[(xor(a, x) & 255) + 1])), 4294967295)"
+
+
+REPAIR = rf"""
+WITH RECURSIVE lots AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS lot
+  FROM conversations
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+    CASE lot WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN lot = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM lots WHERE lot <> 0
+), rows AS (
+  SELECT *, row_number() OVER w AS i, lag(left(role, 1)) OVER w AS prior,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, md5(length(role)::VARCHAR || ':' || role || text), copy) AS seen
+  FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role)::VARCHAR || ':' || role || text), copy)
+), faults AS (
+  SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault
+  FROM rows
+), facts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(fault = 'blank')::BIGINT AS blank,
+    count_if(fault = 'duplicate')::BIGINT AS duplicate, count_if(fault = 'truncated')::BIGINT AS truncated, count_if(i > 1 AND prior || initial NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal
+  FROM faults GROUP BY conv_id
+), moves(origin, target, needed) AS (
+  VALUES ('', 's', ''), ('', 'u', ''), ('s', 'u', ''), ('a', 'u', ''), ('u', 'u', 'assistant:'), ('u', 'a', ''), ('', 'a', 'user:'), ('s', 'a', 'user:'), ('a', 'a', 'user:')
+), walk(conv_id, i, state, cost, audit, body) AS (
+  SELECT conv_id, 0::BIGINT, '', 0::BIGINT, '', []::VARCHAR[] FROM facts
+  UNION ALL
+  SELECT conv_id, i, state, cost, audit, body FROM (
+    SELECT w.conv_id, f.i, w.state, w.cost + 4 AS cost, w.audit || 'D' AS audit, w.body FROM walk w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1
+    UNION ALL
+    SELECT w.conv_id, f.i, m.target, w.cost + CASE WHEN needed = '' THEN 0 ELSE 3 END + CASE WHEN f.initial = m.target THEN 0 ELSE 3 END + CASE WHEN f.fault IS NULL THEN 0 ELSE 3 END,
+      w.audit || CASE WHEN needed = '' THEN '' ELSE 'I' END || CASE WHEN f.initial = m.target THEN 'K' ELSE 'R' END,
+      list_concat(w.body, CASE WHEN needed = '' THEN [] ELSE [needed] END, [CASE WHEN f.initial = m.target THEN f.role WHEN m.target = 'u' THEN 'user' ELSE 'assistant' END || ':' || f.text])
+    FROM walk w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN moves m ON m.origin = w.state AND (m.target <> 's' OR f.initial = 's')
+    WHERE f.fault IS NULL OR f.fault = 'truncated'
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1
+), ends AS (
+  SELECT w.conv_id, w.cost + CASE state WHEN 'u' THEN 3 WHEN 's' THEN 6 ELSE 0 END AS cost, w.audit || CASE state WHEN 'u' THEN 'I' WHEN 's' THEN 'II' ELSE '' END AS audit,
+    list_concat(w.body, CASE state WHEN 'u' THEN ['assistant:'] WHEN 's' THEN ['user:', 'assistant:'] ELSE [] END) AS body, f.gaps, f.blank, f.duplicate, f.truncated, f.illegal
+  FROM walk w JOIN facts f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.i
+), best AS (
+  SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(body, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN best e ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+RANKING = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), docs AS (
+  SELECT doc_id, w, len(w)::BIGINT AS n FROM words WHERE len(w) > 0
+), size AS (
+  SELECT count(*)::BIGINT AS N, sum(n)::BIGINT AS L FROM docs
+), asked AS (
+  SELECT item_id, term, count(*)::BIGINT AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+  ) GROUP BY ALL
+), postings AS (
+  SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * size.N + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM postings, size GROUP BY term, size.N
+), scores AS (
+  SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * p.n * size.N) // size.L))))::BIGINT AS score
+  FROM asked JOIN postings p USING (term) JOIN weights USING (term), size GROUP BY item_id, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM scores WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+SQL = {
+    "op3_pareto_mix": MIX, "op4_site_line_dedup": SITE_LINES, "op7_perspective_rotation": ROTATION, "op13_structure_repair": REPAIR,
+}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, mixing, near_dedup, packing, perplexity, secrets, substrings, token_counts, toxicity
-from .common import table
+from . import chat, decontaminate, line_dedup, mixing, near_dedup, packing, perplexity, repair, secrets, substrings, token_counts, toxicity
+from .common import saved, table
 
 
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,3 +60,16 @@ def op12_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     # no bound on documents or attention but what 4096 tokens allow: the fewest sequences are asked for
     return packing.pack(found.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    hurt = repair.damaged(turns)
+    solved = saved(repair.audits(hurt), "audits")
+    facts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    found = solved.join(repair.digests(hurt, solved).withColumnRenamed("conv_id", "of"), F.col("conv_id").eqNullSafe(F.col("of")))
+    found = found.select(F.col("conv_id").alias("c"), *facts, "audit", "sha256")
+    every = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    none = {**{x: F.lit(0).cast("long") for x in facts}, "audit": F.lit(""), "sha256": F.sha2(F.lit(""), 256)}
+    out = every.select("conv_id", *(F.coalesce(F.col(x), v).alias(x) for x, v in none.items()))
+    return out.withColumnRenamed("sha256", "repaired_sha256")
