@@ -170,5 +170,5 @@ QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <=
 """
 
 SQL = {
-    "op3_pareto_mix": MIX, "op4_site_line_dedup": SITE_LINES, "op7_perspective_rotation": ROTATION, "op13_structure_repair": REPAIR,
+    "op3_pareto_mix": MIX, "op4_site_line_dedup": SITE_LINES, "op7_perspective_rotation": ROTATION, "op11_bit_sliced_search": RANKING, "op13_structure_repair": REPAIR,
 }

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import saved
+from .words import parts
 
 LIMIT = 4096
 END_ID = 1
@@ -101,26 +102,6 @@ def _encoder(path: str) -> WordIds:
     return _encoders[path]
 
 
-def _parts(texts: list[str | None]) -> Iterator[list[tuple[int, str, bool]]]:
-    """Lists of (row, part, is it the text's last), of about PART_BYTES each; a part ends before a blank."""
-    held, size = [], 0
-    for row, text in enumerate(texts):
-        text, at = text or "", 0
-        while at <= len(text):
-            stop = len(text)
-            if stop - at > PART_BYTES:
-                ends = [x for x in (text.find(b, at + PART_BYTES) for b in " \t\n\x0b\x0c\r") if x >= 0]
-                stop = min(ends, default=stop)
-            held.append((row, text[at:stop], stop == len(text)))
-            size += stop - at
-            at = stop + 1 if stop == len(text) else stop
-            if size >= PART_BYTES:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
 def _piecer(path: str, limit: int, end_id: int):
     end = np.array([end_id], "<u4")
 
@@ -128,10 +109,10 @@ def _piecer(path: str, limit: int, end_id: int):
         encode = _encoder(path)
         for batch in batches:
             waiting, began = np.zeros(0, "<u4"), 0  # of the text that goes on: ids not yet in a piece, and ids before them
-            for parts in _parts(batch.column(1).to_pylist()):
-                ids, at = encode(pa.array([p for _, p, _ in parts], pa.large_utf8()))
+            for some in parts(batch.column(1).to_pylist(), PART_BYTES):
+                ids, at = encode(pa.array([p for _, p, _ in some], pa.large_utf8()))
                 rows, starts, cut = [], [], []
-                for k, (row, _, last) in enumerate(parts):
+                for k, (row, _, last) in enumerate(some):
                     waiting = np.concatenate([waiting, ids[at[k] : at[k + 1]], end] if last else [waiting, ids[at[k] : at[k + 1]]])
                     whole = len(waiting) if last else len(waiting) // limit * limit
                     for x in range(0, whole, limit):

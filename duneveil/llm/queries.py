@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, mixing, near_dedup, packing, perplexity, repair, secrets, substrings, token_counts, toxicity
+from . import chat, decontaminate, line_dedup, mixing, near_dedup, packing, perplexity, repair, search, secrets, substrings, token_counts, toxicity
 from .common import saved, table
 
 
@@ -73,3 +73,7 @@ def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = {**{x: F.lit(0).cast("long") for x in facts}, "audit": F.lit(""), "sha256": F.sha2(F.lit(""), 256)}
     out = every.select("conv_id", *(F.coalesce(F.col(x), v).alias(x) for x, v in none.items()))
     return out.withColumnRenamed("sha256", "repaired_sha256")
+
+
+def op11_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -128,3 +128,23 @@ def _block(raw: np.ndarray, offsets: np.ndarray, first: int) -> Block:
     doc_word = np.searchsorted(start, text_start)
     word_doc = np.repeat(np.arange(n), np.diff(doc_word))
     return Block(first, n, data, text_start, start, end, word_doc, doc_word)
+
+
+def parts(texts: list[str | None], most: int) -> Iterator[list[tuple[int, str, bool]]]:
+    """Lists of (row, part, is it the text's last), of about `most` characters each; a part ends before a blank."""
+    held, size = [], 0
+    for row, text in enumerate(texts):
+        text, at = text or "", 0
+        while at <= len(text):
+            stop = len(text)
+            if stop - at > most:
+                ends = [x for x in (text.find(b, at + most) for b in " \t\n\x0b\x0c\r") if x >= 0]
+                stop = min(ends, default=stop)
+            held.append((row, text[at:stop], stop == len(text)))
+            size += stop - at
+            at = stop + 1 if stop == len(text) else stop
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
