@@ -28,6 +28,8 @@ HOLDOUT, HIGH_CARDINALITY = 0.2, 0.5
 MIN_STRATUM, MAX_STRATA, MIN_ETA = 100, 12, 0.1
 #: Points of a column's quantile table.
 GRID = 501
+#: Rows between two of its points at least.
+ROWS_PER_POINT = 4
 FIRST_KEY = 100_000
 _NORMAL = NormalDist()
 _Z = np.linspace(-6, 6, 4001)
@@ -137,13 +139,17 @@ def view_plan(view: View, profile: Profile, detections: list[Detection]) -> tupl
     return modelled, left
 
 
-def typed_view(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+def typed_columns(kinds: dict[str, str]) -> list[Column]:
     """The modelled columns as doubles, day numbers and texts."""
     def of(c: str, kind: str) -> Column:
         v = F.col(f"`{c}`")
         return v.try_cast("double") if kind == "numerical" else F.unix_date(F.substring(v.cast("string"), 1, 10).try_cast("date")).cast("double") if kind == "datetime" else v.cast("string")
 
-    return df.select(*(of(c, k).alias(c) for c, k in kinds.items()))
+    return [of(c, k).alias(c) for c, k in kinds.items()]
+
+
+def typed_view(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    return df.select(*typed_columns(kinds))
 
 
 # ---------------------------------------------------------------- copulas
@@ -227,7 +233,9 @@ def marginals(df: DataFrame, kinds: dict[str, str]) -> Marginals:
     out.n = r["n"]
     out.nulls = {c: r[f"z{k}"] / r["n"] if r["n"] else 0.0 for k, c in enumerate(kinds)}
     for k, c in enumerate(numeric):
-        out.quantiles[c], out.whole[c] = np.array(r[f"q{k}"] or [], float), bool(r[f"w{k}"])
+        q = np.array(r[f"q{k}"] or [], float)
+        # a table of as many points as rows would give single rows' values back
+        out.quantiles[c], out.whole[c] = q[np.rint(np.linspace(0, len(q) - 1, min(len(q), max(out.n // ROWS_PER_POINT, 2)))).astype(int)], bool(r[f"w{k}"])
     for c in (c for c, k in kinds.items() if k == "categorical"):
         counts = df.filter(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "v").collect()  # MAX_VALUES at most, see view_plan
         out.words[c] = [x["v"] for x in counts], np.cumsum([x["n"] for x in counts]) / max(sum(x["n"] for x in counts), 1)

@@ -236,7 +236,21 @@ STATUSES = f"""WITH r AS (
 RELINKED = f"SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_name AS original_name, CAST(c_custkey * 3 AS VARCHAR) AS score, 'linked' AS relink_status FROM customer WHERE {_KIND_OF} = 'verified'"
 TOTALS = "SELECT 'customer' AS \"column\", count(*)::BIGINT AS n, sum(o_custkey)::BIGINT AS total FROM orders UNION ALL SELECT 'order', count(*), sum(o_orderkey)::BIGINT FROM orders"
 
+CHILDREN = "SELECT l_orderkey AS o_orderkey, count(*)::BIGINT AS n, round(avg(l_quantity::DOUBLE), 6) AS mean_quantity, round(avg(l_discount::DOUBLE), 6) AS mean_discount FROM lineitem GROUP BY l_orderkey"
+MULTI_TABLE = """WITH lines AS (
+  SELECT l_orderkey, count(*) AS n, avg(l_quantity::DOUBLE) AS q FROM lineitem GROUP BY l_orderkey
+), o AS (
+  SELECT o_custkey, o_totalprice::DOUBLE AS price, coalesce(n, 0) AS n, q FROM orders LEFT JOIN lines ON o_orderkey = l_orderkey
+), c AS (
+  SELECT c_acctbal::DOUBLE AS balance, coalesce(k, 0) AS k, coalesce(lines, 0) AS lines FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS k, sum(n) AS lines FROM o GROUP BY o_custkey) ON c_custkey = o_custkey
+), facts AS (
+  SELECT 'lines_per_order' AS what, avg(n) AS value FROM o UNION ALL SELECT 'price_with_lines', corr(price, n) FROM o UNION ALL SELECT 'price_with_quantity', corr(price, q) FROM o
+  UNION ALL SELECT 'orders_per_customer', avg(k) FROM c UNION ALL SELECT 'spread_of_orders', stddev_pop(k) FROM c UNION ALL SELECT 'orders_with_lines', corr(k, lines) FROM c UNION ALL SELECT 'balance_with_orders', corr(balance, k) FROM c
+  UNION ALL SELECT 'quantity_with_price', corr(l_quantity::DOUBLE, l_extendedprice::DOUBLE) FROM lineitem UNION ALL SELECT 'quantity_with_discount', corr(l_quantity::DOUBLE, l_discount::DOUBLE) FROM lineitem
+) SELECT what, round(value, 4) AS value, true AS near FROM facts"""
+
 SQL = {
+    "child_summaries": CHILDREN, "multi_table_facts": MULTI_TABLE,
     "text_forms": TEXT_FORMS, "identifier_validity": VALIDITY, "completed_identifiers": COMPLETED, "column_profiles": PROFILES, "key_containment": CONTAINMENT, "identifier_shares": SHARES,
     "note_spans": NOTE_SPANS, "naive_note_spans": NAIVE, "document_mails": MAILS, "cleaned_values": CLEANED, "deduplicated_rows": DEDUPE, "spelling_suggestions": SPELLINGS, "worth_a_look": LOOK,
     "review_population": POPULATION, "leaked_originals": LEAKED, "copied_rows": COPIES, "orphan_rows": ORPHANS, "overlap_scores": OVERLAPS, "flat_view_places": PLACES,

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.identifiers import IBAN, KINDS, MOBILE, SAUDI_ID, canonical, complete_iban, complete_saudi_id, is_valid
 from ..functions.spans import EMAIL_SHAPE, baseline_spans, exploded, matches, with_spans
 from ..functions.text import ascii_digits, flatten, normalize, normalize_name
-from ..operators import cleaning, fidelity, profiling, returns, review, scans, tokens, twin, viewer
+from ..operators import cleaning, fidelity, hierarchy, profiling, returns, review, scans, tokens, twin, viewer
 from ..operators.detection import text_spans, valid_shares
 from ..operators.policy import DEFAULT, policy_from_dict
 from ..operators.report import summary_counts
-from ..operators.tables import ROW, as_text, cells, numbered, numbered_in_group, shared_dir, written
+from ..operators.tables import ROW, ForeignKey, as_text, cells, numbered, numbered_in_group, shared_dir, written
 from ..sources import files, sinks
 from . import fixtures, masking, synthesizing
 
@@ -301,6 +301,51 @@ def synthetic_twin(spark, sf_dir):
     return next(iter(result.twin.values()))
 
 
+ORDER_KEYS = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": None}
+ORDER_LINKS = [ForeignKey("orders", "o_custkey", "customer", "c_custkey"), ForeignKey("lineitem", "l_orderkey", "orders", "o_orderkey")]
+
+
+def child_summaries(spark, sf_dir):
+    """What the lines of each order add up to on it."""
+    sums = hierarchy.summaries(_table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_quantity", "l_discount"])
+    return sums.select(F.col("parent").alias("o_orderkey"), "n", F.round("mean_0", 6).alias("mean_quantity"), F.round("mean_1", 6).alias("mean_discount"))
+
+
+def _multi_table_facts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(what, value): of three levels, how many rows there are, how many on a parent, and how columns go together across levels."""
+    c, o, x = (tables[t] for t in ("customer", "orders", "lineitem"))
+    lines = x.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("q"))
+    orders = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    per = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"))
+    customers = c.join(per, F.col("c_custkey") == F.col("o_custkey"), "left").withColumns({"k": F.coalesce("k", F.lit(0)), "all": F.coalesce("all", F.lit(0))})
+    of_orders = orders.agg(F.avg("n").alias("lines_per_order"), F.corr("o_totalprice", "n").alias("price_with_lines"), F.corr("o_totalprice", "q").alias("price_with_quantity"))
+    of_customers = customers.agg(F.avg("k").alias("orders_per_customer"), F.stddev_pop("k").alias("spread_of_orders"), F.corr("k", "all").alias("orders_with_lines"), F.corr("c_acctbal", "k").alias("balance_with_orders"))
+    of_lines = x.agg(F.corr("l_quantity", "l_extendedprice").alias("quantity_with_price"), F.corr("l_quantity", "l_discount").alias("quantity_with_discount"))
+    out = None
+    for df in (of_orders, of_customers, of_lines):
+        part = df.unpivot([], df.columns, "what", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def multi_table_facts(spark, sf_dir):
+    """Facts of customers, orders and lines, and whether a synthetic twin of all three has them too: correlations within 0.05,
+    numbers within 5%."""
+    used = {"customer": {"c_acctbal": "numerical", "c_mktsegment": "categorical"}, "orders": {"o_totalprice": "numerical", "o_orderstatus": "categorical"}, "lineitem": {"l_quantity": "numerical", "l_extendedprice": "numerical", "l_discount": "numerical", "l_returnflag": "categorical"}}
+    links = {"customer": ["c_custkey"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey"]}
+    tables = {}
+    for t, kinds in used.items():
+        columns = [*links[t], *kinds]
+        own = F.xxhash64("l_orderkey", "l_linenumber") if t == "lineitem" else F.col(links[t][0]).cast("long")
+        tables[t] = written(_table(spark, sf_dir, t).withColumn(ROW, own).select(ROW, *columns), t)
+    model = hierarchy.HierarchicalCopula(ORDER_KEYS, ORDER_LINKS)
+    model.fit(tables, used)
+    real, made = _multi_table_facts(tables), _multi_table_facts(model.sample()).select(F.col("what").alias("w"), F.col("value").alias("made"))
+    gap = F.abs(F.col("value") - F.col("made"))
+    near = F.when(F.col("what").contains("with"), gap <= 0.05).otherwise(gap <= 0.05 * F.col("value"))
+    return real.join(made, F.col("what") == F.col("w")).select("what", F.round("value", 4).alias("value"), near.alias("near"))
+
+
 # ---------------------------------------------------------------- tokens and returns
 
 
@@ -357,7 +402,7 @@ QUERIES = {
         text_forms, identifier_validity, completed_identifiers, column_profiles, key_containment, identifier_shares, note_spans, naive_note_spans, document_mails,
         cleaned_values, deduplicated_rows, spelling_suggestions, worth_a_look, review_population, review_groups, leaked_originals, copied_rows, orphan_rows, overlap_scores,
         flat_view_places, distribution_distances, variance_shares, rows_over_quantile, nearest_records, page_of_rows, guarded_cells, csv_round_trip, parquet_rows, numbered_rows,
-        masked_twin, masked_twin_facts, masked_report, synthetic_twin, token_references, return_statuses, relinked_rows, totals_of_columns,
+        masked_twin, masked_twin_facts, masked_report, synthetic_twin, child_summaries, multi_table_facts, token_references, return_statuses, relinked_rows, totals_of_columns,
     )
 }
 

@@ -164,7 +164,7 @@ def test_marks_and_entities(tables, analysis, run):
 def test_policies():
     p = policies.policy_from_dict(policies.DEFAULT)
     assert p.hash == policies.policy_from_dict(policies.DEFAULT).hash
-    with pytest.raises(ValueError, match="unknown action"):
+    with pytest.raises(ValueError, match="names no known action"):
         policies.policy_from_dict({"policy": {"SAUDI_ID": {"action": "shred"}}})
 
 
