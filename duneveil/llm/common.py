@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -14,7 +15,11 @@ from pyspark.sql import functions as F
 #: A word, in Java's and RE2's syntax.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: After so many written tables what dropped plans still hold is collected.
+COLLECT_EVERY = 6
+
 _written: list[list[str]] = []
+_saves = 0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,9 +41,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     if _written:
         _written[-1].append(path)
+    _collected(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _collected(spark: SparkSession) -> None:
+    """Spark deletes shuffle files and broadcasts of plans that nobody holds when the driver collects its garbage, which a roomy
+    one rarely does; an operator of many steps so would fill disks and the driver's memory."""
+    global _saves
+    _saves += 1
+    if _saves % COLLECT_EVERY == 0:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes on leaving the tables that were saved inside; what is still needed must be written elsewhere by then."""

@@ -201,7 +201,11 @@ def overlaps(
     laid = hits.join(seeds, F.col("hit") == F.col("seed")).select("region", "item_key", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
     pairs = laid.join(items.select(F.col("item_key").alias("k"), "item", "item_words"), F.col("item_key") == F.col("k"))
     pairs = pairs.join(regions.select(F.col("region").alias("r"), "id", "first", "words"), F.col("region") == F.col("r"))
-    found = pairs.select("id", "item", "diagonal", "first", "words", "item_words").mapInArrow(
+    # of a long region only the words under the item go on, once for each overlay
+    begin = F.greatest(F.col("diagonal"), F.lit(0))
+    under = F.greatest(F.least(F.size("words"), F.col("diagonal") + F.size("item_words")) - begin, F.lit(0))
+    laid_over = ((F.col("diagonal") - begin).alias("diagonal"), (F.col("first") + begin).alias("first"), F.slice("words", begin + 1, under).alias("words"))
+    found = pairs.select("id", "item", *laid_over, "item_words").mapInArrow(
         _verifier(min_equal, item_share, stretch_share), f"id {kinds[0]}, item {kinds[1]}, first_word long, end_word long, n_equal long, n_item_words long"
     )
     best = found.groupBy("id", "item").agg(F.max(F.struct("n_equal", (-F.col("first_word")).alias("first"), (-F.col("end_word")).alias("end"), "n_item_words")).alias("x"))

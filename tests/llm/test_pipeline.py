@@ -102,7 +102,7 @@ def test_query_on_the_smallest_tables(spark, sf_dir, name):
     assert rows
     if name in (sql := __spark_entry__.oracle_sql()):
         con = duckdb.connect()
-        for t in ("documents", "pages", "conversations"):
+        for t in ("documents", "pages", "conversations", "benchmark"):
             con.sql(f"CREATE VIEW {t} AS FROM '{sf_dir}/{t}.parquet'")
         found = con.sql(sql[name])
         columns = sorted(df.columns)
@@ -132,3 +132,18 @@ def test_rows_that_share_an_id_or_have_none_are_judged_by_their_own_texts(spark,
         out = stage(spark, table, folder)
         assert set(table.columns) <= set(out.columns)
         assert stage(spark, table.limit(0), folder).count() == 0
+
+
+def test_columns_of_any_type_and_long_texts_pass_every_stage(spark, planted):
+    folder, _ = planted
+    rng = random.Random(43)
+    long = " ".join(invented(rng, 60_000, 10**6))
+    odd = ["MAP('a', doc_id) AS tags", "ARRAY(1.5D, NULL) AS list", "NAMED_STRUCT('x', 1) AS pair", "X'00FF' AS raw", "TIMESTAMP'2024-01-01 00:00:00' AS at"]
+    rows = [(1, long), (1, long), (2, "one two three four five six"), (2, "one two three four five six"), (None, "seven eight nine ten eleven twelve"), (3, None)]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).selectExpr("*", *odd)
+    got = corpus_pipeline.drop_near_copies(spark, table, folder)
+    assert sorted((r.doc_id, r.text, r.tags) for r in got.collect() if r.doc_id) == sorted([(1, long, {"a": 1}), (2, rows[2][1], {"a": 2}), (3, None, {"a": 3})])
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, folder)
+        assert set(table.columns) <= set(out.columns) and all(bytes(r.raw) == b"\x00\xff" for r in out.collect())
+        assert stage(spark, table.limit(0), folder).count() == 0
