@@ -76,7 +76,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     key, other, row = private("key", "other", "row")
     repeated = docs.withColumn(key, row_key("doc_id", "text")).join(again.toDF(other), F.col(key) == F.col(other), "left_semi")
     repeated = repeated.join(gone.toDF(other), F.col(key) == F.col(other), "left_anti")
-    one = repeated.groupBy(key).agg(F.min(F.struct(*(F.col(f"`{x}`") for x in docs.columns))).alias(row))
+    whole = F.struct(*(F.col(f"`{x}`") for x in docs.columns))  # as text columns of any type have an order
+    one = repeated.groupBy(key).agg(F.min_by(whole, F.to_json(whole)).alias(row))
     return without(left, again).unionByName(one.select(*(F.col(f"{row}.`{x}`").alias(x) for x in docs.columns)))
 
 
