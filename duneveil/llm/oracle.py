@@ -76,7 +76,7 @@ WITH r AS (
 ), f AS (
   SELECT conv_id, perspective, turn, speaker, words, floor(turn / 256)::BIGINT AS block, speaker = perspective AS own,
     CASE WHEN speaker = perspective THEN '<|assistant|>' || chr(10) WHEN speaker = 'system' THEN '<|system|>' || chr(10)
-      ELSE '<|user ' || regexp_replace(speaker, '[|<>\n]', '_', 'g') || '|>' || chr(10) END AS head
+      ELSE '<|user ' || replace(replace(replace(replace(replace(speaker, '%', '%25'), '|', '%7C'), '<', '%3C'), '>', '%3E'), chr(10), '%0A') || '|>' || chr(10) END AS head
   FROM r JOIN parties ON r.conv_id IS NOT DISTINCT FROM c
 ), g AS (
   SELECT *, head || words || '<|end|>' || chr(10) AS piece FROM f
@@ -84,7 +84,7 @@ WITH r AS (
   SELECT *, row_number() OVER o AS place, sum(length(piece)) OVER (PARTITION BY conv_id, perspective, block ORDER BY turn NULLS LAST, speaker, words ROWS UNBOUNDED PRECEDING)::BIGINT AS stop
   FROM g WINDOW o AS (PARTITION BY conv_id, perspective, block ORDER BY turn NULLS LAST, speaker, words)
 )
-SELECT conv_id, perspective, block, count(*)::BIGINT AS n_turns, string_agg(piece, '' ORDER BY place) AS rendered,
+SELECT conv_id, perspective, block, coalesce(sum(sum(length(piece))) OVER (PARTITION BY conv_id, perspective ORDER BY block NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, count(*)::BIGINT AS n_turns, string_agg(piece, '' ORDER BY place) AS rendered,
   coalesce(string_agg(CASE WHEN own THEN (stop - length(piece) + length(head))::VARCHAR || '-' || (stop - 1)::VARCHAR END, ',' ORDER BY place), '') AS mask
 FROM h GROUP BY conv_id, perspective, block
 """

@@ -1,15 +1,20 @@
 """Quality rules with n-gram perplexity: a modified Kneser-Ney model counted in Spark, bands by language.
 
-The model is over the bytes of texts, A-Z folded and runs of white space one blank: its n-grams have ORDER bytes, so one is
-its own 40-bit hash.  Every n-gram of every text is counted, whatever the size of the corpus, and the model grows with it.
-Counts, continuation counts, contexts and interpolated probabilities are grouped and joined in Spark, an order at a time,
-and written in the order of the hashes.  As texts are scored by a model that has counted them too, an n-gram that no other
-text holds is scored by the shorter ones behind it (leave one out).  Texts are scored by binary search in these arrays where they are small enough to
-be broadcast (BROADCAST_GRAMS), and by a join of texts' n-grams with them beyond that; both give the same scores.
+The model is over the bytes of texts, each word with one blank before it, case and marks as they are: its n-grams have ORDER
+bytes, so one is its own 40-bit hash.  What follows a sentence's end, a small word's end or a capital is seen across the
+blank, so that words in the wrong order or case cost.  A text's n-grams come from the text alone, wherever it stands.
+Every n-gram of every text is counted, whatever the size of the corpus, and the model grows with it.  Counts, continuation
+counts, contexts and interpolated probabilities are grouped and joined in Spark, an order at a time, and written as sorted
+hash arrays.  As texts are scored by a model that has counted them too, an n-gram that no other text holds is scored by the
+shorter ones behind it (leave one out).  The model is cut into shards by ranges of the hash; each shard of at most about
+SHARD_GRAMS n-grams is broadcast in turn, and texts add up what they find in it by binary search.  A larger model takes more
+passes over the texts and shuffles nothing but a row for each text and pass.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +26,8 @@ from .common import row_key, saved
 from .words import BASE, INVERSE, Block, blocks, mix, powers, window_starts, windows
 
 ORDER = 5
-#: So many n-grams, 20 bytes each, are broadcast at most.
-BROADCAST_GRAMS = 2_000_000
+#: About so many n-grams, 20 bytes each, are broadcast at a time.
+SHARD_GRAMS = 2_000_000
 #: A task that has found so many n-grams passes them on and begins anew.
 TASK_GRAMS = 4_000_000
 MIN_WORDS = 10
@@ -38,33 +43,28 @@ SHORT = 200
 RULE_SYMBOLS = b"#*$%&|<>"
 
 
-def _fold_table() -> np.ndarray:
-    table = np.arange(256, dtype=np.uint8)
-    table[65:91] += 32
-    table[9:14] = 32
-    return table
-
-
-FOLD = _fold_table()
-
-
 def symbol_grams(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(n-grams of ORDER bytes, their texts); runs of white space are one blank, one stands before each text."""
-    symbols = FOLD[block.data]
-    keep = np.ones(len(symbols), bool)
-    keep[1:] = (symbols[1:] != 32) | (symbols[:-1] != 32)
-    keep[block.text_start[1:] - 1] = True
-    at = np.flatnonzero(keep)
-    symbols = symbols[at].astype(np.int64)
-    doc = np.searchsorted(block.text_start, at, "right") - 1
+    """(n-grams of ORDER bytes, their texts): a text is its words with one blank before each, whatever stands between or around them."""
+    if not len(block.start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size = block.end - block.start + 1
+    stop = np.cumsum(size)
+    symbols = np.full(stop[-1], 32, np.int64)
+    inside = np.ones(stop[-1], bool)
+    inside[stop - size] = False
+    solid = np.zeros(len(block.data) + 1, np.int8)
+    np.add.at(solid, block.start, 1)
+    np.add.at(solid, block.end, -1)
+    symbols[inside] = block.data[np.cumsum(solid[:-1]).astype(bool)]
+    doc = np.repeat(block.word_doc, size)
     n = len(symbols) - ORDER + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     grams = np.zeros(n, np.int64)
     for k in range(ORDER):
         grams = (grams << 8) | symbols[k : k + n]
-    inside = doc[:n] == doc[ORDER - 1 :]
-    return grams[inside], doc[:n][inside]
+    whole = doc[:n] == doc[ORDER - 1 :]
+    return grams[whole], doc[:n][whole]
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -191,23 +191,21 @@ def _own(gram: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return both & ((1 << bits) - 1), both >> bits, own
 
 
-def _scorer(shared):
+def _scorer(shared, low: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, lang, rules, nats) from (id, lang, text)."""
+        """(key, n, nats) from (key, text): how many n-grams of each text the shard has, and their summed nats."""
         grams, count, log_p, log_q = shared.value
         for batch in batches:
-            for block in blocks(batch.column(2)):
+            for block in blocks(batch.column(1)):
                 gram, doc = symbol_grams(block)
                 gram, doc, own = _own(gram, doc)
+                here = (gram >= low) & (gram <= grams[-1])
+                gram, doc, own = gram[here], doc[here], own[here]
                 at = np.searchsorted(grams, gram)
-                value = np.where(count[at] > own, log_p[at], log_q[at]).astype(np.float64) if len(gram) else np.zeros(0)
-                n = np.bincount(doc, weights=own, minlength=block.n)
-                nats = np.bincount(doc, weights=-value * own, minlength=block.n)
-                nats = np.divide(nats, n, out=np.zeros(block.n), where=n > 0)
-                rules, part = rule_counts(block), batch.slice(block.first, block.n)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *(pa.array(rules[x].astype(np.int64)) for x in RULES), pa.array(nats, mask=n == 0)], names=["id", "lang", *RULES, "nats"]
-                )
+                value = np.where(count[at] > own, log_p[at], log_q[at]).astype(np.float64)
+                n = np.bincount(doc, weights=own, minlength=block.n).astype(np.int64)
+                nats = np.bincount(doc, weights=-value * own, minlength=block.n).astype(np.float64)  # whole numbers for none
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(n), pa.array(nats)], names=["key", "n", "nats"])
 
     return score
 
@@ -220,37 +218,36 @@ def _ruler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), *(pa.array(rules[x].astype(np.int64)) for x in RULES)], names=["id", "lang", "key", *RULES])
 
 
-def _gram_lister(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, gram, n) from (key, text): the n-grams of each text."""
-    for batch in batches:
-        for block in blocks(batch.column(1)):
-            gram, doc = symbol_grams(block)
-            gram, doc, own = _own(gram, doc)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + block.first)), pa.array(gram), pa.array(own)], names=["key", "gram", "n"])
-
-
-def scores(texts: DataFrame, model: DataFrame, most: int = BROADCAST_GRAMS) -> DataFrame:
+def scores(texts: DataFrame, model: DataFrame, most: int = SHARD_GRAMS) -> DataFrame:
     """(id, lang, rules, nats) of texts (id, lang, text): nats is the mean over a text's n-grams, null without one.
 
-    most: beyond so many n-grams the model is joined instead of broadcast.
+    most: about so many n-grams of the model, which is written in the order of gram, are broadcast at a time.
     """
     id_type, kinds = texts.schema["id"].dataType.simpleString(), ", ".join(f"{x} long" for x in RULES)
-    if model.count() <= most:
-        found = model.toArrow().sort_by("gram")
-        shared = texts.sparkSession.sparkContext.broadcast(tuple(found.column(x).to_numpy() for x in ("gram", "c", "log_p", "log_q")))
-        return texts.mapInArrow(_scorer(shared), f"id {id_type}, lang string, {kinds}, nats double")
+    context = texts.sparkSession.sparkContext
     keyed = texts.withColumn("key", row_key("id", "lang", "text"))
     rules = keyed.select("id", "lang", "key", "text").mapInArrow(_ruler, f"id {id_type}, lang string, key long, {kinds}")
-    listed = keyed.select("key", "text").mapInArrow(_gram_lister, "key long, gram long, n long")
-    # repeated rows list their n-grams several times, which leaves the mean as it is
-    log = F.when(F.col("c") > F.col("n"), F.col("log_p")).otherwise(F.col("log_q")).cast("double")
-    sums = listed.join(model, "gram").groupBy(F.col("key").alias("k")).agg((-F.sum(F.col("n") * log) / F.sum("n")).alias("nats"))
+    passes = max(1, math.ceil(model.count() / most))
+    cuts = model.agg(F.percentile_approx("gram", [k / passes for k in range(1, passes)], 20 * passes).alias("at")).first()["at"] if passes > 1 else []
+    parts = None
+    for low, high in itertools.pairwise([0, *(c + 1 for c in cuts or []), 1 << (8 * ORDER)]):
+        shard = model.filter((F.col("gram") >= low) & (F.col("gram") < high)).toArrow().sort_by("gram")
+        if not len(shard):
+            continue
+        shared = context.broadcast(tuple(shard.column(x).to_numpy() for x in ("gram", "c", "log_p", "log_q")))
+        found = saved(keyed.select("key", "text").mapInArrow(_scorer(shared, low), "key long, n long, nats double"), "shard-scores")
+        shared.destroy()
+        parts = found if parts is None else parts.unionByName(found)
+    if parts is None:
+        return rules.withColumn("nats", F.lit(None).cast("double")).drop("key")
+    # repeated rows have one key and add the same several times, which leaves the mean as it is
+    sums = parts.groupBy(F.col("key").alias("k")).agg(F.try_divide(F.sum("nats"), F.sum("n").cast("double")).alias("nats"))
     return rules.join(sums, F.col("key") == F.col("k"), "left").select("id", "lang", *RULES, "nats")
 
 
 def quality(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, reach: float = REACH,
-    most: int = BROADCAST_GRAMS,
+    most: int = SHARD_GRAMS,
 ) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, perplexity, base_failed, kept) for each row.
 
@@ -263,7 +260,7 @@ def quality(
     words and fails; its perplexity, and that of a text too short for an n-gram, is null, and no band rejects it.
     Repeated rows are texts of their own, and count in the model as often.  Very long texts count whole, ties don't
     arise, an empty table gives an empty result, and other columns are ignored, whatever their names.
-    most: how many n-grams are broadcast at most (see scores).
+    most: about how many n-grams are broadcast at a time (see scores).
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     scored = saved(scores(texts, train(texts), most), "perplexity")

@@ -47,13 +47,17 @@ FEATURES = (
 def candidates(lines: DataFrame, line: Column, *keep: str) -> DataFrame:
     """keep, place, left, candidate, right: a row for each candidate of a line, with what stands on the line before it
     (LOOK characters of it, and what is between it and the one before) and up to the next one."""
-    found = F.regexp_extract_all(line, F.lit(CANDIDATE), F.lit(0))
-    rows = lines.filter(line.rlike(CANDIDATE)).withColumns({"_found": found, "_between": F.split(line, CANDIDATE, -1)})
-    rows = rows.select(*keep, "_between", "_found", F.posexplode("_found").alias("place", "candidate"))
+    rows = lines.filter(line.rlike(CANDIDATE)).select(*keep, F.regexp_extract_all(line, F.lit(CANDIDATE), F.lit(0)).alias("_found"), F.split(line, CANDIDATE, -1).alias("_between"))
     most = LOOK // 6
-    earlier = F.zip_with(*(F.slice(x, F.greatest(F.col("place") + 1 - most, F.lit(1)), F.least(F.col("place"), F.lit(most))) for x in ("_between", "_found")), lambda x, y: F.concat(F.substring(x, -LOOK, LOOK), F.substring(y, -LOOK, LOOK)))
-    before = F.substring(F.array_join(earlier, ""), -LOOK, LOOK)
-    return rows.select(*keep, "place", F.concat(before, F.element_at("_between", F.col("place") + 1)).alias("left"), "candidate", F.element_at("_between", F.col("place") + 2).alias("right"))
+
+    def placed(candidate: Column, i: Column) -> Column:
+        """A candidate with what is beside it, before lines are exploded: a row carries no other candidate of its line."""
+        some = lambda x: F.slice(x, F.greatest(i + 1 - most, F.lit(1)), F.least(i, F.lit(most)))
+        earlier = F.zip_with(some("_between"), some("_found"), lambda x, y: F.concat(F.substring(x, -LOOK, LOOK), F.substring(y, -LOOK, LOOK)))
+        left = F.concat(F.substring(F.array_join(earlier, ""), -LOOK, LOOK), F.element_at("_between", i + 1))
+        return F.struct(i.alias("place"), left.alias("left"), candidate.alias("candidate"), F.element_at("_between", i + 2).alias("right"))
+
+    return rows.select(*keep, F.explode(F.transform("_found", placed)).alias("_x")).select(*keep, "_x.*")
 
 
 def _share(text: Column, pattern: str) -> Column:
@@ -138,8 +142,9 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
     line_no and place count from 0 (the place among the line's candidates); digest is the candidate's SHA-256, so
     that a report holds no secret; score is the forest's share of trees' votes; is_secret is score >= threshold.
     labelled: (line, path, label) to learn from, labelled_findings() where none is given.  A text that is null,
-    empty or without candidates gives no row; null ids pass through; repeated rows give repeated findings.
-    Other columns are ignored.
+    empty or without candidates gives no row, and so does an empty table; null ids pass through; repeated rows give
+    repeated findings.  Long texts and lines count whole, in time that grows with their length.  Ties don't arise.
+    Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")

@@ -71,12 +71,9 @@ def rules(text):
 
 def kneser_ney(texts, order=5):
     """([mean nats of each text's n-grams or None], [the sums over all bytes of some contexts' probabilities])."""
-    folded = []
-    for t in texts:
-        raw = (t or "").translate(LOWER).encode()
-        folded.append(re.sub(rb"[\x20\x09-\x0D]+", b" ", b" " + raw + b" "))
-    # a blank stands before and after each text; runs of white space are one blank; the one before a text belongs to the text before it
-    grams = [[x[k : k + order] for k in range(1 if x else 0, len(x) - order + 1)] for x in folded]
+    # a text is its words with one blank before each
+    spelled = [b"".join(b" " + w.encode() for w in words(t)) for t in texts]
+    grams = [[x[k : k + order] for k in range(len(x) - order + 1)] for x in spelled]
     return _scored(grams, order)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -232,6 +234,20 @@ def test_neighbours_are_the_lines(spark):
     assert got["8fK2mQ9xZr4TnW7vB3cL"] == "secret 24be64439e3e49cf46b2 and "
 
 
+def test_a_line_of_very_many_candidates_takes_time_in_proportion(spark):
+    value = lambda k: hashlib.sha256(str(k).encode()).hexdigest()[:24]
+    line = lambda n: spark.createDataFrame([(" ".join(value(k) for k in range(n)),)], "line string")
+    found = secrets.candidates(line(300), F.col("line")).orderBy("place").collect()
+    whole = " ".join(value(k) for k in range(300))
+    assert [r.candidate for r in found] == [value(k) for k in range(300)] and all(whole.split(r.candidate)[0].endswith(r.left[-24:]) for r in found)
+    took = []
+    for n in (4000, 4000, 16_000):
+        began = time.monotonic()
+        assert secrets.candidates(line(n), F.col("line")).agg(F.count_if(F.length("left") > 0)).first()[0] == n - 1
+        took.append(time.monotonic() - began)
+    assert took[2] < 10 * max(took[1], 0.3)
+
+
 def test_forest_on_held_out_labelled_findings(spark):
     every = secrets.labelled_findings(spark, 3000).withColumn("doc_id", F.monotonically_increasing_id()).cache()
     test = every.filter(F.hash("line") % 4 == 0)
@@ -333,6 +349,19 @@ def test_each_participant_is_the_assistant_once(spark):
     assert got[1, "bob", 1].mask == "" and got[1, "bob", 1].rendered == "<|user ann|>\n<|end|>\n"
 
 
+def test_names_stay_apart_and_blocks_tell_where_they_start(spark):
+    rows = [(1, k, x, f"{k} words") for k, x in enumerate(["a|b", "a<b", "a%7Cb", "a\nb", "a_b"] * 3)] + [(1, None, "a|b", "last"), (1, 3, "a<b", "3 words"), (1, 3, "a<b", "3 words")]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").selectExpr("*", "'x' AS start", "1 AS size", "2 AS piece", "3 AS of")
+    out = chat.rotate(table, block_turns=4).collect()
+    for who in {r.perspective for r in out}:
+        blocks_ = sorted((r for r in out if r.perspective == who), key=lambda r: (r.block is None, r.block))
+        whole = "".join(r.rendered for r in blocks_)
+        learned = [whole[r.start + int(a) : r.start + int(b)] for r in blocks_ if r.mask for a, b in (x.split("-") for x in r.mask.split(","))]
+        assert sorted(learned) == sorted(f"{t}<|end|>" for _, _, s, t in rows if s == who)
+        assert whole.count("<|assistant|>") == len(learned) and len(set(re.findall(r"<\|user (.*?)\|>", whole))) == 4
+        assert sum(r.n_turns for r in blocks_) == len(rows)
+
+
 def test_rotation_of_an_empty_table(spark):
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
 
@@ -351,6 +380,33 @@ def test_quality_counts_equal_plain_python(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_a_text_has_one_score_wherever_it_stands(spark):
+    rng = random.Random(17)
+    base = ["  The cat sat.\n\nIt ran \t home to eat. ", "The cat sat. It ran home to eat.", "", "\n\n", " x", *(" ".join(invented(rng, 30)) for _ in range(40))]
+    seen = {}
+    for turn in range(3):
+        texts = base[:]
+        rng.shuffle(texts)
+        table = docs(spark, texts).repartition((1, 8, 3)[turn])
+        for r in perplexity.quality(table, most=(10**9, 40, 7)[turn]).collect():
+            assert seen.setdefault(texts[r.doc_id].strip(), r.perplexity or 0.0) == pytest.approx(r.perplexity or 0.0, rel=1e-6)
+    assert seen[base[0].strip()] == seen[base[1]]
+
+
+def test_words_out_of_order_and_swapped_cases_fall_out(spark):
+    rng = random.Random(18)
+    syllables = "ba co di fe gu la me no pi ra se tu vo".split()
+    words = ["".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(200)]
+    sentence = lambda: " ".join(rng.choices(words, k=rng.randrange(5, 12))).capitalize() + "."
+    plain = [" ".join(sentence() for _ in range(12)) for _ in range(400)]
+    mixed = [x.split() for x in plain[:40]]
+    for x in mixed:
+        rng.shuffle(x)
+    got = {r.doc_id: r for r in perplexity.quality(docs(spark, [*plain, *(" ".join(x) for x in mixed), *(x.swapcase() for x in plain[40:43])])).collect()}
+    assert sum(got[k].kept for k in range(400)) >= 392
+    assert sum(got[k].kept for k in range(400, 440)) <= 8 and sum(got[k].kept for k in range(440, 443)) == 0
+
+
 def test_gibberish_falls_out_of_the_band(spark):
     rng = random.Random(10)
     plain = [" ".join(rng.choices("the cat sat on a mat and then it ran to her house near old trees".split(), k=80)) for _ in range(200)]
@@ -372,13 +428,13 @@ def test_junk_in_a_tenth_of_a_language_does_not_widen_its_band(spark):
     assert sum(got[k] for k in range(270)) >= 267
 
 
-def test_perplexities_equal_brute_force_and_the_join_equals_the_broadcast(spark):
+def test_perplexities_equal_brute_force_in_one_shard_and_in_many(spark):
     rng = random.Random(11)
     texts = [*EDGES, "abcd", "Ab  cd\te", *(" ".join(rng.choices("the Cat sat on a mat near Ünï 日本 banana bandana".split(), k=rng.randrange(1, 60))) for _ in range(80))]
     table = docs(spark, [*texts, texts[-1]])
     want, sums = brute.kneser_ney([*texts, texts[-1]])
     assert all(abs(x - 1) < 1e-9 for x in sums)
-    for most in (10**9, 0):
+    for most in (10**9, 100, 9):
         got = {r.doc_id: r.perplexity for r in perplexity.quality(table, most=most).collect()}
         for k, nats in enumerate(want):
             assert (got[k] is None) == (nats is None) and (nats is None or abs(np.log(got[k]) - nats) < 1e-5)
