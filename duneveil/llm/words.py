@@ -15,7 +15,7 @@ import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -110,6 +110,7 @@ def blocks(texts: pa.Array, most: int = BLOCK_BYTES) -> Iterator[Block]:
         last = min(max(last, first + 1), len(texts))
         yield _block(raw, offsets[first : last + 1], first)
         first = last
+    pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
 
 def _block(raw: np.ndarray, offsets: np.ndarray, first: int) -> Block:
