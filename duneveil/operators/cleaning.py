@@ -11,7 +11,7 @@ from ..functions.identifiers import IBAN, MOBILE, SAUDI_ID, canonical, is_valid
 from ..functions.names import GAZETTEER
 from ..functions.text import BLANKS, INVISIBLE, arabic_forms, ascii_digits, strip
 from .profiling import is_number, null_like
-from .tables import ROW, cells, columns_of, numbered
+from .tables import ROW, cells, columns_of, exact_percentiles, numbered
 
 RULES = ("trim", "nulls", "numbers", "dates", "arabic", "phones", "merges", "dedupe")
 # How numbers and dates may be written.
@@ -145,8 +145,11 @@ def report_only(df: DataFrame) -> DataFrame:
     v = F.col("value")
     rows = cells(df).withColumn("number", F.when(is_number(ascii_digits(v)), F.trim(ascii_digits(v)).try_cast("double")))
     stats = rows.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(v.isNull()).alias("missing"), F.count("number").alias("numbers"), F.percentile("number", F.lit(0.25)).alias("q1"), F.percentile("number", F.lit(0.75)).alias("q3")
+        F.count(F.lit(1)).alias("n"), F.count_if(v.isNull()).alias("missing"), F.count("number").alias("numbers")
     )
+    quartiles = exact_percentiles(rows.select(F.col("column").alias("g"), F.col("number").alias("v")), [0.25, 0.75])
+    told = df.sparkSession.createDataFrame([(c, q[0.25], q[0.75]) for c, q in quartiles.items()], "c string, q1 double, q3 double")
+    stats = stats.join(F.broadcast(told), F.col("column") == F.col("c"), "left").drop("c")  # a row for each column
     facts = column_facts(df).withColumnRenamed("column", "c")
     stats = stats.join(facts.drop("n"), F.col("column") == F.col("c"), "left").drop("c")
     share = F.coalesce(F.col("numbers") / F.nullif(F.col("n") - F.col("missing"), F.lit(0)), F.lit(0.0))

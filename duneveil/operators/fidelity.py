@@ -13,12 +13,14 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import exact_percentiles, written
 
 MAX_CATEGORIES = 12
+#: Ranges of numbers in the contingency tables of the quality score.
+BINS = 10
 #: A column with more values than this is no category; it is refused, not cut.
 MAX_VALUES = 5_000
 ZERO = 1e-6
@@ -77,6 +79,62 @@ def fidelity(real: DataFrame, twin: DataFrame, kinds: dict[str, str]) -> dict:
     return {"distance": found, "mean_distance": round(sum(found.values()) / len(found), 4) if found else None, "correlation_difference": round(correlation_difference(x, y, numeric), 4)}
 
 
+def _binned(df: DataFrame, kinds: dict[str, str], ends: dict[str, tuple[float, float]]) -> DataFrame:
+    """(side columns) as texts: categories as they are, numbers and days by BINS equal ranges of the real values; null is a value."""
+    def of(c: str) -> Column:
+        v = F.col(f"`{c}`")
+        if kinds[c] == "categorical":
+            return F.coalesce(v.cast("string"), F.lit("\0"))
+        low, high = ends[c]
+        at = F.floor((v.cast("double") - low) / ((high - low) or 1.0) * BINS)
+        return F.coalesce(F.least(F.greatest(at, F.lit(0)), F.lit(BINS - 1)).cast("string"), F.lit("\0"))
+
+    return df.select(*(of(c).alias(c) for c in kinds))
+
+
+def quality_scores(real: DataFrame, twin: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(property, a, b, score): how alike columns and pairs of columns are, each from 0 to 1.
+
+    shape: of a number or day 1 less the largest distance of the distributions, of a category 1 less half the summed distance
+    of the frequencies.  trend: of two numbers 1 less half the difference of their correlations, of other pairs 1 less half
+    the summed distance of the two contingency tables, numbers in BINS equal ranges of the real values.  All contingency tables are
+    counted in one pass over each side, which explodes a row's pairs of columns and sums them up before it shuffles.
+    """
+    days = lambda df: df.withColumns({c: F.unix_date(F.col(f"`{c}`").try_cast("date")).cast("double") for c, k in kinds.items() if k == "datetime"})
+    x, y = days(real), days(twin)
+    numeric = [c for c, k in kinds.items() if k != "categorical"]
+    row = lambda prop, a, b: (F.lit(prop).alias("property"), F.lit(a).alias("a"), F.lit(b).cast("string").alias("b"))
+    parts = [ks_statistic(x, y, c).select(*row("shape", c, None), (1 - F.col("ks")).alias("score")) for c in numeric]
+    parts += [tvd(x, y, c).select(*row("shape", c, None), (1 - F.col("tvd")).alias("score")) for c in kinds if c not in numeric]
+    both = [(a, b) for k, a in enumerate(numeric) for b in numeric[k + 1 :]]
+    if both:
+        of = lambda df, side: df.agg(*(F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")).alias(f"{side}{k}") for k, (a, b) in enumerate(both)))
+        pairs = of(x, "x").crossJoin(of(y, "y"))  # a row each
+        parts.append(pairs.select(F.explode(F.array(*(F.struct(*row("trend", a, b), (1 - F.abs(F.col(f"x{k}") - F.col(f"y{k}")) / 2).alias("score")) for k, (a, b) in enumerate(both)))).alias("p")).select("p.*"))
+    names = list(kinds)
+    mixed = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :] if (a, b) not in both]
+    if mixed:
+        found = x.agg(F.lit(1), *(f(F.col(f"`{c}`").cast("double")).alias(f"{n}{k}") for k, c in enumerate(numeric) for n, f in (("low", F.min), ("high", F.max)))).first()
+        ends = {c: (found[f"low{k}"] or 0.0, found[f"high{k}"] or 0.0) for k, c in enumerate(numeric)}
+        cells = lambda df, side: _binned(df, kinds, ends).select(F.lit(side).alias("side"), F.explode(F.array(*(F.struct(F.lit(k).alias("pair"), F.col(f"`{a}`").alias("va"), F.col(f"`{b}`").alias("vb")) for k, (a, b) in enumerate(mixed)))).alias("p")).select("side", "p.*")
+        counts = cells(x, "x").unionByName(cells(y, "y")).groupBy("pair", "va", "vb").agg(F.count_if(F.col("side") == "x").alias("nx"), F.count_if(F.col("side") == "y").alias("ny"))
+        counts = written(counts, "contingency")
+        totals = counts.groupBy(F.col("pair").alias("of")).agg(F.sum("nx").alias("tx"), F.sum("ny").alias("ty"))  # a row for each pair
+        gap = F.abs(F.coalesce(F.try_divide("nx", "tx"), F.lit(0.0)) - F.coalesce(F.try_divide("ny", "ty"), F.lit(0.0)))
+        scored = counts.join(F.broadcast(totals), F.col("pair") == F.col("of")).groupBy("pair").agg((1 - F.sum(gap) / 2).alias("score"))
+        told = F.array(*(F.struct(*row("trend", a, b)) for a, b in mixed))
+        parts.append(scored.select(F.element_at(told, F.col("pair") + 1).alias("p"), "score").select("p.*", "score"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def quality(real: DataFrame, twin: DataFrame, kinds: dict[str, str]) -> dict:
+    """The mean of the two properties, each the mean of its scores; a score that is no number counts nowhere."""
+    rows = [r for r in quality_scores(real, twin, kinds).collect() if r["score"] is not None and r["score"] == r["score"]]  # a row for each pair of columns
+    of = {p: [r["score"] for r in rows if r["property"] == p] for p in ("shape", "trend")}
+    means = {p: round(sum(x) / len(x), 4) for p, x in of.items() if x}
+    return {"score": round(sum(means.values()) / len(means), 4) if means else None, "shapes": means.get("shape"), "trends": means.get("trend"), "pairs": len(of["trend"])}
+
+
 def eta_squared(df: DataFrame, categories: list[str], numbers: list[str]) -> DataFrame:
     """(category, number, eta2): the share of a number's variance between a category's values, on logs if all are positive."""
     parts = []
@@ -107,7 +165,7 @@ def with_target(frames: dict[str, DataFrame], target: str) -> tuple[dict[str, Da
     label, column, quantile = parse_target(target)
     value = F.col(f"`{column}`").cast("double")
     if quantile is not None:
-        cut = frames["train"].agg(F.percentile(value, quantile).alias("q")).first()["q"]
+        cut = exact_percentiles(frames["train"].select(F.lit("").alias("g"), value.alias("v")), [quantile]).get("", {}).get(quantile)
         flag = (value > cut).cast("double")
     else:
         flag = (value > 0).cast("double")
@@ -243,7 +301,7 @@ def nearest_distances(queries: DataFrame, points: DataFrame, seed: int = 0) -> D
 
 def weighted_median(distances: DataFrame) -> float | None:
     """The median of nearest over rows (n each)."""
-    return distances.agg(F.percentile("nearest", 0.5, F.col("n")).alias("m")).first()["m"]
+    return exact_percentiles(distances.select(F.lit("").alias("g"), F.col("nearest").alias("v"), "n"), [0.5]).get("", {}).get(0.5)
 
 
 def distance_to_closest(train: DataFrame, twin: DataFrame, holdout: DataFrame, kinds: dict[str, str], seed: int = 0, strata: str | None = None) -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROW = "__row"
+#: The folder of the session that is open, if one is (see sessions).
+writes_to: ContextVar[str | None] = ContextVar("writes_to", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back, which cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{writes_to.get() or shared_dir(df.sparkSession) + '/tables'}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -130,3 +133,36 @@ def numbered_in_group(df: DataFrame, key: str, order: list[str], out: str) -> Da
     both = ranged.withColumn("_own", own).join(first, (F.col("_part") == F.col("_p")) & F.col("_key").eqNullSafe(F.col("_k")))
     place = F.when(F.col("_key").isNotNull(), F.col("_own") + F.col("_first"))
     return both.withColumn(out, place).drop("_key", "_part", "_p", "_k", "_own", "_first")
+
+
+def exact_percentiles(values: DataFrame, shares: list[float]) -> dict[str, dict[float, float]]:
+    """{group: {share: percentile}} of rows (g, v) or (g, v, n), interpolated between neighbours; a group without values is not in it.
+
+    No task holds a group's values: counts by value are dealt by ranges of group and value, what comes before a range is known
+    from the sizes of the ranges, and only the two values beside each percentile leave them.  Groups are few (columns).
+    """
+    n = F.col("n") if "n" in values.columns else F.lit(1)
+    counts = values.select(F.col("g").cast("string").alias("g"), F.col("v").cast("double").alias("v"), n.cast("long").alias("n"))
+    counts = counts.filter("g IS NOT NULL AND v IS NOT NULL AND NOT isnan(v) AND n > 0").groupBy("g", "v").agg(F.sum("n").alias("n"))
+    ranged = written(counts.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()), "percentiles")
+    totals: dict[str, int] = {}
+    starts = []
+    for part, group, size in sorted(ranged.groupBy("part", "g").agg(F.sum("n")).collect()):  # a row for each range and group
+        starts.append((part, group, totals.get(group, 0)))
+        totals[group] = totals.get(group, 0) + size
+    if not totals:
+        return {}
+    places = {(g, s): (total - 1) * s for g, total in totals.items() for s in shares}
+    spark = values.sparkSession
+    firsts = spark.createDataFrame(starts, "p int, of string, first long")
+    wanted = sorted({(g, min(int(p) + k, totals[g] - 1)) for (g, _), p in places.items() for k in (0, 1)})
+    asked = spark.createDataFrame(wanted, "asked string, at long")
+    run = Window.partitionBy("part", "g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    last = ranged.join(F.broadcast(firsts), (F.col("part") == F.col("p")) & (F.col("g") == F.col("of"))).withColumn("stop", F.col("first") + F.sum("n").over(run))
+    hits = last.join(F.broadcast(asked), (F.col("g") == F.col("asked")) & (F.col("at") >= F.col("stop") - F.col("n")) & (F.col("at") < F.col("stop")))
+    found = {(r["g"], r["at"]): r["v"] for r in hits.select("g", "at", "v").collect()}  # two for each group and share
+    out: dict[str, dict[float, float]] = {g: {} for g in totals}
+    for (g, s), p in places.items():
+        low, high = found[g, int(p)], found[g, min(int(p) + 1, totals[g] - 1)]
+        out[g][s] = low + (high - low) * (p - int(p))
+    return out

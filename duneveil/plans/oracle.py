@@ -236,6 +236,31 @@ STATUSES = f"""WITH r AS (
 RELINKED = f"SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_name AS original_name, CAST(c_custkey * 3 AS VARCHAR) AS score, 'linked' AS relink_status FROM customer WHERE {_KIND_OF} = 'verified'"
 TOTALS = "SELECT 'customer' AS \"column\", count(*)::BIGINT AS n, sum(o_custkey)::BIGINT AS total FROM orders UNION ALL SELECT 'order', count(*), sum(o_orderkey)::BIGINT FROM orders"
 
+def _distance(column: str) -> str:
+    return f"""SELECT 'shape' AS property, '{column}' AS a, CAST(NULL AS VARCHAR) AS b, 1 - max(abs(fx - fy)) AS score FROM (
+  SELECT sum(sum(x)) OVER (ORDER BY {column}) / sum(sum(x)) OVER () AS fx, sum(sum(1 - x)) OVER (ORDER BY {column}) / sum(sum(1 - x)) OVER () AS fy FROM o GROUP BY {column})"""
+
+
+def _contingency(*columns: str) -> str:
+    a, b = columns if len(columns) == 2 else (columns[0], None)
+    cells = ", ".join(f"{c[2:]}_cell" for c in columns)
+    name = f"'{b}'" if b else "CAST(NULL AS VARCHAR)"
+    return f"""SELECT '{'trend' if b else 'shape'}' AS property, '{a}' AS a, {name} AS b, 1 - sum(abs(nx / tx - ny / ty)) / 2 AS score FROM (
+  SELECT sum(x) AS nx, sum(1 - x) AS ny, sum(sum(x)) OVER () AS tx, sum(sum(1 - x)) OVER () AS ty FROM o GROUP BY {cells})"""
+
+
+def _correlated(a: str, b: str) -> str:
+    return f"SELECT 'trend' AS property, '{a}' AS a, '{b}' AS b, 1 - abs(corr({a}, {b}) FILTER (x = 1) - corr({a}, {b}) FILTER (x = 0)) / 2 AS score FROM o"
+
+
+_NUMBERS, _WORDS = ("o_totalprice", "o_custkey", "o_orderdate"), ("o_orderstatus", "o_orderpriority")
+_CELL = "least(greatest(floor(({0} - min({0}) FILTER (x = 1) OVER ()) / (max({0}) FILTER (x = 1) OVER () - min({0}) FILTER (x = 1) OVER ()) * 10), 0), 9) AS {1}_cell"
+_SCORES = [*map(_distance, _NUMBERS), *map(_contingency, _WORDS), *(_correlated(a, b) for k, a in enumerate(_NUMBERS) for b in _NUMBERS[k + 1 :]), *(_contingency(a, b) for a in _NUMBERS for b in _WORDS), _contingency(*_WORDS)]
+QUALITY = f"""WITH typed AS (
+  SELECT CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 0 END AS x, o_totalprice::DOUBLE AS o_totalprice, o_custkey::DOUBLE AS o_custkey, epoch(o_orderdate::DATE) / 86400 AS o_orderdate, o_orderstatus, o_orderpriority FROM orders
+), o AS (SELECT *, {", ".join(_CELL.format(c, c[2:]) for c in _NUMBERS)}, o_orderstatus AS orderstatus_cell, o_orderpriority AS orderpriority_cell FROM typed)
+SELECT property, a, b, round(score, 7) AS score FROM ({" UNION ALL ".join(_SCORES)})"""
+
 CHILDREN = "SELECT l_orderkey AS o_orderkey, count(*)::BIGINT AS n, round(avg(l_quantity::DOUBLE), 6) AS mean_quantity, round(avg(l_discount::DOUBLE), 6) AS mean_discount FROM lineitem GROUP BY l_orderkey"
 MULTI_TABLE = """WITH lines AS (
   SELECT l_orderkey, count(*) AS n, avg(l_quantity::DOUBLE) AS q FROM lineitem GROUP BY l_orderkey
@@ -250,7 +275,7 @@ MULTI_TABLE = """WITH lines AS (
 ) SELECT what, round(value, 4) AS value, true AS near FROM facts"""
 
 SQL = {
-    "child_summaries": CHILDREN, "multi_table_facts": MULTI_TABLE,
+    "child_summaries": CHILDREN, "quality_scores": QUALITY, "multi_table_facts": MULTI_TABLE,
     "text_forms": TEXT_FORMS, "identifier_validity": VALIDITY, "completed_identifiers": COMPLETED, "column_profiles": PROFILES, "key_containment": CONTAINMENT, "identifier_shares": SHARES,
     "note_spans": NOTE_SPANS, "naive_note_spans": NAIVE, "document_mails": MAILS, "cleaned_values": CLEANED, "deduplicated_rows": DEDUPE, "spelling_suggestions": SPELLINGS, "worth_a_look": LOOK,
     "review_population": POPULATION, "leaked_originals": LEAKED, "copied_rows": COPIES, "orphan_rows": ORPHANS, "overlap_scores": OVERLAPS, "flat_view_places": PLACES,

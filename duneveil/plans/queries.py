@@ -199,6 +199,12 @@ def distribution_distances(spark, sf_dir):
     return rows.select("column", F.round("distance", 9).alias("distance"))
 
 
+def quality_scores(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+    kinds = {"o_totalprice": "numerical", "o_custkey": "numerical", "o_orderdate": "datetime", "o_orderstatus": "categorical", "o_orderpriority": "categorical"}
+    return fidelity.quality_scores(o.filter("o_orderkey % 3 <> 0"), o.filter("o_orderkey % 3 = 0"), kinds).withColumn("score", F.round("score", 7))
+
+
 def variance_shares(spark, sf_dir):
     return fidelity.eta_squared(_table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"], ["o_totalprice"]).select("category", "number", F.round("eta2", 8).alias("eta2"))
 
@@ -401,7 +407,7 @@ QUERIES = {
     for f in (
         text_forms, identifier_validity, completed_identifiers, column_profiles, key_containment, identifier_shares, note_spans, naive_note_spans, document_mails,
         cleaned_values, deduplicated_rows, spelling_suggestions, worth_a_look, review_population, review_groups, leaked_originals, copied_rows, orphan_rows, overlap_scores,
-        flat_view_places, distribution_distances, variance_shares, rows_over_quantile, nearest_records, page_of_rows, guarded_cells, csv_round_trip, parquet_rows, numbered_rows,
+        flat_view_places, distribution_distances, quality_scores, variance_shares, rows_over_quantile, nearest_records, page_of_rows, guarded_cells, csv_round_trip, parquet_rows, numbered_rows,
         masked_twin, masked_twin_facts, masked_report, synthetic_twin, child_summaries, multi_table_facts, token_references, return_statuses, relinked_rows, totals_of_columns,
     )
 }

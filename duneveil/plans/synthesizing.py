@@ -60,7 +60,7 @@ def run_synthetic(a: Analysis, policy: Policy, key: bytes, method: str = "strati
         Check("leak_scan", leak["verdict"], True, leak), Check("exact_copies", "FAIL" if copies else "PASS", True, {"count": copies}),
         Check("dcr", "PASS" if distance["passed"] else "FAIL", True, distance),
         Check("utility_tstr", "NOT_RUN" if drop is None else "PASS" if drop <= policy.thresholds["max_utility_drop"] else "FAIL", True, used),
-        Check("fidelity", "INFO", False, likeness), Check("sdmetrics_quality", "NOT_RUN", False, {}),
+        Check("fidelity", "INFO", False, likeness), Check("quality_score", "INFO", False, fidelity.quality(f["train"], made, kinds)),
     ]
     report = assemble("synthetic", a.profile, a.detections, resolve(policy, a.profile, a.detections), policy, checks, span_counts(a.spans), seconds, excluded=f["left_out"], synthesizer=getattr(f["model"], "details", {}))
     return RunResult(twin, report)

@@ -1,4 +1,4 @@
-"""Where twins go: CSV folders, guarded exports, table sets with their marks, JDBC targets."""
+"""Where twins go: CSV folders, guarded exports, table sets with their marks; names and types of database targets."""
 
 from __future__ import annotations
 
@@ -81,37 +81,6 @@ def read_table_set(spark: SparkSession, folder: str) -> tuple[dict[str, DataFram
 # ---------------------------------------------------------------- databases
 
 
-def read_database(spark: SparkSession, url: str, tables: list[str], properties: dict[str, str], limit: int | None = None) -> dict[str, DataFrame]:
-    """Base tables over JDBC, every value as text; a limit is pushed to the database.  The driver's jar is the user's."""
-    from ..operators.tables import as_text, numbered
-
-    out = {}
-    for t in tables:
-        df = spark.read.jdbc(url, _plain_name(t), properties=properties)
-        out[t] = numbered(as_text(df if limit is None else df.limit(limit)))
-    return out
-
-
-def catalog_keys(spark: SparkSession, url: str, schema: str, properties: dict[str, str]) -> tuple[dict[str, list[str]], list[ForeignKey]]:
-    """(primary keys, foreign keys) that the database declares."""
-    query = (
-        "(SELECT table_name AS t, column_name AS c, constraint_name AS k, referenced_table_name AS rt, referenced_column_name AS rc, ordinal_position AS p "
-        f"FROM information_schema.key_column_usage WHERE table_schema = '{_plain_name(schema)}') AS keys_in_use"
-    )
-    return keys_from_rows(spark.read.jdbc(url, query, properties=properties).collect())
-
-
-def keys_from_rows(rows) -> tuple[dict[str, list[str]], list[ForeignKey]]:
-    primary: dict[str, list[str]] = {}
-    foreign = []
-    for r in sorted(rows, key=lambda r: (r["t"], r["k"], r["p"])):
-        if r["rt"]:
-            foreign.append(ForeignKey(r["t"], r["c"], r["rt"], r["rc"]))
-        elif r["k"] == "PRIMARY":
-            primary.setdefault(r["t"], []).append(r["c"])
-    return primary, foreign
-
-
 def _plain_name(name: str) -> str:
     if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)?", name):
         raise ValueError(f"bad name: {name!r}")
@@ -153,11 +122,3 @@ def column_types(df: DataFrame, source_types: dict[str, str] | None = None) -> d
         return "BIGINT" if r[f"int{k}"] else "DOUBLE" if r[f"num{k}"] else "DATE" if r[f"date{k}"] else "VARCHAR(255)" if r[f"len{k}"] <= 255 else "TEXT"
 
     return {c: (source_types or {}).get(c) or kind(k) for k, c in enumerate(names)}
-
-
-def write_database(tables: dict[str, DataFrame], url: str, source: str, target: str, keys: list[ForeignKey], properties: dict[str, str]) -> None:
-    """Each table dropped and created anew, parents first, in batches of 1000 rows."""
-    guarded_target(source, target)
-    for name in parents_first(list(tables), keys):
-        kinds = ", ".join(f"`{c}` {t}" for c, t in column_types(tables[name]).items())
-        tables[name].drop(ROW).write.option("createTableColumnTypes", kinds).option("batchsize", 1000).jdbc(url, f"{target}.{_plain_name(name)}", "overwrite", properties)
