@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.identifiers import IBAN, SAUDI_ID, is_saudi_id
 from ..functions.spans import REVIEW_BELOW, matches
 from ..functions.text import normalize, normalize_name, offsets
-from .tables import ROW, Detection, cells
+from .tables import ROW, Detection, cells, written
 
 # Share of random numbers that pass, smallest group, significance, least share of identity numbers.
 CHANCE, MIN_GROUP, ALPHA_CHANCE, ID_LOWER_BOUND, CONFIDENCE = 0.10, 10, 0.01, 0.80, 0.05
@@ -182,7 +182,7 @@ def resolve(tables: dict[str, DataFrame], spans: DataFrame, detections: list[Det
     """
     columns = [(r["table"], r["column"]) for r in spans.select("table", "column").distinct().collect()]  # a row for each text column
     columns = sorted(columns) or [(d.table, d.column) for d in detections][:1]
-    low = uncertain(tables, spans, columns, least)
+    low = written(uncertain(tables, spans, columns, least), "uncertain")  # it is read for its groups, its digits and itself
     return settle(with_auto(tables, low, detections, columns), decisions)
 
 

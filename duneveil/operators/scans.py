@@ -22,6 +22,8 @@ MAX_LOCATIONS = 25
 MAIL_IN_LOWER = r"[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}"
 #: Shorter cells, and those with fewer digits and no @, can't hold a valid identifier.
 MIN_LENGTH, MIN_DIGITS = 6, 9
+#: Longer cells are no single pseudonym.
+MAX_WHOLE = 512
 
 
 def all_cells(tables: dict[str, DataFrame]) -> DataFrame:
@@ -48,11 +50,15 @@ def original_values(tables: dict[str, DataFrame], detections: list[Detection], s
 
 
 def detected(some: DataFrame) -> DataFrame:
-    """(table, column, ROW, kind, piece, canon): what the detector, without names, finds in cells."""
+    """(table, column, ROW, kind, piece, canon, whole, wide): what the detector, without names, finds in cells; whole: a short
+    cell's text without blanks around it; wide: could the cell hold a valid identifier?"""
     found = with_spans(some.filter(F.col("value").rlike(r"@|\p{Nd}")), "value", "spans", names=False)
     found = exploded(found, "spans")
     piece = F.substring("value", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    found = found.select("table", "column", ROW, F.col("s.kind").alias("kind"), piece.alias("piece"))
+    digits = F.length(F.regexp_replace("value", r"[^\p{Nd}]", ""))
+    wide = (F.length("value") >= MIN_LENGTH) & (F.col("value").contains("@") | (digits >= MIN_DIGITS))
+    whole = F.when(F.length("value") <= MAX_WHOLE, strip(F.col("value")))
+    found = found.select("table", "column", ROW, F.col("s.kind").alias("kind"), piece.alias("piece"), whole.alias("whole"), wide.alias("wide"))
     return found.withColumn("canon", canonical_of(F.col("kind"), F.col("piece")))
 
 
@@ -84,11 +90,15 @@ def exhaustive(some: DataFrame) -> DataFrame:
     return exploded(norm.withColumn("windows", windows(F.col("norm"))), "windows", "w").select("table", "column", ROW, "w.kind", "w.canon")
 
 
-def leaks(twin: dict[str, DataFrame], originals: DataFrame) -> DataFrame:
-    """(table, column, ROW, kind, canon, method): each original in a cell once; what the detector sees is its hit."""
+def leaks(twin: dict[str, DataFrame], originals: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """(table, column, ROW, kind, canon, method): each original in a cell once; what the detector sees is its hit.
+
+    seen: detected() of the twin's cells, where it has been written already.
+    """
     some = all_cells(twin)
+    seen = detected(some) if seen is None else seen
     by = lambda df, method: df.select("table", "column", ROW, "kind", "canon", F.lit(method).alias("method"))
-    found = by(detected(some).filter(F.col("kind").isin(*HARD_KINDS)), "detector").unionByName(by(exhaustive(some), "exhaustive"))
+    found = by(seen.filter(F.col("kind").isin(*HARD_KINDS)), "detector").unionByName(by(exhaustive(some), "exhaustive"))
     hits = found.join(originals, ["kind", "canon"], "left_semi")
     return hits.groupBy("table", "column", ROW, "kind", "canon").agg(F.min("method").alias("method"))
 
@@ -114,9 +124,9 @@ def name_overlap(original: dict[str, DataFrame], twin: dict[str, DataFrame], nam
     return round(new.join(names(original), "n", "left_semi").count() / n, 4) if n else 0.0
 
 
-def leak_scan(originals: DataFrame, twin: dict[str, DataFrame], mode: str = "masked", original: dict[str, DataFrame] | None = None, name_columns: list[tuple[str, str]] = ()) -> dict:
+def leak_scan(originals: DataFrame, twin: dict[str, DataFrame], mode: str = "masked", original: dict[str, DataFrame] | None = None, name_columns: list[tuple[str, str]] = (), seen: DataFrame | None = None) -> dict:
     """Counts and places, never values.  Any original in the twin, or a masked row that keeps its name, fails it."""
-    hits = leaks(twin, originals).cache()
+    hits = leaks(twin, originals, seen).cache()
     by = {(r["kind"], r["method"]): r["n"] for r in hits.groupBy("kind", "method").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = [r.asDict() for r in hits.orderBy("table", "column", ROW, "kind").select("table", "column", F.col(ROW).alias("row"), "kind", "method").limit(MAX_LOCATIONS).collect()]
     hits.unpersist()
@@ -134,29 +144,26 @@ def leak_scan(originals: DataFrame, twin: dict[str, DataFrame], mode: str = "mas
     }
 
 
-def residuals(twin: dict[str, DataFrame], generated: DataFrame, allowed: DataFrame | None = None, cleared: frozenset[str] = frozenset()) -> DataFrame:
+def residuals(twin: dict[str, DataFrame], generated: DataFrame, allowed: DataFrame | None = None, cleared: frozenset[str] = frozenset(), seen: DataFrame | None = None) -> DataFrame:
     """(table, column, ROW, kind, canon): valid identifiers in the twin that were not generated.
 
     generated: (value) canonical pseudonyms.  allowed: (table, column, ROW, canon) left in a cell by a reviewer.
-    cleared: "table.column" confirmed to hold no identifiers.
+    cleared: "table.column" confirmed to hold no identifiers.  seen: detected() of the twin's cells, where it has been written.
     """
-    some = all_cells(twin).filter(F.length("value") >= MIN_LENGTH)
-    digits = F.length(F.regexp_replace("value", r"[^\p{Nd}]", ""))
-    some = some.filter(F.col("value").contains("@") | (digits >= MIN_DIGITS))
+    found = (detected(all_cells(twin)) if seen is None else seen).filter(F.col("wide") & F.col("kind").isin(*HARD_KINDS) & F.col("canon").isNotNull())
     if cleared:
-        some = some.filter(~F.concat_ws(".", "table", "column").isin(*sorted(cleared)))
+        found = found.filter(~F.concat_ws(".", "table", "column").isin(*sorted(cleared)))
     known = generated.select(F.col("value").alias("known")).distinct()
-    some = some.join(known, strip(F.col("value")) == F.col("known"), "left_anti")
-    found = detected(some).filter(F.col("kind").isin(*HARD_KINDS) & F.col("canon").isNotNull())
-    found = found.filter((F.col("kind") != IBAN) | is_valid(IBAN, F.col("canon"))).drop("piece")
+    found = found.filter((F.col("kind") != IBAN) | is_valid(IBAN, F.col("canon")))
     found = found.join(known, F.col("canon") == F.col("known"), "left_anti")
+    found = found.join(known, F.col("whole") == F.col("known"), "left_anti").drop("piece", "whole", "wide")
     if allowed is not None:
         found = found.join(allowed, ["table", "column", ROW, "canon"], "left_anti")
     return found
 
 
-def residual_scan(twin: dict[str, DataFrame], generated: DataFrame, allowed: DataFrame | None = None, cleared: frozenset[str] = frozenset()) -> dict:
-    found = residuals(twin, generated, allowed, cleared).cache()
+def residual_scan(twin: dict[str, DataFrame], generated: DataFrame, allowed: DataFrame | None = None, cleared: frozenset[str] = frozenset(), seen: DataFrame | None = None) -> dict:
+    found = residuals(twin, generated, allowed, cleared, seen).cache()
     by = {r["kind"]: r["n"] for r in found.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = [r.asDict() for r in found.orderBy("table", "column", ROW).select("table", "column", F.col(ROW).alias("row"), "kind").limit(2 * MAX_LOCATIONS).collect()]
     found.unpersist()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import EMAIL, MOBILE, PERSON_NAME
@@ -51,21 +51,33 @@ def swaps_for(tables: dict[str, DataFrame], decisions: list[Decision], spans: Da
     return written(faked(raws, mapping), "swaps")
 
 
-def swap_column(df: DataFrame, column: str, kind: str, swaps: DataFrame) -> DataFrame:
-    """df with a column's values replaced."""
-    new = swaps.filter(F.col("kind") == kind).select(F.col("raw").alias("_raw"), F.col("value").alias("_new"))
-    order = df.columns
-    return df.join(new, F.col(f"`{column}`") == F.col("_raw"), "left").withColumn(column, F.col("_new")).select(*(F.col(f"`{c}`") for c in order))
+def swap_cells(df: DataFrame, table: str, kinds: dict[str, str], texts: list[str], spans: DataFrame | None, swaps: DataFrame) -> DataFrame:
+    """df with the values of columns (column -> kind) and the spans of text columns replaced, each in its own layout.
 
-
-def swap_spans(df: DataFrame, table: str, column: str, spans: DataFrame, swaps: DataFrame) -> DataFrame:
-    """df with the spans of a text column replaced, each in its own layout."""
-    own = spans.filter((F.col("table") == table) & (F.col("column") == column)).select(ROW, "start", "end", "kind", F.col("piece").alias("raw"))
-    put = own.join(swaps, ["kind", "raw"])
-    put = put.groupBy(F.col(ROW).alias("_row")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("_puts"))
-    order, value = df.columns, F.col(f"`{column}`")
+    All cells to be replaced become rows, meet what stands for them in one join, and come back to their rows in another, so that
+    the table itself is shuffled once, by its row numbers, however many columns are replaced.
+    """
+    parts = []
+    if kinds:
+        of = [F.struct(F.lit(c).alias("c"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(kind).alias("kind"), F.col(f"`{c}`").alias("raw")) for c, kind in kinds.items()]
+        parts.append(df.select(ROW, F.explode(F.array(*of)).alias("x")).select(ROW, "x.*").filter("raw IS NOT NULL"))
+    if spans is not None and texts:
+        own = spans.filter((F.col("table") == table) & F.col("column").isin(*texts))
+        parts.append(own.select(ROW, F.col("column").alias("c"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "kind", F.col("piece").alias("raw")))
+    if not parts:
+        return df
+    put = reduce(DataFrame.unionByName, parts).join(swaps, ["kind", "raw"])
+    put = put.groupBy(F.col(ROW).alias("_row")).agg(F.array_sort(F.collect_list(F.struct("c", "start", "end", "value"))).alias("_puts"))
     out = df.join(put, F.col(ROW) == F.col("_row"), "left")
-    return out.withColumn(column, F.when(F.col("_puts").isNull(), value).otherwise(replace_spans(value, F.col("_puts")))).select(*(F.col(f"`{c}`") for c in order))
+
+    def new(c: str) -> Column:
+        value, mine = F.col(f"`{c}`"), F.filter("_puts", lambda p: p["c"] == c)
+        if c in kinds:
+            return F.get(mine, F.lit(0))["value"]
+        held = F.transform(mine, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["value"].alias("value")))
+        return F.when(F.coalesce(F.size(mine), F.lit(0)) < 1, value).otherwise(replace_spans(value, held))
+
+    return out.select(*((new(c) if c in kinds or c in texts else F.col(f"`{c}`")).alias(c) for c in df.columns))
 
 
 def build(tables: dict[str, DataFrame], decisions: list[Decision], spans: DataFrame | None, key: bytes, names: Gazetteer = GAZETTEER) -> Twin:
@@ -78,14 +90,12 @@ def build(tables: dict[str, DataFrame], decisions: list[Decision], spans: DataFr
     swaps = swaps_for(tables, decisions, spans, mapping)
     out, counts = {}, dict.fromkeys(("keep", "drop", "pseudonymize", "remap", "replace_spans"), 0)
     for table, df in tables.items():
-        for d in (d for d in decisions if d.table == table):
+        own = [d for d in decisions if d.table == table]
+        for d in own:
             counts[d.action] += 1
-            if d.action == "drop":
-                df = df.drop(d.column)
-            elif kind := _kind(d):
-                df = swap_column(df, d.column, kind, swaps)
-            elif d.action == "replace_spans" and spans is not None:
-                df = swap_spans(df, table, d.column, spans, swaps)
+        df = df.drop(*(d.column for d in own if d.action == "drop"))
+        kinds = {d.column: kind for d in own if (kind := _kind(d))}
+        df = swap_cells(df, table, kinds, [d.column for d in own if d.action == "replace_spans"], spans, swaps)
         out[table] = written(df, f"twin-{len(out)}")
     changed = None if spans is None else spans.select("table", "column", ROW).distinct()
     return Twin(out, mapping, changed, counts)
@@ -103,7 +113,7 @@ def mask_texts(texts: DataFrame, spans: DataFrame, key: bytes, names: Gazetteer
     """A preview: texts (ROW, value) with their spans (ROW, start, end, kind, piece, table, column) replaced."""
     mapping = written(assign(collect_values([], spans), key, True, names).select("kind", "canon", "fake"), "preview")
     first = spans.select("table", "column").first()
-    return texts if first is None else swap_spans(texts, first["table"], "value", spans.withColumn("column", F.lit("value")), swaps_for({}, [], spans, mapping))
+    return texts if first is None else swap_cells(texts, first["table"], {}, ["value"], spans.withColumn("column", F.lit("value")), swaps_for({}, [], spans, mapping))
 
 
 def marks(decisions: list[Decision], changed: DataFrame | None, waiting: DataFrame | None) -> DataFrame | None:

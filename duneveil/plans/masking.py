@@ -84,12 +84,13 @@ def run_masked(a: Analysis, policy: policies.Policy, key: bytes, overrides: dict
         sure = None if spans is None else (chosen if chosen is not None else spans)
         originals = written(scans.original_values(tables, a.detections, sure), "originals")
         name_columns = [(d.table, d.column) for d in a.detections if d.kind == "PERSON_NAME"]
-        leak = scans.leak_scan(originals, made.tables, "masked", tables, name_columns)
+        seen = written(scans.detected(scans.all_cells(made.tables)), "seen")  # for both scans
+        leak = scans.leak_scan(originals, made.tables, "masked", tables, name_columns, seen)
         left = None
         if settled is not None:
             left = settled.filter("final <> 'replace'").select("table", "column", ROW, canonical_of(F.col("kind"), F.col("piece")).alias("canon"))
         cleared = frozenset(k for k, o in (overrides or {}).items() if o.get("tag") not in (None, "DIRECT_ID", "FREE_TEXT"))
-        residual = scans.residual_scan(made.tables, twin.generated(made.mapping), left, cleared)
+        residual = scans.residual_scan(made.tables, twin.generated(made.mapping), left, cleared, seen)
         copies = {t: scans.exact_copies(tables[t], made.tables[t]).count() for t in tables}
     checks = [
         Check("leak_scan", leak["verdict"], True, leak), Check("residual_identifiers", residual["verdict"], True, residual),
