@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.names import FAMILY, FEMALE, MALE
 from .fixtures import WITH_CLAIMS, WITH_MESSY, WITH_PEOPLE
+from .golden import WITH_GOLDEN
 
 _EASTERN = "translate({0}, '٠١٢٣٤٥٦٧٨٩', '0123456789')"
 
@@ -261,6 +262,16 @@ QUALITY = f"""WITH typed AS (
 ), o AS (SELECT *, {", ".join(_CELL.format(c, c[2:]) for c in _NUMBERS)}, o_orderstatus AS orderstatus_cell, o_orderpriority AS orderpriority_cell FROM typed)
 SELECT property, a, b, round(score, 7) AS score FROM ({" UNION ALL ".join(_SCORES)})"""
 
+GOLDEN = f"""WITH {WITH_GOLDEN}, seen AS (
+  SELECT kind, hard, 'full' AS detector, NOT hard OR kind = 'IBAN' AS hit FROM planted
+  UNION ALL SELECT kind, hard, 'baseline', CASE kind WHEN 'SAUDI_ID' THEN regexp_full_match(value, '[12][0-9]{{9}}') WHEN 'MOBILE' THEN regexp_full_match(value, '05[0-9]{{8}}')
+    WHEN 'IBAN' THEN regexp_full_match(value, 'SA[0-9]{{22}}') WHEN 'EMAIL' THEN {mail('value')} ELSE false END FROM planted
+)
+SELECT detector, coalesce(kind, 'OVERALL') AS kind, count_if(NOT hard)::BIGINT AS golden, count_if(hit)::BIGINT AS predicted, count_if(hit AND NOT hard)::BIGINT AS found, count_if(hit AND NOT hard)::BIGINT AS exact,
+  count_if(hit AND NOT hard)::BIGINT AS "right", count_if(hit AND hard)::BIGINT AS hard_negatives_hit,
+  CASE WHEN count_if(NOT hard) > 0 THEN round(count_if(hit AND NOT hard) / count_if(NOT hard), 4) END AS recall, CASE WHEN count_if(hit) > 0 THEN round(count_if(hit AND NOT hard) / count_if(hit), 4) END AS precision
+FROM seen GROUP BY GROUPING SETS ((detector, kind), (detector))"""
+
 CHILDREN = "SELECT l_orderkey AS o_orderkey, count(*)::BIGINT AS n, round(avg(l_quantity::DOUBLE), 6) AS mean_quantity, round(avg(l_discount::DOUBLE), 6) AS mean_discount FROM lineitem GROUP BY l_orderkey"
 MULTI_TABLE = """WITH lines AS (
   SELECT l_orderkey, count(*) AS n, avg(l_quantity::DOUBLE) AS q FROM lineitem GROUP BY l_orderkey
@@ -275,7 +286,7 @@ MULTI_TABLE = """WITH lines AS (
 ) SELECT what, round(value, 4) AS value, true AS near FROM facts"""
 
 SQL = {
-    "child_summaries": CHILDREN, "quality_scores": QUALITY, "multi_table_facts": MULTI_TABLE,
+    "child_summaries": CHILDREN, "golden_scores": GOLDEN, "quality_scores": QUALITY, "multi_table_facts": MULTI_TABLE,
     "text_forms": TEXT_FORMS, "identifier_validity": VALIDITY, "completed_identifiers": COMPLETED, "column_profiles": PROFILES, "key_containment": CONTAINMENT, "identifier_shares": SHARES,
     "note_spans": NOTE_SPANS, "naive_note_spans": NAIVE, "document_mails": MAILS, "cleaned_values": CLEANED, "deduplicated_rows": DEDUPE, "spelling_suggestions": SPELLINGS, "worth_a_look": LOOK,
     "review_population": POPULATION, "leaked_originals": LEAKED, "copied_rows": COPIES, "orphan_rows": ORPHANS, "overlap_scores": OVERLAPS, "flat_view_places": PLACES,

@@ -17,7 +17,7 @@ from ..operators.policy import DEFAULT, policy_from_dict
 from ..operators.report import summary_counts
 from ..operators.tables import ROW, ForeignKey, as_text, cells, numbered, numbered_in_group, shared_dir, written
 from ..sources import files, sinks
-from . import fixtures, masking, synthesizing
+from . import fixtures, golden, masking, synthesizing
 
 #: Public: it seals nothing but test tables.
 TEST_KEY = b"a public key for the test tables only"
@@ -100,6 +100,11 @@ def document_mails(spark, sf_dir):
     return d.select("doc_id", F.explode(matches(F.col("text"), EMAIL_SHAPE)).alias("m")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("m.text")).alias("letters"))
 
 
+def golden_scores(spark, sf_dir):
+    """How the detector and a naive one fare on golden notes, by kind and over all."""
+    return golden.scores(*golden.golden(spark, sf_dir)).select("detector", "kind", "golden", "predicted", "found", "exact", "right", "hard_negatives_hit", "recall", "precision")
+
+
 # ---------------------------------------------------------------- cleaning
 
 
@@ -405,7 +410,7 @@ def totals_of_columns(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        text_forms, identifier_validity, completed_identifiers, column_profiles, key_containment, identifier_shares, note_spans, naive_note_spans, document_mails,
+        text_forms, identifier_validity, completed_identifiers, column_profiles, key_containment, identifier_shares, note_spans, naive_note_spans, golden_scores, document_mails,
         cleaned_values, deduplicated_rows, spelling_suggestions, worth_a_look, review_population, review_groups, leaked_originals, copied_rows, orphan_rows, overlap_scores,
         flat_view_places, distribution_distances, quality_scores, variance_shares, rows_over_quantile, nearest_records, page_of_rows, guarded_cells, csv_round_trip, parquet_rows, numbered_rows,
         masked_twin, masked_twin_facts, masked_report, synthetic_twin, child_summaries, multi_table_facts, token_references, return_statuses, relinked_rows, totals_of_columns,
