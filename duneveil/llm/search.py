@@ -29,7 +29,7 @@ from .words import parts
 #: Documents in a block at most.
 BLOCK = 2048
 #: Characters of text that are split at a time, and characters of items in a round.
-PART, ROUND = 8 << 20, 4 << 20
+PART, ROUND = 2 << 20, 4 << 20
 #: Items whose scores are added at once.
 ITEMS = 128
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
