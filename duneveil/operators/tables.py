@@ -53,18 +53,22 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(f.name) if f.name == ROW else text(f.name, f.dataType).alias(f.name) for f in df.schema))
 
 
-def numbered(df: DataFrame) -> DataFrame:
+def numbered(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """df with ROW, 0, 1, 2 ... in the order in which it is read, without gathering it: rows are counted in each
-    partition of a written copy, and each partition starts behind those before it."""
-    kept = written(df.withColumn("_id", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("_id", 33)
+    partition of a written copy, and each partition starts behind those before it.
+
+    by: columns (of file and block) that order the pieces that are read, as Spark deals these by size; they are dropped.
+    """
+    kept = written(df.withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    piece = F.struct(*by) if by else F.struct(F.shiftright("__id", 33))
     starts, at = [], 0
-    for p, n in sorted(kept.groupBy(part.alias("p")).count().collect()):  # a row for each partition
-        starts.append((p, at))
+    for _, least, n in sorted(kept.groupBy(piece.alias("piece")).agg(F.min("__id"), F.count(F.lit(1))).collect()):  # a row for each partition or piece
+        starts.append((least, n, at))
         at += n
-    firsts = df.sparkSession.createDataFrame(starts, "p long, first long")
-    rows = kept.withColumn("p", part).join(F.broadcast(firsts), "p")
-    return rows.withColumn(ROW, F.col("first") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "p", "first")
+    # rows of a piece follow one another in their partition, so its numbers are a range
+    moves = df.sparkSession.createDataFrame([(least >> 33, least, least + n, first - least) for least, n, first in starts], "__part long, __from long, __to long, __move long")
+    rows = kept.withColumn("__at", F.shiftright("__id", 33)).join(F.broadcast(moves), (F.col("__at") == F.col("__part")) & (F.col("__id") >= F.col("__from")) & (F.col("__id") < F.col("__to")))
+    return rows.withColumn(ROW, F.col("__id") + F.col("__move")).drop("__id", "__at", "__part", "__from", "__to", "__move", *by)
 
 
 def cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -133,6 +133,18 @@ def test_exports_are_guarded(spark, tmp_path):
     assert tables["t"].count() == 3 and read.count() == 1 and meta["order"] == ["t"]
 
 
+def test_files_are_numbered_by_name_and_not_by_size(spark, tmp_path):
+    (tmp_path / "t.csv").mkdir()
+    parts = [range(2), range(2, 40), range(40, 43), range(43, 200)]  # Spark reads the largest first
+    for k, part in enumerate(parts):
+        (tmp_path / "t.csv" / f"part-{k}.csv").write_text("first,p\n" + "".join(f"{n},x\n" for n in part), encoding="utf-8")
+    for multiline in (True, False):
+        back = files.csv_folder(spark, str(tmp_path), ["t"], multiline)["t"]
+        assert back.columns == ["first", "p", ROW]
+        assert sorted((r[ROW], r["first"]) for r in back.collect()) == [(n, str(n)) for n in range(200)]
+
+
+
 def test_database_targets():
     keys = [ForeignKey("claims", "p", "people", "id"), ForeignKey("items", "c", "claims", "id")]
     assert sinks.parents_first(["items", "claims", "people"], keys) == ["people", "claims", "items"]
