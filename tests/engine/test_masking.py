@@ -56,6 +56,16 @@ def test_the_twin_holds_no_original_and_fits_together(tables, run):
     assert both.filter(~F.contains("notes", "full_name")).count() == 0
 
 
+def test_a_long_pseudonym_holds_no_original(spark):
+    values = spark.createDataFrame([("SAUDI_ID", "1110704341"), ("IBAN", "SA0380000000608010167519")], "kind string, canon string")
+
+    def draw(kind, canon, hexes, attempt, *_):
+        iban = F.when(attempt == 0, "SA9900111070434100000000").otherwise("SA9900000000000000000000")
+        return F.when(kind == "IBAN", iban).otherwise("1909266858")
+
+    assert {r.kind: r.fake for r in pseudonyms.assign(values, KEY, draw=draw).collect()} == {"SAUDI_ID": "1909266858", "IBAN": "SA9900000000000000000000"}
+
+
 def test_the_same_key_makes_the_same_twin_and_another_key_another(tables, analysis, run):
     policy = policies.policy_from_dict(policies.DEFAULT)
     again = masking.run_masked(analysis, policy, KEY).twin["people"]
