@@ -127,6 +127,18 @@ def _correlation_factor(matrix: np.ndarray, variances: np.ndarray) -> np.ndarray
     return lower_factor(correlation) * scale[:, None] if len(scale) else np.zeros((0, 0))
 
 
+def _factor_with_own(matrix: np.ndarray, own: int) -> np.ndarray:
+    """A factor of a correlation near a matrix: what is seen between the first, own columns stays as it is, and only the effects, which
+    are estimates, give way where no correlation has them all."""
+    if own in (0, len(matrix)):
+        return _correlation_factor(matrix, np.ones(len(matrix)))
+    head = _correlation_factor(matrix[:own, :own], np.ones(own))
+    link = np.linalg.lstsq(head, np.clip(matrix[:own, own:], -0.99, 0.99), rcond=None)[0]
+    link *= np.minimum(1.0, 0.99 / np.maximum(np.sqrt((link**2).sum(axis=0)), 1e-12))
+    tail = _correlation_factor(matrix[own:, own:] - link.T @ link, 1 - (link**2).sum(axis=0))
+    return np.block([[head, np.zeros((own, len(matrix) - own))], [link.T, tail]])
+
+
 def mean_scores(m: Marginals, column: str, values: pa.Array) -> pa.Array:
     """Normal scores; of equal values the mean over their share of all rows; null for null."""
     if m.kinds[column] == "categorical":
@@ -226,7 +238,7 @@ class HierarchicalCopula:
                         rest = [k for k, c in enumerate(level.kinds) if c != _number(child)]
                         joint[rest, block] = whole[rest, block] / np.sqrt(ties[rest] * np.maximum(below.seen[rest], 1e-6))[:, None]
                         joint[block, rest] = joint[rest, block].T
-                level.factor = _correlation_factor(joint, np.ones(len(names)))
+                level.factor = _factor_with_own(joint, len(level.kinds))
                 continue
             found[t] = written(summaries(scores, "parent", names), "sums")
             level.spread = spread(scores, found[t], "parent", names)
@@ -280,15 +292,35 @@ class HierarchicalCopula:
 
     def _roots(self, level: Level, n: int, seed: int) -> DataFrame:
         model, factor, names = level.model, level.factor, [*level.kinds, *level.effects]
+        middle, even = self._moments(n, len(names), seed)
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0).to_numpy()
-                z = np.column_stack([_gauss(ids, k, seed) for k in range(len(names))]) @ factor.T if names else np.zeros((len(ids), 0))
+                z = (np.column_stack([_gauss(ids, k, seed) for k in range(len(names))]) - middle) @ even.T @ factor.T if names else np.zeros((len(ids), 0))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *_valued(model, z, ids, seed)], names=[ROW, *names])
 
         return self.spark.range(n).mapInArrow(make, _schema(ROW, level))
 
+    def _moments(self, n: int, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """(means, matrix) that make the drawn numbers of n roots uncorrelated, with mean 0 and variance 1: roots are few, so that chance
+        would move their correlations.  Sums are taken where numbers are drawn; too few rows are left as they are."""
+        if not width or n < 10 * width:
+            return np.zeros(width), np.eye(width)
+        pairs = [(a, b) for a in range(width) for b in range(a + 1)]
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                g = np.column_stack([_gauss(ids, k, seed) for k in range(width)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + len(pairs), dtype=np.int32)), pa.array([*g.sum(axis=0), *(float(g[:, a] @ g[:, b]) for a, b in pairs)])], names=["k", "v"])
+
+        found = {r["k"]: r["v"] for r in self.spark.range(n).mapInArrow(sums, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+        mean, cross = np.array([round(found[k] / n, 9) for k in range(width)]), np.zeros((width, width))  # rounded, as sums may come in any order
+        for k, (a, b) in enumerate(pairs):
+            cross[a, b] = cross[b, a] = round(found[width + k] / n, 9)
+        return mean, np.linalg.inv(np.linalg.cholesky(cross - np.outer(mean, mean)))
+
     def _children(self, level: Level, parents: DataFrame, seed: int) -> DataFrame:
         model, factor, middle, names = level.model, level.factor, level.middle, [*level.kinds, *level.effects]
         shift, scale = middle + level.effect * level.shift, level.effect * level.scale

@@ -95,3 +95,23 @@ def test_run_over_all_tables(spark, sf_dir):
     assert status["leak_scan"] == status["referential_integrity"] == status["exact_copies"] == "PASS"
     assert result.twin["people"].columns == [ROW, *(c for c in tables["people"].columns if c != ROW)] and abs(result.twin["people"].count() - tables["people"].count()) <= 1
     assert result.twin["claims"].filter("notes IS NULL").count() == 0
+
+
+def test_roots_have_no_correlation_by_chance(spark):
+    model = hierarchy.HierarchicalCopula({}, [])
+    model.spark = spark
+    ids = np.arange(300)
+    g = np.column_stack([hierarchy._gauss(ids, k, 7) for k in range(4)])
+    middle, even = model._moments(300, 4, 7)
+    z = (g - middle) @ even.T
+    assert np.abs(np.cov(g.T, bias=True) - np.eye(4)).max() > 0.03  # as they are drawn
+    assert np.abs(np.cov(z.T, bias=True) - np.eye(4)).max() < 1e-6 and np.abs(z.mean(axis=0)).max() < 1e-6
+    assert np.array_equal(model._moments(3, 4, 7)[1], np.eye(4))
+
+
+def test_what_is_seen_between_own_columns_stays():
+    matrix = np.array([[1.0, 0.0, 0.9], [0.0, 1.0, -0.9], [0.9, -0.9, 1.0]])  # none has all three
+    both = hierarchy._factor_with_own(matrix, 2)
+    both = both @ both.T
+    assert abs(both[0, 1]) < 1e-9 and np.allclose(np.diag(both), 1) and both[0, 2] > 0.6 and both[1, 2] < -0.6
+    assert abs((lambda f: f @ f.T)(hierarchy._correlation_factor(matrix, np.ones(3)))[0, 1]) > 0.1  # before
