@@ -121,3 +121,15 @@ def test_replaced_spans_leave_the_rest(spark):
 
 def test_lists_are_in_plain_spelling():
     assert all(re.fullmatch("[ء-ي]+", w) for w in GAZETTEER.first())
+
+
+def test_profiles_count_values_without_copies_of_rows(spark):
+    from duneveil.operators.profiling import column_stats
+    from duneveil.operators.tables import ROW
+
+    rows = [(0, "7", "-"), (1, "7", None), (2, "8.5", "سلام x"), (3, None, "سلام x")]
+    stats = column_stats(spark.createDataFrame(rows, f"{ROW} long, a string, b string"))
+    assert stats._jdf.queryExecution().optimizedPlan().toString().count("Expand") == 1  # that of the cells alone
+    found = {r["column"]: r for r in stats.collect()}
+    a, b = ([found[c][x] for x in ("n_rows", "n_null", "n_unique", "n_real", "u_real", "mean_len", "arabic_ratio", "numeric", "dates")] for c in "ab")
+    assert a == [4, 1, 2, 3, 2, 5 / 3, 0.0, 1.0, 0.0] and b == [4, 1, 2, 2, 1, 6.0, 0.8, 0.0, 0.0]
