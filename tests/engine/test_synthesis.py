@@ -109,6 +109,24 @@ def test_nearest_distances_are_exact(spark):
     assert got[tuple(queries[0])][0] == 2
 
 
+def test_nearest_distances_meet_in_small_parts(spark, monkeypatch):
+    """Many cells of several blocks, columns of zeros and ones, one point far off; a part's points are read once for all its queries."""
+    for name, value in (("CELL_ROWS", 40), ("MAX_CELLS", 6), ("BLOCK_ROWS", 30)):
+        monkeypatch.setattr(fidelity, name, value)
+    rng = np.random.default_rng(4)
+    kinds = lambda n: np.eye(5)[rng.integers(0, 5, n)]
+    points = np.vstack([np.hstack([rng.random((700, 2)), kinds(700)]), [[9.0, -9.0, 0, 0, 0, 0, 0]]])
+    asked = np.vstack([np.hstack([rng.random((150, 2)), kinds(150)]), points[:3], [[8.0, 8.0, 1, 1, 1, 1, 1]]])
+    frame = lambda x: spark.createDataFrame([(list(map(float, v)),) for v in x], "vector array<double>")
+    found = fidelity.nearest_distances(frame(asked), frame([*points, points[0]]))
+    got = {tuple(r.vector): r.nearest for r in found.collect()}
+    for q in asked:
+        assert got[tuple(q)] == pytest.approx(np.sqrt(((points - q) ** 2).sum(axis=1)).min(), abs=1e-12)
+    plan = found._jdf.queryExecution().toString()
+    assert "CoGroups" in plan and "MapInPandas" not in plan
+    assert fidelity.nearest_distances(frame(asked[:2]), frame(points).limit(0)).filter("nearest IS NULL").count() == 2
+
+
 def test_a_run_and_its_report(tables):
     result = synthesizing.run_synthetic(masking.analyze(tables), policy_from_dict(DEFAULT), KEY, target="costly = amount > p90", seed=1)
     checks = {c["name"]: c for c in result.report["checks"]}
