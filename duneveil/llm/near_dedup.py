@@ -37,7 +37,9 @@ SAMPLES = 256
 SKETCH_BITS = 1024
 #: Under an estimate of (PERCENT - SLACK) / 100 a pair isn't read in full.
 SLACK = 14
-LARGE = 64
+#: Members of a bucket that may still meet each other; more meet by their first shingles.  Both ways are exact, so results don't
+#: depend on it: pairs of a bucket grow with its size, in each of BANDS bands, and first shingles are rarer than bands.
+LARGE = 8
 #: Shingles are counted by so many leading bits of their hash, to put rare ones first: a table of 4 MB at any size of the
 #: corpus.  Results don't depend on the order, only the number of candidates does.
 SLOT_BITS = 20
@@ -265,9 +267,10 @@ def _fits(percent: int) -> Column:
 
 
 def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of open buckets (see _open) across components: members outside the main one with all others that fit."""
+    """Pairs of open buckets (see _open) across components: members outside the main one with all others that fit, each pair once."""
     others = rows.filter("component <> main").select(*(F.col(x).alias(f"x_{x}") for x in ("id", "component", "key", "n", "shared")))
-    pairs = others.join(rows, (F.col("x_key") == F.col("key")) & _fits(percent))
+    once = (F.col("component") == F.col("main")) | (F.col("x_id") < F.col("id"))
+    pairs = others.join(rows, (F.col("x_key") == F.col("key")) & once & _fits(percent))
     return pairs.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct()
 
 

@@ -291,6 +291,26 @@ def test_a_crowd_of_near_copies_equals_brute_force(spark):
     assert got == brute.near_groups(list(enumerate(texts)), 4, 80)
 
 
+def test_pairs_of_a_bucket_grow_no_faster_than_its_rows(spark, monkeypatch):
+    """Half-alike texts fill buckets of ten and more: these meet by first shingles, and small buckets give each pair once."""
+    rng = random.Random(12)
+    common = invented(rng, 200, 10**6)
+    texts = [" ".join([*common, *invented(rng, 42, 10**6)]) for _ in range(30)]
+    seen, pairs_of = [], near_dedup._open_pairs
+
+    def watched(rows, percent):
+        seen.append((max((r["n"] for r in rows.groupBy("key").agg(F.count("id").alias("n")).collect()), default=0), pairs_of(rows, percent)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(near_dedup, "_open_pairs", watched)
+    groups = near_dedup.near_groups(docs(spark, texts)).collect()
+    assert len(groups) == 30 and all(r["kept"] for r in groups)
+    assert seen[0][0] <= 8
+    row = "id long, component long, main long, key long, n long, shared long"
+    three = frame(spark, [(1, 1, 1, 7, 9, 9), (2, 2, 1, 7, 9, 9), (3, 3, 1, 7, 9, 9)], row)
+    assert sorted(map(tuple, pairs_of(three, 80).collect())) == [(1, 2), (1, 3), (2, 3)]
+
+
 def test_near_groups_of_odd_rows(spark):
     rows = [(5, "a b c d e f", "", "", 0), (5, "g h i j k l", "", "", 0), (2, "g h i j k l", "", "", 0), (None, "a b c d e f", "", "", 0), (7, None, "", "", 0)]
     got = sorted((str(r.doc_id), r.component_id, r.kept) for r in near_dedup.near_groups(frame(spark, rows)).collect())
