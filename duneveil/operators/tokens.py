@@ -11,12 +11,13 @@ import base64
 import hashlib
 import hmac
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import ROW
+from .tables import ROW, written
 
 PREFIX = "NZ-"
 TOKEN_COLUMN = "record_token"
@@ -64,18 +65,23 @@ class Sealer:
             raise TokenError("the key is gone")
         return hmac.new(self.master, f"{use}|{self.dataset}".encode(), hashlib.sha256).digest()
 
-    @property
+    @cached_property
+    def _keys(self) -> tuple[bytes, bytes]:
+        """Of tags and of streams; the same for all rows."""
+        return self._key("tag"), self._key("stream")
+
+    @cached_property
     def header(self) -> bytes:
         return bytes((self.version,)) + hashlib.sha256(f"share|{self.share}".encode()).digest()[:FINGERPRINT]
 
     def _tag(self, packed: bytes) -> bytes:
         bound = f"{self.share}|{self.dataset}|{self.version}|".encode()
-        return hmac.new(self._key("tag"), bound + packed, hashlib.sha256).digest()[:TAG]
+        return hmac.digest(self._keys[0], bound + packed, "sha256")[:TAG]
 
     def _cover(self, tag: bytes, data: bytes) -> bytes:
-        key, stream = self._key("stream"), b""
+        key, stream = self._keys[1], b""
         while len(stream) < len(data):
-            stream += hmac.new(key, tag + bytes((len(stream) // 32,)), hashlib.sha256).digest()
+            stream += hmac.digest(key, tag + bytes((len(stream) // 32,)), "sha256")
         return bytes(a ^ b for a, b in zip(data, stream, strict=False))
 
     def seal(self, packed: bytes) -> str:
@@ -173,6 +179,7 @@ def classified(rows: DataFrame, token: Column, sealer: Sealer, n_tables: int, or
     out = rows.withColumn("_shape", F.when(empty, "missing").when(shaped.isNull(), "invalid")).withColumn("_open", open_column(sealer)(shaped))
     known = (F.col("_open.status") == "verified") & (F.col("_open.table_no") < n_tables)
     out = out.withColumn("_ref", F.when(F.col("_shape").isNull() & known, F.col("_open.reference")))
+    out = written(out, "opened")  # it is read for its first rows and for itself, and tokens are opened once
     first = out.filter("_ref IS NOT NULL").groupBy(F.col("_ref").alias("_r")).agg(F.min(order).alias("_first"))
     out = out.join(first, F.col("_ref") == F.col("_r"), "left")
     seen = F.when(F.col("_ref").isNotNull(), F.when(F.col(order) == F.col("_first"), "verified").otherwise("duplicate"))

@@ -15,7 +15,7 @@ from ..operators import cleaning, fidelity, hierarchy, profiling, returns, revie
 from ..operators.detection import text_spans, valid_shares
 from ..operators.policy import DEFAULT, policy_from_dict
 from ..operators.report import summary_counts
-from ..operators.tables import ROW, ForeignKey, as_text, cells, numbered, numbered_in_group, shared_dir, written
+from ..operators.tables import ROW, ForeignKey, as_text, cells, dealt, numbered, numbered_in_group, shared_dir, written
 from ..sources import files, sinks
 from . import fixtures, golden, masking, synthesizing
 
@@ -372,7 +372,7 @@ def multi_table_facts(spark, sf_dir):
 
 def _shared(spark, sf_dir):
     """(customers as shared with tokens, the same with references, sealer)."""
-    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias(ROW), F.col("c_custkey").cast("string").alias("customer_id"), "c_name", "c_mktsegment")
+    rows = dealt(_table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias(ROW), F.col("c_custkey").cast("string").alias("customer_id"), "c_name", "c_mktsegment"))
     twins = {"customer": tokens.add_references(rows, "customer_id").drop("customer_id")}
     sealer = tokens.Sealer("share-1", "dataset-1", 1, TEST_KEY)
     return rows, twins, tokens.for_share(twins, sealer), sealer
@@ -387,7 +387,7 @@ def _returned(spark, sf_dir):
     last = F.substring(own, -4, 1)
     altered = F.concat(F.expr(f"left({tokens.TOKEN_COLUMN}, length({tokens.TOKEN_COLUMN}) - 4)"), F.when(last == "A", "B").otherwise("A"), F.substring(own, -3, 3))
     token = F.when(k % 7 == 0, altered).when(k % 11 == 0, F.lit(None)).when(k % 13 == 0, other(k.cast("string"))).otherwise(own)
-    back = shared["customer"].withColumn(tokens.TOKEN_COLUMN, token).withColumn("score", (k * 3).cast("string")).withColumn("c_name", F.when(k % 17 == 0, F.lit("changed")).otherwise(F.col("c_name")))
+    back = written(shared["customer"], "shared").withColumn(tokens.TOKEN_COLUMN, token).withColumn("score", (k * 3).cast("string")).withColumn("c_name", F.when(k % 17 == 0, F.lit("changed")).otherwise(F.col("c_name")))
     twice = back.filter(k % 5 == 0).withColumn(ROW, k + 1_000_000_000)
     return rows, twins, {"returned": back.unionByName(twice)}, sealer
 
