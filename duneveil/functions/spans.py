@@ -7,19 +7,22 @@ valid IBANs, IBAN shapes, mail addresses, digit runs, names; a later span that t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .identifiers import EMAIL, EMAIL_SHAPE, IBAN, MOBILE, PERSON_NAME, SAUDI_ID, is_iban, is_mobile, is_saudi_id
-from .names import CLITICS, GAZETTEER, Gazetteer, plain
-from .text import ARABIC_LETTER, BLANKS, arabic_forms, let, normalize, offsets
+from .names import GAZETTEER, WORD_MARKS, Gazetteer, NamePatterns
+from .text import DROPPED, let, normalize
 
 SPAN = "struct<start:int,end:int,kind:string,conf:double,source:string>"
 # Words beside account numbers and beside numbers that only look like an identity number.
 ACCOUNT_WORDS = "(?i)(آيبان|ايبان|الآيبان|الايبان|iban|حساب|الحساب|تحويل|حوالة|استرداد)"
 DOCUMENT_WORDS = "(?i)(فاتور|طلب|مرجع|وثيق|عملي|إيصال|ايصال|invoice|order|ref)"
 IBAN_IN_TEXT = r"(?i)(?<![A-Za-z0-9])SA\s?\d{22}(?!\d)"
-NAME_WORD = rf"[{ARABIC_LETTER}\x{{0670}}]+"
+#: Runs of ten characters or more, a plus sign included.
+LONG_RUN = r"\+[0-9]{9,}|(?<![0-9+])[0-9]{10,}"
 REVIEW_BELOW = 0.7
 MAIL_IN_LOWER = r"[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}"
 #: Marks around matches, and what stands for them where a text holds them.
@@ -36,19 +39,27 @@ def matches(text: Column, pattern: str) -> Column:
     One pass of the pattern puts marks around matches; a split at a mark needs none (at a pattern it would compile it for each text).
     """
     plain_text = F.when(text.contains(OPEN) | text.contains(CLOSE), F.translate(text, OPEN + CLOSE, OTHER * 2)).otherwise(text)
-    pieces = F.split(F.regexp_replace(plain_text, pattern, f"{OPEN}$0{CLOSE}"), OPEN, -1)
 
-    def found(pieces: Column) -> Column:
-        start = F.struct(F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"), F.length(pieces[0]).alias("at"))
+    def placed(start: Column, match: Column) -> Column:
+        return F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("text"))
+
+    def found(marked: Column) -> Column:
+        none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+
+        def listed(pieces: Column) -> Column:
+            start = F.struct(none.alias("out"), F.length(pieces[0]).alias("at"))
+
+            def add(state: Column, piece: Column) -> Column:
+                match = F.substring_index(piece, CLOSE, 1)
+                return F.struct(F.array_append(state["out"], placed(state["at"], match)).alias("out"), (state["at"] + F.length(piece) - 1).alias("at"))
 
-        def add(state: Column, piece: Column) -> Column:
-            match = F.substring_index(piece, CLOSE, 1)
-            end = state["at"] + F.length(match)
-            return F.struct(F.array_append(state["out"], F.struct(state["at"].alias("start"), end.alias("end"), match.alias("text"))).alias("out"), (state["at"] + F.length(piece) - 1).alias("at"))
+            one = F.array(placed(F.length(pieces[0]), F.substring_index(F.get(pieces, F.lit(1)), CLOSE, 1)))
+            return F.when(F.size(pieces) == 2, one).otherwise(F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, add, lambda state: state["out"]))
 
-        return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, add, lambda state: state["out"])
+        # most texts hold no match, or one
+        return F.when(marked.contains(OPEN), let(F.split(marked, OPEN, -1), listed)).when(marked.isNotNull(), none)
 
-    return let(pieces, found)
+    return let(F.regexp_replace(plain_text, pattern, f"{OPEN}$0{CLOSE}"), found)
 
 
 def span(start: Column, end: Column, kind: Column | str, conf: Column | float, source: str = "regex+validator") -> Column:
@@ -63,47 +74,50 @@ def touching(a: Column, b: Column) -> Column:
 
 def claim(held: Column, more: Column) -> Column:
     """held, and of `more` what touches nothing held."""
-    return F.concat(held, F.filter(more, lambda m: ~F.exists(held, lambda h: touching(m, h))))
+    free = F.filter(more, lambda m: ~F.exists(held, lambda h: touching(m, h)))
+    return F.when(F.size(more) == 0, held).when(F.size(held) == 0, more).otherwise(F.concat(held, free))
+
+
+def _kind(piece: Column) -> Column:
+    return F.when(is_saudi_id(piece), SAUDI_ID).when(is_mobile(piece), MOBILE)
+
 
+def _number_span(run: Column, norm: Column, start: Column, end: Column, kind: Column) -> Column:
+    begin = run["start"] + start
+    before = F.substring(norm, F.greatest(begin - 25, F.lit(0)) + 1, F.least(begin, F.lit(25)))
+    return span(begin, run["start"] + end, kind, F.when((kind == SAUDI_ID) & before.rlike(DOCUMENT_WORDS), 0.6).otherwise(0.95))
 
-def _digit_spans(run: Column, norm: Column, places: Column) -> Column:
+
+def _digit_spans(run: Column, norm: Column, dropped: Column) -> Column:
     """Of one run of digits the validated windows between borders of its groups, the longest first, none touching."""
     size = F.length(run["text"])
-    borders = F.filter(
-        F.sequence(F.lit(0), size), lambda i: (i == 0) | (i == size) | (F.get(places, run["start"] + i) - F.get(places, run["start"] + i - 1) > 1)
-    )
-    return let(borders, lambda border: _windows_of(run, norm, border))
+    inner = F.transform(F.filter(dropped, lambda d: (d["at"] > run["start"]) & (d["at"] < run["end"])), lambda d: d["at"] - run["start"])
+    whole = let(F.when(size.between(10, 14), _kind(run["text"])), lambda kind: F.when(kind.isNull(), _none()).otherwise(F.array(_number_span(run, norm, F.lit(0), size, kind))))
+    return F.when(F.size(dropped) == 0, whole).otherwise(let(F.concat(F.array(F.lit(0)), inner, F.array(size)), lambda border: _windows_of(run, norm, border)))
 
 
 def _windows_of(run: Column, norm: Column, border: Column) -> Column:
 
     def windows(a: Column) -> Column:
         def kind_of(b: Column) -> Column:
-            def named(piece: Column) -> Column:
-                return F.when((a > 0) & piece.startswith("+"), F.lit(None)).when(is_saudi_id(piece), SAUDI_ID).when(is_mobile(piece), MOBILE)
-
-            return F.struct(a.alias("start"), b.alias("end"), let(F.substring(run["text"], a + 1, b - a), named).alias("kind"))
+            kind = let(F.substring(run["text"], a + 1, b - a), lambda piece: F.when((a > 0) & piece.startswith("+"), F.lit(None)).otherwise(_kind(piece)))
+            return F.struct((a - b).alias("rank"), a.alias("start"), b.alias("end"), kind.alias("kind"))
 
         return F.transform(F.filter(border, lambda b: (b > a) & (b - a).between(10, 14)), kind_of)
 
-    valid = F.filter(F.flatten(F.transform(border, windows)), lambda w: w["kind"].isNotNull())
-    ranked = F.array_sort(F.transform(valid, lambda w: F.struct((w["start"] - w["end"]).alias("rank"), w["start"], w["end"], w["kind"])))
-    empty = F.array().cast("array<struct<rank:int,start:int,end:int,kind:string>>")
-    chosen = F.aggregate(ranked, empty, lambda out, w: F.when(F.exists(out, lambda o: touching(o, w)), out).otherwise(F.array_append(out, w)))
-
-    def finish(w: Column) -> Column:
-        begin = run["start"] + w["start"]
-        before = F.substring(norm, F.greatest(begin - 25, F.lit(0)) + 1, F.least(begin, F.lit(25)))
-        conf = F.when((w["kind"] == SAUDI_ID) & before.rlike(DOCUMENT_WORDS), 0.6).otherwise(0.95)
-        return span(begin, run["start"] + w["end"], w["kind"], conf)
+    def best(valid: Column) -> Column:
+        empty = F.array().cast("array<struct<rank:int,start:int,end:int,kind:string>>")
+        chosen = F.aggregate(F.sort_array(valid), empty, lambda out, w: F.when(F.exists(out, lambda o: touching(o, w)), out).otherwise(F.array_append(out, w)))
+        return F.transform(F.when(F.size(valid) < 2, valid).otherwise(chosen), lambda w: _number_span(run, norm, w["start"], w["end"], w["kind"]))
 
-    return F.transform(chosen, finish)
+    return let(F.filter(F.flatten(F.transform(border, windows)), lambda w: w["kind"].isNotNull()), best)
 
 
-def with_number_spans(df: DataFrame, norm: str, places: str, out: str) -> DataFrame:
-    """IBANs, mail addresses, identity and mobile numbers, with offsets into the normalized text."""
+def with_number_spans(df: DataFrame, norm: str, dropped: str, out: str) -> DataFrame:
+    """IBANs, mail addresses, identity and mobile numbers, with offsets into the normalized text; dropped: see dropped()."""
     text = F.col(norm)
     none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    empty = F.size("_ibans") == 0
     df = df.withColumn("_ibans", F.when(~text.rlike("[Ss][Aa]"), none).otherwise(matches(text, IBAN_IN_TEXT)))
 
     def shape(m: Column) -> Column:
@@ -111,73 +125,61 @@ def with_number_spans(df: DataFrame, norm: str, places: str, out: str) -> DataFr
         return span(m["start"], m["end"], IBAN, F.when(before.rlike(ACCOUNT_WORDS), 0.9).otherwise(0.6))
 
     valid = F.filter("_ibans", lambda m: is_iban(F.upper(F.replace(m["text"], F.lit(" "), F.lit("")))))
-    df = df.withColumn("_valid", F.transform(valid, lambda m: span(m["start"], m["end"], IBAN, 0.99)))
-    df = df.withColumn("_held", claim(F.col("_valid"), F.transform("_ibans", shape))).drop("_ibans", "_valid")
-    df = df.withColumn("_mails", F.transform(F.when(~text.contains("@"), none).otherwise(matches(text, EMAIL_SHAPE)), lambda m: span(m["start"], m["end"], EMAIL, 0.99)))
+    df = df.withColumn("_valid", F.when(empty, _none()).otherwise(F.transform(valid, lambda m: span(m["start"], m["end"], IBAN, 0.99))))
+    sure = F.size("_valid") == F.size("_ibans")  # no other is left
+    df = df.withColumn("_held", F.when(sure, F.col("_valid")).otherwise(claim(F.col("_valid"), F.transform("_ibans", shape)))).drop("_ibans", "_valid")
+    df = df.withColumn("_mails", F.when(~text.contains("@"), _none()).otherwise(F.transform(matches(text, EMAIL_SHAPE), lambda m: span(m["start"], m["end"], EMAIL, 0.99))))
     df = df.withColumn("_held", claim(F.col("_held"), F.col("_mails"))).drop("_mails")
-    df = df.withColumn("_runs", matches(text, r"\+?[0-9]+"))
-    free = F.filter("_runs", lambda m: (F.length(m["text"]) >= 10) & ~F.exists("_held", lambda h: touching(m, h)))
-    df = df.withColumn("_runs", free)
-    return df.withColumn(out, F.concat("_held", F.flatten(F.transform("_runs", lambda m: _digit_spans(m, text, F.col(places)))))).drop("_held", "_runs")
+    df = df.withColumn("_runs", matches(text, LONG_RUN))
+    free = F.filter("_runs", lambda m: ~F.exists("_held", lambda h: touching(m, h)))
+    df = df.withColumn("_runs", F.when((F.size("_runs") == 0) | (F.size("_held") == 0), F.col("_runs")).otherwise(free))
+    more = F.flatten(F.transform("_runs", lambda m: _digit_spans(m, text, F.col(dropped))))
+    return df.withColumn(out, F.when(F.size("_runs") == 0, F.col("_held")).otherwise(F.concat("_held", more))).drop("_held", "_runs")
 
 
 def with_name_spans(df: DataFrame, text_col: str, out: str, names: Gazetteer = GAZETTEER) -> DataFrame:
     """Person names by gazetteer: known given names, with a family name or a cue where the word is ambiguous.
 
     Confidence .9 with a family name, .8 after a cue, .7 alone; .75 for an unknown word before a known family name
-    unless it names an organisation or kinship.
+    unless it names an organisation or kinship.  One pattern finds all of these words, so that only they are looked at.
     """
     text = F.col(text_col)
 
-    def describe(m: Column) -> Column:
-        word = m["text"]
-        rest, tail = arabic_forms(F.substring(word, 2, 1_000)), F.substring(word, 2, 1_000)
-        barred = [plain(x) for x in (*names.not_first, *names.cues, *names.stopwords)]
-
-        def forms(whole: Column) -> Column:
-            first = ~word.isin(list(names.stopwords)) & names.is_first(whole)
-            clitic = (F.length(word) > 3) & F.substring(word, 1, 1).isin(list(CLITICS)) & ~tail.isin(list(names.stopwords)) & names.is_first(rest)
-            return let(F.struct(whole.alias("whole"), F.when(first, 0).when(clitic, 1).alias("shift"), names.is_family(whole).alias("family")), looked_up)
-
-        def looked_up(x: Column) -> Column:
-            whole, shift = x["whole"], x["shift"]
-            stem = F.when(shift == 0, whole).when(shift == 1, rest)  # null where no name begins
-            may = (F.length(whole) >= 2) & ~whole.startswith("ال") & ~whole.isin(barred) & ~x["family"]
-            return F.struct(
-                m["start"].alias("start"), m["end"].alias("end"), shift.alias("shift"), x["family"].alias("family"), may.alias("may"),
-                stem.isin([plain(n) for n in names.ambiguous]).alias("ambiguous"), whole.isin([plain(n) for n in names.cues]).alias("cue"), whole.alias("plain"),
-            )
+    def found(patterns: NamePatterns) -> Column:
+        def judge(m: Column) -> Column:
+            near = m["start"] if patterns.reach is None else F.least(m["start"], F.lit(patterns.reach))
+            cue = F.substring(text, m["start"] - near + 1, near).rlike(patterns.after_cue)
+            alone = F.when(cue, 0.8).when(~m["text"].rlike(patterns.ambiguous), 0.7)
+            conf = F.when(~m["text"].rlike(patterns.two_words), alone).when(m["text"].rlike(patterns.known), 0.9).otherwise(0.75)
+            return let(conf, lambda conf: F.when(conf.isNotNull(), span(m["start"], m["end"], PERSON_NAME, conf, "gazetteer")))
+
+        return F.filter(F.transform(matches(text, patterns.found), judge), lambda s: s.isNotNull())
+
+    marked, bare = names.patterns(True), names.patterns(False)
+    some_marks = reduce(lambda a, b: a | b, (text.contains(x) for x in WORD_MARKS))
+    # rlike keeps its pattern, while a replacement compares a long one for each text
+    return df.withColumn(out, F.when(some_marks, found(marked)).when(text.rlike(bare.found), found(bare)).otherwise(_none()))
 
-        return let(arabic_forms(word), forms)
 
-    some = names.some_name(arabic_forms(F.when(text.rlike(f"[{ARABIC_LETTER}]"), text)))
-    df = df.withColumn("_words", F.when(some, matches(text, NAME_WORD)))
-    df = df.withColumn("_words", F.transform("_words", describe))
-    words = F.col("_words")
+def dropped(text: Column, norm: Column) -> Column:
+    """array<struct<at, n>> of the separators that norm, the normalized text, is without: before its character at place `at`
+    n characters of text are missing in all."""
+    none = F.array().cast("array<struct<at:int,n:int>>")
 
-    def between(a: Column, b: Column) -> Column:
-        return F.substring(text, a + 1, b - a)
+    def counted(groups: Column) -> Column:
+        def add(out: Column, m: Column) -> Column:
+            before = F.coalesce(F.get(out, F.size(out) - 1)["n"], F.lit(0))
+            return F.array_append(out, F.struct((m["start"] - before).alias("at"), (before + m["end"] - m["start"]).alias("n")))
 
-    def judge(w: Column, i: Column) -> Column:
-        after, prior = F.get(words, i + 1), F.get(words, i - 1)
-        gap = between(prior["end"], w["start"])
-        cue_gap = F.when(prior["plain"] == "د", gap.rlike(r"^[ .]{1,3}$")).otherwise((F.length(gap) <= 3) & gap.rlike(r"^ *[/:]? *$") & (gap != ""))
-        family = F.coalesce(after["family"] & between(w["end"], after["start"]).rlike(f"^[{BLANKS}]{{1,2}}$"), F.lit(False))
-        cue = F.coalesce(prior["cue"] & cue_gap, F.lit(False))
+        return F.aggregate(groups, none, add)
 
-        def beside(x: Column) -> Column:
-            known = w["shift"].isNotNull() & (~w["ambiguous"] | x["family"] | x["cue"])
-            conf = F.when(known, F.when(x["family"], 0.9).when(x["cue"], 0.8).otherwise(0.7)).when(w["shift"].isNull() & w["may"] & x["family"], 0.75)
-            found = lambda conf: F.when(conf.isNotNull(), span(w["start"] + F.coalesce(w["shift"], F.lit(0)), F.when(x["family"], after["end"]).otherwise(w["end"]), PERSON_NAME, conf, "gazetteer"))
-            return let(conf, found)
+    return F.when(F.length(norm) == F.length(text), none).when(norm.isNotNull(), let(matches(text, DROPPED), counted))
 
-        # most words are no name: neither listed nor before a family name
-        return F.when(w["shift"].isNotNull() | (w["may"] & after["family"]), let(F.struct(family.alias("family"), cue.alias("cue")), beside))
 
-    df = df.withColumn("_found", F.filter(F.transform(words, judge), lambda s: s.isNotNull()))
-    # a word that a name before it has taken begins none of its own
-    taken = F.aggregate("_found", _none(), lambda held, s: F.when(F.exists(held, lambda o: touching(o, s)), held).otherwise(F.array_append(held, s)))
-    return df.withColumn(out, F.coalesce(taken, _none())).drop("_words", "_found")
+def place(dropped: Column, at: Column) -> Column:
+    """Where in the text the character at a place of its normalized text stands."""
+    missing = F.array_max(F.transform(F.filter(dropped, lambda d: d["at"] <= at), lambda d: d["n"]))
+    return at + F.when(F.size(dropped) == 0, 0).otherwise(F.coalesce(missing, F.lit(0)))
 
 
 def with_spans(df: DataFrame, text_col: str, out: str = "spans", names: bool = True, gazetteer: Gazetteer = GAZETTEER) -> DataFrame:
@@ -187,14 +189,14 @@ def with_spans(df: DataFrame, text_col: str, out: str = "spans", names: bool = T
     """
     text = F.col(text_col)
     df = df.withColumn("_norm", normalize(F.when(text.rlike(r"@|\p{Nd}"), text)))
-    df = df.withColumn("_places", offsets(F.when(F.col("_norm").isNotNull(), text)))
-    df = with_number_spans(df, "_norm", "_places", "_numbers")
-    moved = F.transform("_numbers", lambda s: span_at(s, F.get("_places", s["start"]), F.get("_places", s["end"] - 1) + 1))
-    df = df.withColumn(out, F.coalesce(moved, _none())).drop("_norm", "_places", "_numbers")
+    df = df.withColumn("_dropped", dropped(text, F.col("_norm")))
+    df = with_number_spans(df, "_norm", "_dropped", "_numbers")
+    moved = F.transform("_numbers", lambda s: span_at(s, place(F.col("_dropped"), s["start"]), place(F.col("_dropped"), s["end"] - 1) + 1))
+    df = df.withColumn(out, F.when(F.col("_numbers").isNull(), _none()).when(F.size("_dropped") == 0, F.col("_numbers")).otherwise(moved)).drop("_norm", "_dropped", "_numbers")
     if names:
         df = with_name_spans(df, text_col, "_names", gazetteer)
         df = df.withColumn(out, claim(F.col(out), F.col("_names"))).drop("_names")
-    return df.withColumn(out, F.when(F.size(out) > 1, F.array_sort(out)).otherwise(F.col(out)))
+    return df.withColumn(out, F.when(F.size(out) > 1, F.sort_array(out)).otherwise(F.col(out)))
 
 
 def exploded(df: DataFrame, spans: str, name: str = "s") -> DataFrame:

@@ -19,6 +19,8 @@ LETTER_FORMS = ("أإآٱىة", "اااايه")
 INVISIBLE = r"\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FEFF}\x{061C}"
 BLANKS = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 ARABIC_LETTER = r"\x{0621}-\x{064A}\x{0671}-\x{06D3}"
+#: Separators that normalize drops.
+DROPPED = f"(?<=[{DIGIT}])[{SEPARATOR}]{{1,{MAX_SEPARATORS}}}(?=[{DIGIT}])"
 
 #: Stands for a dropped separator while offsets are counted.
 GAP = ""
@@ -37,7 +39,8 @@ def ascii_digits(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """ASCII digits, and no separators (one to three) between two digits."""
-    return F.regexp_replace(ascii_digits(text), f"(?<=[{DIGIT}])[{SEPARATOR}]{{1,{MAX_SEPARATORS}}}(?=[{DIGIT}])", "")
+    some = text.rlike(f"[{DIGIT}][{SEPARATOR}]{{1,{MAX_SEPARATORS}}}[{DIGIT}]")
+    return F.when(some, F.regexp_replace(ascii_digits(text), DROPPED, "")).otherwise(ascii_digits(text))
 
 
 def offsets(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +134,24 @@ def test_profiles_count_values_without_copies_of_rows(spark):
     found = {r["column"]: r for r in stats.collect()}
     a, b = ([found[c][x] for x in ("n_rows", "n_null", "n_unique", "n_real", "u_real", "mean_len", "arabic_ratio", "numeric", "dates")] for c in "ab")
     assert a == [4, 1, 2, 3, 2, 5 / 3, 0.0, 1.0, 0.0] and b == [4, 1, 2, 2, 1, 6.0, 0.8, 0.0, 0.0]
+
+
+def test_a_long_text_is_searched_by_its_names_and_not_by_its_words(spark):
+    df = spark.createDataFrame([("كلمة " * 60_000 + "السيد سالم 05512-34567",)], "t string")
+    df.select(S.matches(F.col("t"), "x")).collect()
+    began = time.monotonic()
+    spans = S.with_spans(df, "t").first()["spans"]
+    assert [(s["kind"], s["start"], s["end"], s["conf"]) for s in spans] == [("PERSON_NAME", 300_006, 300_010, 0.8), ("MOBILE", 300_011, 300_022, 0.95)]
+    assert time.monotonic() - began < 20
+
+
+def test_places_by_dropped_separators_are_those_of_the_offsets(spark):
+    texts = ["", "a1 2", "٠٥٠ ٣٣١ ٨٨٤٢", "1-2--3---4----5", "no digit", "1 . 2+3 4", "+966 55-5"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("n", T.normalize(F.col("t"))).withColumn("o", T.offsets(F.col("t")))
+    rows = rows.withColumn("d", S.dropped(F.col("t"), F.col("n"))).withColumn("p", F.transform("o", lambda _, k: S.place(F.col("d"), k)))
+    assert all(r["o"] == r["p"] for r in rows.collect())
+
+
+def test_a_plus_sign_belongs_to_the_digits_behind_it(spark):
+    rows = S.with_spans(spark.createDataFrame([("1610925164+0567605952",), ("1610925164+966567605952",)], "t string"), "t").collect()
+    assert [[s["kind"] for s in r["spans"]] for r in rows] == [["SAUDI_ID"], ["SAUDI_ID", "MOBILE"]]
