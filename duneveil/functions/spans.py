@@ -241,8 +241,8 @@ def baseline_spans(text: Column) -> Column:
     def of(kind: str):
         return lambda m: span(m["start"], m["end"], kind, 1.0, "baseline")
 
-    every = [F.transform(matches(text, p), of(kind)) for kind, p in patterns.items()]
-    return F.when(text.isNotNull(), F.array_sort(F.concat(*every))).otherwise(_none())
+    every = [F.when(text.rlike(p), F.transform(matches(text, p), of(kind))).otherwise(_none()) for kind, p in patterns.items()]
+    return F.when(text.isNotNull(), F.sort_array(F.concat(*every))).otherwise(_none())
 
 
 def replace_spans(text: Column, replacements: Column) -> Column:
