@@ -127,16 +127,19 @@ def _correlation_factor(matrix: np.ndarray, variances: np.ndarray) -> np.ndarray
     return lower_factor(correlation) * scale[:, None] if len(scale) else np.zeros((0, 0))
 
 
-def _factor_with_own(matrix: np.ndarray, own: int) -> np.ndarray:
-    """A factor of a correlation near a matrix: what is seen between the first, own columns stays as it is, and only the effects, which
-    are estimates, give way where no correlation has them all."""
+def _factor_with_own(matrix: np.ndarray, own: int, variances: np.ndarray | None = None) -> np.ndarray:
+    """A factor of a covariance near a matrix, with these variances (1): what is seen between the first, own columns stays as it is, and
+    only the effects, which are estimates, give way where no covariance has them all."""
+    variances = np.ones(len(matrix)) if variances is None else variances
     if own in (0, len(matrix)):
-        return _correlation_factor(matrix, np.ones(len(matrix)))
+        return _correlation_factor(matrix, variances)
+    scale = np.sqrt(np.maximum(variances, 1e-12))
+    matrix = matrix / np.outer(scale, scale)
     head = _correlation_factor(matrix[:own, :own], np.ones(own))
     link = np.linalg.lstsq(head, np.clip(matrix[:own, own:], -0.99, 0.99), rcond=None)[0]
     link *= np.minimum(1.0, 0.99 / np.maximum(np.sqrt((link**2).sum(axis=0)), 1e-12))
     tail = _correlation_factor(matrix[own:, own:] - link.T @ link, 1 - (link**2).sum(axis=0))
-    return np.block([[head, np.zeros((own, len(matrix) - own))], [link.T, tail]])
+    return np.block([[head, np.zeros((own, len(matrix) - own))], [link.T, tail]]) * scale[:, None]
 
 
 def mean_scores(m: Marginals, column: str, values: pa.Array) -> pa.Array:
@@ -246,7 +249,8 @@ class HierarchicalCopula:
             level.middle[len(level.kinds) :] = 0.0  # effects are drawn as scores of all rows
             inside = np.maximum(np.diag(level.spread.inside), 1e-6)
             share = inside / (inside + level.spread.effect**2)
-            level.factor = _correlation_factor((level.spread.inside - error + lost * np.outer(share, share)) / np.outer(ties, ties), 1 - level.effect**2)
+            inner = (level.spread.inside - error + lost * np.outer(share, share)) / np.outer(ties, ties)
+            level.factor = _factor_with_own(inner, len(level.kinds), 1 - level.effect**2)
 
     def _unselected(self, level: Level, scores: DataFrame, names: list[str], weights: list[str | None]) -> np.ndarray:
         """What covariances lose as effects are seen on parents with children only, and the more the more these have: the number of

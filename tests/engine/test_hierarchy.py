@@ -115,3 +115,18 @@ def test_what_is_seen_between_own_columns_stays():
     both = both @ both.T
     assert abs(both[0, 1]) < 1e-9 and np.allclose(np.diag(both), 1) and both[0, 2] > 0.6 and both[1, 2] < -0.6
     assert abs((lambda f: f @ f.T)(hierarchy._correlation_factor(matrix, np.ones(3)))[0, 1]) > 0.05  # before
+
+
+def test_what_is_seen_inside_parents_stays(spark):
+    # lines say nothing of their orders, so that effects on them are noise that no covariance has
+    number = lambda salt: (F.pmod(F.xxhash64(ROW, F.lit(salt)), F.lit(100_003)) / 100_003).cast("double")
+    rows = lambda n, per, *columns: spark.range(n).select(F.col("id").alias(ROW), F.col("id").cast("string").alias("id"), (F.col("id") / per).cast("long").cast("string").alias("up"), *(number(c).alias(c) for c in columns))
+    tables = {"a": rows(150, 1, "w"), "b": rows(1200, 8, "p").withColumn("up", F.pmod(F.xxhash64(ROW), F.lit(150)).cast("string")), "c": rows(4800, 1, "x", "y", "v").withColumn("up", F.pmod(F.xxhash64(ROW), F.lit(1200)).cast("string"))}
+    model = hierarchy.HierarchicalCopula({"a": "id", "b": "id", "c": None}, [ForeignKey("b", "up", "a", "id"), ForeignKey("c", "up", "b", "id")])
+    model.fit(tables, {"a": {"w": "numerical"}, "b": {"p": "numerical"}, "c": {k: "numerical" for k in "xyv"}})
+    level = model.levels["b"]
+    own = range(len(level.kinds))
+    correlation = lambda m: (m / np.sqrt(np.outer(np.diag(m), np.diag(m))))
+    seen, drawn = correlation(level.spread.inside[np.ix_(own, own)]), correlation((level.factor @ level.factor.T)[np.ix_(own, own)])
+    assert list(level.kinds) == ["p", "c#rows"] and np.allclose(np.diag(level.factor @ level.factor.T), 1 - level.effect**2)
+    assert abs(drawn - seen).max() < 0.02, (seen, drawn)
