@@ -93,6 +93,27 @@ def test_small_keys_get_distinct_pseudonyms(spark):
     assert len(fakes) == len(set(fakes)) == 39
 
 
+def test_keys_that_fill_their_space_take_few_draws(spark, monkeypatch):
+    drawn = []
+
+    def counted(df, name):
+        out = written(df, name)
+        drawn.append(out.count() if name == "drawn" else 0)
+        return out
+
+    monkeypatch.setattr(pseudonyms, "written", counted)
+    values = spark.createDataFrame([("PK:t.id", str(k)) for k in range(1000, 9000)], "kind string, canon string")
+    fakes = [r.fake for r in pseudonyms.assign(values, KEY).collect()]
+    assert len(fakes) == len(set(fakes)) == 8000 and sum(drawn) < 8 * 8000, drawn
+
+
+@pytest.mark.parametrize(("canon", "own", "want"), [("0042", "0777", "0777"), ("42", "07", "77"), ("1900", "0000", "7000"), ("A-007", "0012345", "A-123"), ("1" * 30, "0" * 29 + "5", "7" + "0" * 28 + "5")])
+def test_keys_keep_their_shape(spark, canon, own, want):
+    hexes = "f" * 40 + own + "1" * (88 - len(own))
+    df = spark.createDataFrame([(canon, hexes)], "canon string, hexes string")
+    assert df.select(pseudonyms.candidate(F.lit("PK:x"), F.col("canon"), F.col("hexes"), F.lit(0))).first()[0] == want
+
+
 def test_an_exhausted_space_names_no_value(spark):
     values = spark.createDataFrame([("SAUDI_ID", "1110704341")], "kind string, canon string")
     same = lambda kind, canon, *_: canon
