@@ -155,3 +155,13 @@ def test_places_by_dropped_separators_are_those_of_the_offsets(spark):
 def test_a_plus_sign_belongs_to_the_digits_behind_it(spark):
     rows = S.with_spans(spark.createDataFrame([("1610925164+0567605952",), ("1610925164+966567605952",)], "t string"), "t").collect()
     assert [[s["kind"] for s in r["spans"]] for r in rows] == [["SAUDI_ID"], ["SAUDI_ID", "MOBILE"]]
+
+
+def test_classes_of_characters_hold_what_they_list(spark):
+    every = [chr(k) for k in range(1, 0x10000) if not 0xD800 <= k < 0xE000] + ["😀", "𝟘"]
+    blanks = {chr(k) for k in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]}
+    df = spark.createDataFrame([(c,) for c in every], "c string")
+    matched = lambda pattern: {r["c"] for r in df.filter(F.col("c").rlike(rf"\A(?s:{pattern})\z")).collect()}
+    assert matched(f"[{T.BLANKS}]") == blanks and matched(f"[^{T.BLANKS}]") == set(every) - blanks
+    assert matched(f"[{T.BLANKS}()]") == blanks | set("()") and matched(f"[{T.DIGIT}]") == set(DIGITS)
+    assert {r["c"] for r in df.filter(T.flatten(F.col("c")) == "").collect()} == blanks | set("()")
