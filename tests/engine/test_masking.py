@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from duneveil.functions.identifiers import canonical, is_valid
+from duneveil.functions.spans import with_spans
 from duneveil.operators import policy as policies
 from duneveil.operators import pseudonyms, report, scans, twin, viewer
 from duneveil.operators.detection import text_spans
@@ -122,6 +125,16 @@ def test_an_exhausted_space_names_no_value(spark):
     assert "1110704341" not in str(e.value)
 
 
+def test_only_cells_without_an_identifier_are_left_out_of_scans(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("0123456789٠٥٦۹15- .+SAsa@b.c") for _ in range(rng.randrange(34))) for _ in range(1500)] + ["1110704341", "١١١٠-٧٠٤ ٣٤١", "+966558472803", "a@b.co", "SA0380000000608010167519"]
+    df = with_spans(spark.createDataFrame([(t,) for t in texts], "t string"), "t", names=False)
+    held = [r["some"] for r in df.withColumn("some", F.col("t").rlike(scans.SOME_IDENTIFIER)).collect() if r["spans"]]
+    assert len(held) >= 5 and all(held)
+    plain = spark.createDataFrame([("1234.56",), ("2020-01-01",), ("12345678",), ("HIGH",)], "t string")
+    assert plain.filter(F.col("t").rlike(scans.SOME_IDENTIFIER)).count() == 0
+
+
 # ------------------------------------------------------------------ what must fail
 
 
